@@ -28,10 +28,12 @@ SINGLE_FROM, SINGLE_TO = "0acfb61l|5$9q8", "ooethhiiissggh"
 # What may stand for a digit in a misread number.
 DIGIT_LIKE = "lIiOoQSsBbGgZzq"
 DECIMAL = r"\d+[.,]\d*[lIOSBG]\d*|[lIOSB]\d*[.,]\d+"
-HYPHENS = "-‐¬­"
+HYPHENS = "\\-‐¬\u00ad"
+CUT = "\u0001"
 WORD = r"[\p{L}\p{N}&&[^\p{IsHan}]]+"
-BREAK = rf"({WORD})([{HYPHENS}])[ \t]*\n[ \t]*({WORD})"
-WRAPPED = r"[^\n]{15}(?<![.!?。！？:：)）])\n(?!\n)"
+# Both patterns start at a rare sign and look back, so that a scan passes over plain text at full speed.
+BREAK = rf"([{HYPHENS}])(?<=[\p{{L}}\p{{N}}][{HYPHENS}])[ \t]*\n[ \t]*(?=[\p{{L}}\p{{N}}])"
+WRAPPED = r"\n(?<=[^\n]{14}[^\n.!?。！？:：)）]\n)(?!\n)"
 PAGE_NUMBER = r"(?i)^\s*(?:[-–—\[(|]\s*)?(?:page|seite|página|pagina|pág\.|p\.|pp\.|s\.|第)?\s*([0-9lIOoSsbB]{1,5}|[ivxlc]{1,6})\s*(?:页)?(?:\s*(?:/|of|von|de|sur)\s*[0-9]{1,5})?(?:\s*[-–—\])|])?\s*$"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
@@ -62,19 +64,24 @@ def prepared(chunks: DataFrame) -> DataFrame:
     return chunks.where("id is not null and text is not null").select("id", "doc_id", "page_number", "ordinal", "text", F.col("text").rlike(WRAPPED).alias("wrapped"))
 
 
+def _words(text: Column) -> Column:
+    """Lower-case words of a text, hyphenated compounds whole; only texts with Chinese characters need the slower split."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"\p{IsHan}"), F.split(low, rf"(?:[^\p{{L}}\p{{N}}{CUT}-]|\p{{IsHan}})+")).otherwise(F.split(low, rf"[^\p{{L}}\p{{N}}{CUT}-]+"))
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, scanned, digital): occurrences in wrapped and other chunks, lower case, hyphenated compounds as well.
 
     Words cut over two lines are left out, so that the counts judge them independently.
     """
-    whole = F.regexp_replace("text", BREAK, " ")
-    words = F.regexp_extract_all(F.lower(whole), F.lit(rf"({WORD}(?:-{WORD})*)"), F.lit(1))
-    spread = rows.select("wrapped", F.explode(words).alias("word"))
-    counted = spread.groupBy("word", "wrapped").agg(F.count("*").alias("n"))
+    cut = F.regexp_replace("text", BREAK, CUT)
+    spread = rows.select("wrapped", F.explode(_words(cut)).alias("word"))
+    counted = spread.groupBy("word").agg(F.count("*").alias("n"), F.count(F.when(F.col("wrapped"), 1)).alias("scanned"))
+    counted = Stage(rows.sparkSession, "words").write(counted.where((F.col("word") != "") & ~F.col("word").contains(CUT)).select("word", "scanned", (F.col("n") - F.col("scanned")).alias("digital")))
     # compounds count for their parts too, which is done on types instead of texts
-    parts = counted.where(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"), "wrapped", "n")
-    both = counted.unionByName(parts)
-    return both.groupBy("word").agg(F.sum(F.when(F.col("wrapped"), F.col("n")).otherwise(0)).alias("scanned"), F.sum(F.when(F.col("wrapped"), 0).otherwise(F.col("n"))).alias("digital"))
+    parts = counted.where(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"), "scanned", "digital").where("word <> ''")
+    return counted.unionByName(parts).groupBy("word").agg(F.sum("scanned").alias("scanned"), F.sum("digital").alias("digital"))
 
 
 def _collapsed(word: Column) -> Column:
@@ -145,9 +152,15 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
 def line_breaks(rows: DataFrame) -> DataFrame:
     """(id, left, mark, right): words cut over two lines of a chunk."""
-    found = F.regexp_extract_all("text", F.lit(rf"({BREAK})"), F.lit(1))
-    parts = rows.select("id", F.explode(found).alias("x")).select("id", *[F.regexp_extract("x", BREAK, i).alias(n) for i, n in ((1, "left"), (2, "mark"), (3, "right"))])
-    return parts
+    marked = F.regexp_replace(F.regexp_replace("text", BREAK, f"{CUT}$1{CUT}"), rf"[^\p{{L}}\p{{N}}{CUT}{HYPHENS}]+|\p{{IsHan}}", " ")
+    pieces = F.filter(F.split(marked, " "), lambda w: w.contains(CUT))
+    spread = rows.where(F.col("text").rlike(BREAK)).select("id", F.explode(pieces).alias("x")).withColumn("x", F.split("x", CUT))
+    # a word cut twice gives two breaks
+    at = F.explode(F.sequence(F.lit(1), F.size("x") - 2, F.lit(2)))
+    cut = spread.where("size(x) >= 3").select("id", "x", at.alias("i"))
+    last = lambda c: F.element_at(F.split(c, f"[{HYPHENS}]"), -1)
+    first = lambda c: F.element_at(F.split(c, f"[{HYPHENS}]"), 1)
+    return cut.select("id", last(F.element_at("x", F.col("i"))).alias("left"), F.element_at("x", F.col("i") + 1).alias("mark"), first(F.element_at("x", F.col("i") + 2)).alias("right")).where("left <> '' and right <> ''")
 
 
 def _join_features(joined: Column, compound: Column, mark: Column, right: Column) -> dict[str, Column]:
@@ -186,14 +199,32 @@ def joins(breaks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def edge_lines(rows: DataFrame) -> DataFrame:
-    """(id, doc_id, page_number, side, at, line): the first and last three lines of each page, from its outer chunks."""
-    page = Window.partitionBy("doc_id", "page_number")
-    lean = rows.where("page_number is not null").select("id", "doc_id", "page_number", "ordinal", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("lines"))
-    lean = lean.select("id", "doc_id", "page_number", "ordinal", F.slice("lines", 1, 3).alias("top"), F.reverse(F.slice(F.reverse("lines"), 1, 3)).alias("bottom"), F.size("lines").alias("n"))
-    lean = lean.withColumn("first", F.min("ordinal").over(page)).withColumn("last", F.max("ordinal").over(page))
-    top = lean.where("ordinal = first").select("id", "doc_id", "page_number", F.lit("top").alias("side"), F.posexplode("top").alias("at", "line"), "n")
-    bottom = lean.where("ordinal = last").select("id", "doc_id", "page_number", F.lit("bottom").alias("side"), F.posexplode(F.reverse("bottom")).alias("at", "line"), "n")
-    return top.union(bottom)
+    """(id, doc_id, page_number, side, at, line): the first and last two lines of pages, from their outer chunks.
+
+    ``at`` counts from the edge. Lines of more than 120 signs are paragraphs of unwrapped text and no furniture.
+    The place of a chunk comes from narrow columns, its lines are cut out where it is read.
+    """
+    lean = rows.where("page_number is not null")
+    last = lean.groupBy("doc_id", "page_number").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    cut = lean.select("id", "doc_id", "page_number", "ordinal", lines.alias("lines")).select(
+        "id", "doc_id", "page_number", "ordinal", F.slice("lines", 1, 3).alias("top"), F.slice(F.reverse("lines"), 1, 3).alias("bottom"), F.size("lines").alias("n"),
+        (F.array_max(F.transform(F.slice("lines", 1, 12), lambda x: F.length(x))) * 0.85).alias("width"),
+    )
+
+    def side(name: str) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            inner = F.get(name, i + 1)  # the next line towards the middle of the page
+            flows = inner.rlike(r"^\p{Ll}") if name == "top" else ~inner.rlike(r"[.!?。！？)）:：]\s*$")
+            return F.struct(F.lit(name).alias("side"), i.alias("at"), x.alias("line"), F.coalesce(flows, F.lit(False)).alias("flows"), (F.length(x) >= F.col("width")).alias("wide"))
+
+        return F.transform(F.slice(name, 1, 2), row)
+
+    both = F.filter(F.concat(side("top"), side("bottom")), lambda x: F.length(x["line"]) <= 120)
+    spread = cut.select("id", "doc_id", "page_number", "ordinal", "n", F.explode(both).alias("x")).select("id", "doc_id", "page_number", "ordinal", "n", "x.*")
+    # most chunks are first on their page; only the other side of several chunks needs the page's range
+    placed = spread.join(last, ["doc_id", "page_number"]).where("(side = 'top' and ordinal = first) or (side = 'bottom' and ordinal = last)")
+    return placed.select("id", "doc_id", "page_number", "side", "at", "line", "flows", "wide", "n")
 
 
 def _number_value(line: pd.Series) -> pd.Series:
@@ -236,7 +267,7 @@ def _plain_words(text: Column) -> Column:
     return F.filter(F.split(spaced, r"(?U)[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 0) & ~w.rlike(r"^\p{N}+$"))
 
 
-FURNITURE = ("bias", "repeats", "often", "own", "own_part", "sentence", "sign", "gap", "heading", "starts_low", "second", "long")
+FURNITURE = ("bias", "repeats", "often", "own", "own_part", "sentence", "sign", "gap", "heading", "starts_low", "flows", "wide", "long")
 
 
 def _furniture_features() -> dict[str, Column]:
@@ -253,7 +284,8 @@ def _furniture_features() -> dict[str, Column]:
         "gap": yes(line.rlike(r"^\d+\s{2,}\S|\S\s{2,}\d+\s*$|\s\|\s\d+\s*$|^\d+\s\|\s")),
         "heading": yes(F.col("heading")),
         "starts_low": yes(line.rlike(r"^\p{Ll}")),
-        "second": yes(F.col("at") >= 1),
+        "flows": yes(F.col("flows")),
+        "wide": yes(F.col("wide")),
         "long": yes(F.length(line) > 90),
     }
 
@@ -266,12 +298,12 @@ def running_lines(edges: DataFrame, numbers: DataFrame, rows: DataFrame, documen
     """
     spark = edges.sparkSession
     stage = Stage(spark, "furniture")
-    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim("line")), r"\d+", "#"), r"\s+", " ")
+    key = F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim("line")), r"\d+", "#"), r"\s+", " "))
     # a header stands before any text: the line above it, if any, is a page number
     lines = edges.join(numbers.select("id", "side", "at", "line", F.lit(True).alias("numbered")), ["id", "side", "at", "line"], "left").withColumn("key", key)
     place = Window.partitionBy("id", "side", "doc_id", "page_number").orderBy("at")
     lines = lines.withColumn("skipped", F.sum(F.when(F.col("numbered"), 1).otherwise(0)).over(place)).where("numbered is null").withColumn("at_text", F.col("at") - F.col("skipped"))
-    lines = stage.write(lines.select("id", "doc_id", "page_number", "side", "at", "at_text", "line", "key", "n"))
+    lines = stage.write(lines.select("id", "doc_id", "page_number", "side", "at", "at_text", "line", "key", "flows", "wide", "n"))
     repeated = lines.where("at_text = 0").groupBy("doc_id", "side", "key").agg(F.countDistinct("page_number").alias("pages"))
     short = rows.where("not wrapped").select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 70").withColumn("key", key).groupBy("key").agg(F.count("*").alias("seen")).where("seen >= 3").select("key", F.lit(True).alias("heading"))
     about = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("title", F.lit("")).alias("t"), F.coalesce("journal", F.lit("")).alias("j"), F.concat_ws(" ", "authors").alias("a"))).alias("m"))
@@ -279,13 +311,13 @@ def running_lines(edges: DataFrame, numbers: DataFrame, rows: DataFrame, documen
     words = lines.withColumn("words", _plain_words(F.regexp_replace("line", r"(?i)\bet al\b|for personal use only|all rights reserved", " ")))
     scored = words.join(repeated, ["doc_id", "side", "key"], "left").join(short, "key", "left").join(about, "doc_id", "left")
     own = F.size(F.filter("words", lambda w: F.array_contains(F.col("about"), w))) / F.size("words")
-    scored = scored.select("id", "doc_id", "page_number", "side", "at", "at_text", "line", F.when(F.col("at_text") == 0, F.coalesce("pages", F.lit(1))).otherwise(F.lit(1)).alias("pages"), F.coalesce("heading", F.lit(False)).alias("heading"), F.when(F.size("words") > 0, F.coalesce(own, F.lit(0.0))).otherwise(F.lit(0.0)).alias("own"), F.size("words").alias("n_words"), "n")
+    scored = scored.select("id", "doc_id", "page_number", "side", "at", "at_text", "line", F.when(F.col("at_text") == 0, F.coalesce("pages", F.lit(1))).otherwise(F.lit(1)).alias("pages"), F.coalesce("heading", F.lit(False)).alias("heading"), F.when(F.size("words") > 0, F.coalesce(own, F.lit(0.0))).otherwise(F.lit(0.0)).alias("own"), F.size("words").alias("n_words"), "flows", "wide", "n")
     scored = stage.write(scored)
     features = _furniture_features()
     columns = [c.cast("double").alias(f) for f, c in features.items()]
     order = F.xxhash64("id", "side", "at", "line")
     good = scored.where("at_text = 0 and pages >= 3 and not heading").withColumn("y", F.lit(True)).where(~F.col("line").rlike(r"[.。]\s*$") | F.col("line").contains("©"))
-    poor = scored.where("(at_text = 2 and n >= 7) or heading or (at_text = 0 and pages = 1 and own < 0.5)").withColumn("y", F.lit(False))
+    poor = scored.where("(at_text = 1 and n >= 6) or heading or (at_text = 0 and pages = 1 and own < 0.5)").withColumn("y", F.lit(False))
     taught = good.select("y", *columns).orderBy(order).limit(TRAINING).union(poor.select("y", *columns).orderBy(order).limit(TRAINING)).toPandas()
     taught_rows = taught[list(FURNITURE)].to_dict("records")
     rng = np.random.default_rng(3)
@@ -293,7 +325,7 @@ def running_lines(edges: DataFrame, numbers: DataFrame, rows: DataFrame, documen
         if y and rng.random() < 0.5:  # half of the lines must be told without their repetition
             row["repeats"] = row["often"] = 0.0
     weights = averaged_perceptron(taught_rows, taught["y"].tolist())
-    prior = {"bias": -1.2, "repeats": 1.0, "often": 0.7, "own": 0.8, "own_part": 0.4, "sentence": -1.0, "sign": 0.8, "gap": 0.8, "heading": -2.0, "starts_low": -0.8, "second": -0.8, "long": -0.3}
+    prior = {"bias": -1.2, "repeats": 1.0, "often": 0.7, "own": 0.8, "own_part": 0.4, "sentence": -1.0, "sign": 0.8, "gap": 0.8, "heading": -2.0, "starts_low": -0.8, "flows": -0.8, "wide": -0.3, "long": -0.3}
     size = max(1.0, max((abs(x) for x in weights.values()), default=1.0) / 2)
     weights = {f: weights.get(f, 0.0) / size + prior[f] for f in FURNITURE}
     return scored.where("at_text = 0").where(_score(features, weights) > 0).select("id", "doc_id", "page_number", "side", "at", "line")
@@ -320,11 +352,10 @@ class Noise:
     def misread(self) -> DataFrame:
         """(id, word, fix) of misread words and numbers, outside of running lines and page numbers."""
         # a word cut over two lines is looked up whole; only wrapped chunks hold misread words by construction
-        text = F.regexp_replace("text", BREAK, "$1$3")
-        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"), F.lit(1)))
-        decimal = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({DECIMAL})(?![\p{{L}}\p{{N}}])"), F.lit(1)), lambda x: F.lower(x))
-        self.decimals = self.rows.where("wrapped").select("id", F.explode(F.array_distinct(decimal)).alias("word")).select("id", "word", F.translate("word", "lioqsbgz", "11005697").alias("fix"))
-        spread = self.rows.where("wrapped").select("id", F.explode(words).alias("word"))
+        wrapped = self.rows.where("wrapped").select("id", F.regexp_replace("text", BREAK, "").alias("text"))
+        decimal = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}])({DECIMAL})(?![\p{{L}}\p{{N}}])"), F.lit(1)), lambda x: F.lower(x))
+        decimals = wrapped.select("id", F.explode(F.array_distinct(decimal)).alias("word")).select("id", "word", F.translate("word", "lioqsbgz", "11005697").alias("fix"))
+        spread = wrapped.select("id", F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("text")), lambda w: F.split(w, "-"))))).alias("word"))
         fixes = F.broadcast(self.fixes) if self.small_fixes else self.fixes
         hits = spread.join(fixes, "word")
         # a misread word that stands in a line of furniture only is no damage of the body
@@ -334,7 +365,7 @@ class Noise:
         plain = hits.where("outer is null").select("id", "word", "fix")
         doubtful = hits.where("outer is not null").join(self.rows.select("id", F.lower(F.col("text")).alias("text")), "id")
         again = doubtful.where(F.size(F.filter(F.regexp_extract_all("text", F.lit(rf"({WORD})"), F.lit(1)), lambda w: w == F.col("word"))) > F.col("outer")).select("id", "word", "fix")
-        return plain.union(again).union(self.decimals).distinct()
+        return plain.union(again).union(decimals).distinct()
 
     def broken(self) -> DataFrame:
         return self.breaks.join(self.joined.where("join"), ["left", "mark", "right"])
