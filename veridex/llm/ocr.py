@@ -35,6 +35,7 @@ WORD = r"[\p{L}\p{N}&&[^\p{IsHan}]]+"
 BREAK = rf"([{HYPHENS}])(?<=[\p{{L}}\p{{N}}][{HYPHENS}])[ \t]*\n[ \t]*(?=[\p{{L}}\p{{N}}])"
 WRAPPED = r"\n(?<=[^\n]{14}[^\n.!?。！？:：)）]\n)(?!\n)"
 PAGE_NUMBER = r"(?i)^\s*(?:[-–—\[(|]\s*)?(?:page|seite|página|pagina|pág\.|p\.|pp\.|s\.|第)?\s*([0-9lIOoSsbB]{1,5}|[ivxlc]{1,6})\s*(?:页)?(?:\s*(?:/|of|von|de|sur)\s*[0-9]{1,5})?(?:\s*[-–—\])|])?\s*$"
+OWNED = r"(?i)©|only\.\s*$|reserved\.?\s*$|\bet al\.\s*$"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -64,10 +65,9 @@ def prepared(chunks: DataFrame) -> DataFrame:
     return chunks.where("id is not null and text is not null").select("id", "doc_id", "page_number", "ordinal", "text", F.col("text").rlike(WRAPPED).alias("wrapped"))
 
 
-def _words(text: Column) -> Column:
-    """Lower-case words of a text, hyphenated compounds whole; only texts with Chinese characters need the slower split."""
-    low = F.lower(text)
-    return F.when(low.rlike(r"\p{IsHan}"), F.split(low, rf"(?:[^\p{{L}}\p{{N}}{CUT}-]|\p{{IsHan}})+")).otherwise(F.split(low, rf"[^\p{{L}}\p{{N}}{CUT}-]+"))
+def _words(low: Column, keep: str = "") -> Column:
+    """Words of a lower-case text, split at all but letters, digits and ``keep``; Chinese characters need the slower split."""
+    return F.when(low.rlike(r"\p{IsHan}"), F.split(low, rf"(?:[^\p{{L}}\p{{N}}{keep}]|\p{{IsHan}})+")).otherwise(F.split(low, rf"[^\p{{L}}\p{{N}}{keep}]+"))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -75,8 +75,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     Words cut over two lines are left out, so that the counts judge them independently.
     """
-    cut = F.regexp_replace("text", BREAK, CUT)
-    spread = rows.select("wrapped", F.explode(_words(cut)).alias("word"))
+    low = rows.select("wrapped", F.lower(F.regexp_replace("text", BREAK, CUT)).alias("low"))
+    spread = low.select("wrapped", F.explode(_words(F.col("low"), f"{CUT}-")).alias("word"))
     counted = spread.groupBy("word").agg(F.count("*").alias("n"), F.count(F.when(F.col("wrapped"), 1)).alias("scanned"))
     counted = Stage(rows.sparkSession, "words").write(counted.where((F.col("word") != "") & ~F.col("word").contains(CUT)).select("word", "scanned", (F.col("n") - F.col("scanned")).alias("digital")))
     # compounds count for their parts too, which is done on types instead of texts
@@ -202,7 +202,8 @@ def edge_lines(rows: DataFrame) -> DataFrame:
     """(id, doc_id, page_number, side, at, line): the first and last two lines of pages, from their outer chunks.
 
     ``at`` counts from the edge. Lines of more than 120 signs are paragraphs of unwrapped text and no furniture.
-    The place of a chunk comes from narrow columns, its lines are cut out where it is read.
+    Nor are lines that start in lower case or end as a sentence does, unless short or with a sign of ownership. The place
+    of a chunk comes from narrow columns, its lines are cut out where it is read.
     """
     lean = rows.where("page_number is not null")
     last = lean.groupBy("doc_id", "page_number").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
@@ -220,7 +221,12 @@ def edge_lines(rows: DataFrame) -> DataFrame:
 
         return F.transform(F.slice(name, 1, 2), row)
 
-    both = F.filter(F.concat(side("top"), side("bottom")), lambda x: F.length(x["line"]) <= 120)
+    def may_be_furniture(x: Column) -> Column:
+        line = x["line"]
+        body = line.rlike(r"^\s*\p{Ll}") | (line.rlike(r"[.!?。！？,;，；][)\"”]?\s*$") & ~line.rlike(OWNED))
+        return (F.length(line) <= 120) & ((F.length(F.trim(line)) <= 14) | ~body)
+
+    both = F.filter(F.concat(side("top"), side("bottom")), may_be_furniture)
     spread = cut.select("id", "doc_id", "page_number", "ordinal", "n", F.explode(both).alias("x")).select("id", "doc_id", "page_number", "ordinal", "n", "x.*")
     # most chunks are first on their page; only the other side of several chunks needs the page's range
     placed = spread.join(last, ["doc_id", "page_number"]).where("(side = 'top' and ordinal = first) or (side = 'bottom' and ordinal = last)")
@@ -279,7 +285,7 @@ def _furniture_features() -> dict[str, Column]:
         "often": yes(F.col("pages") >= 3),
         "own": yes((F.col("own") >= 0.85) & (F.col("n_words") >= 2)),
         "own_part": F.coalesce("own", F.lit(0.0)),
-        "sentence": yes(line.rlike(r"[.!?。！？,;，；][)\"”]?\s*$") & ~line.rlike(r"(?i)©|only\.\s*$|reserved\.?\s*$|et al\.\s*$")),
+        "sentence": yes(line.rlike(r"[.!?。！？,;，；][)\"”]?\s*$") & ~line.rlike(OWNED)),
         "sign": yes(line.rlike(r"(?i)©|\bet al\b|\(19|20\d\d\)|\d{4};\s?\d+|all rights reserved|personal use")),
         "gap": yes(line.rlike(r"^\d+\s{2,}\S|\S\s{2,}\d+\s*$|\s\|\s\d+\s*$|^\d+\s\|\s")),
         "heading": yes(F.col("heading")),
@@ -300,10 +306,10 @@ def running_lines(edges: DataFrame, numbers: DataFrame, rows: DataFrame, documen
     stage = Stage(spark, "furniture")
     key = F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim("line")), r"\d+", "#"), r"\s+", " "))
     # a header stands before any text: the line above it, if any, is a page number
-    lines = edges.join(numbers.select("id", "side", "at", "line", F.lit(True).alias("numbered")), ["id", "side", "at", "line"], "left").withColumn("key", key)
-    place = Window.partitionBy("id", "side", "doc_id", "page_number").orderBy("at")
-    lines = lines.withColumn("skipped", F.sum(F.when(F.col("numbered"), 1).otherwise(0)).over(place)).where("numbered is null").withColumn("at_text", F.col("at") - F.col("skipped"))
-    lines = stage.write(lines.select("id", "doc_id", "page_number", "side", "at", "at_text", "line", "key", "flows", "wide", "n"))
+    flags = numbers.groupBy("id", "side").agg(F.max(F.col("at") == 0).alias("outer"), F.max(F.col("at") == 1).alias("inner"))
+    marked = edges.join(flags, ["id", "side"], "left").fillna(False, ["outer", "inner"]).where(~(((F.col("at") == 0) & F.col("outer")) | ((F.col("at") == 1) & F.col("inner"))))
+    at_text = F.when((F.col("at") == 1) & F.col("outer"), 0).otherwise(F.col("at"))
+    lines = stage.write(marked.select("id", "doc_id", "page_number", "side", "at", at_text.alias("at_text"), "line", key.alias("key"), "flows", "wide", "n"))
     repeated = lines.where("at_text = 0").groupBy("doc_id", "side", "key").agg(F.countDistinct("page_number").alias("pages"))
     short = rows.where("not wrapped").select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 70").withColumn("key", key).groupBy("key").agg(F.count("*").alias("seen")).where("seen >= 3").select("key", F.lit(True).alias("heading"))
     about = documents.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(F.coalesce("title", F.lit("")).alias("t"), F.coalesce("journal", F.lit("")).alias("j"), F.concat_ws(" ", "authors").alias("a"))).alias("m"))
@@ -353,9 +359,12 @@ class Noise:
         """(id, word, fix) of misread words and numbers, outside of running lines and page numbers."""
         # a word cut over two lines is looked up whole; only wrapped chunks hold misread words by construction
         wrapped = self.rows.where("wrapped").select("id", F.regexp_replace("text", BREAK, "").alias("text"))
-        decimal = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}])({DECIMAL})(?![\p{{L}}\p{{N}}])"), F.lit(1)), lambda x: F.lower(x))
-        decimals = wrapped.select("id", F.explode(F.array_distinct(decimal)).alias("word")).select("id", "word", F.translate("word", "lioqsbgz", "11005697").alias("fix"))
-        spread = wrapped.select("id", F.explode(F.array_distinct(F.flatten(F.transform(_words(F.col("text")), lambda w: F.split(w, "-"))))).alias("word"))
+        listed = wrapped.select("id", "text", F.lower("text").alias("low")).select("id", "text", F.array_distinct(_words(F.col("low"))).alias("words"))
+        # a letter in a decimal number leaves a lone letter behind, so few texts need the closer look
+        lone = F.arrays_overlap("words", F.array(*map(F.lit, "liosbg")))
+        decimal = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}])({DECIMAL})(?![\p{{L}}\p{{N}}])"), F.lit(1)), lambda x: F.concat(F.lit("\0"), F.lower(x)))
+        spread = listed.select("id", F.explode(F.when(lone, F.concat("words", decimal)).otherwise(F.col("words"))).alias("word"))
+        decimals = spread.where(F.col("word").startswith("\0")).select("id", F.substring("word", 2, 20).alias("word")).distinct().select("id", "word", F.translate("word", "lioqsbgz", "11005697").alias("fix"))
         fixes = F.broadcast(self.fixes) if self.small_fixes else self.fixes
         hits = spread.join(fixes, "word")
         # a misread word that stands in a line of furniture only is no damage of the body
