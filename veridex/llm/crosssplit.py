@@ -175,6 +175,7 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
     """Content words that are in one question only, after misspellings are matched; empty lists for the same content."""
     left, right = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
     df = {**dict(zip(a, df_a, strict=True)), **dict(zip(b, df_b, strict=True))}
+    names = 0  # pairs that only their spelling calls equal; one may be a misspelt name, two are other names
     for x in left.copy():
         if len(x) < 4 or not x.isalpha() or _HAN.match(x):
             continue
@@ -183,7 +184,8 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
                 continue
             rare = min(df[x], df[y]) * 20 <= max(df[x], df[y])
             d = edit_distance(x, y)
-            if (d <= 1 and len(x) >= 5) or (d <= 2 and rare and len(x) >= 7) or (d <= 1 and rare):
+            if (d <= 1 and rare) or (d <= 2 and rare and len(x) >= 7) or (d <= 1 and len(x) >= 5 and not names):
+                names += not rare
                 left.remove(x)
                 right.remove(y)
                 break

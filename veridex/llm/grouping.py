@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.llm.keys import key, squeezed
+from veridex.operators.components import connected_components
 from veridex.session import Stage
 
 SPLITS = ("train", "validation", "test")
@@ -25,35 +26,6 @@ CHAINS = 4
 ROUNDS = 3
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of an undirected edge list; root is the smallest node of the component.
-
-    Null ends and self loops link nothing; repeated edges count once; an empty list gives an empty frame.
-    """
-    spark = edges.sparkSession
-    stage = Stage(spark, "components")
-    pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    current = stage.write(pair.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        # large star: every larger neighbour of u points to the smallest of u and its neighbours
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = stage.write(linked)
-        sums = after.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        stage.drop(current)
-        current = after
-        if (sums["n"], sums["x"]) == state:
-            break
-        state = (sums["n"], sums["x"])
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def latest_questions(questions: DataFrame) -> DataFrame:
     """Per id the row with the latest updated_at (ties: later ingested_at, then the larger family)."""
     zero = F.timestamp_seconds(F.lit(0))
@@ -139,7 +111,7 @@ def assign(records: DataFrame, questions: DataFrame, targets: DataFrame, label:
     one = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("present").alias("present_split"))
     members = stage.write(one.join(components(records, questions), "id"))
 
-    # labels are few by nature; beyond 20 the rarest share the last column, so rows stay narrow for any input
+    # labels are few by nature; the 20 most frequent ones are balanced besides size, so rows stay narrow for any input
     top = [r["label"] for r in members.groupBy("label").count().orderBy(F.desc("count"), "label").limit(20).collect()]
     counts = [F.sum((F.col("label") == x).cast("double")).alias(f"l{i}") for i, x in enumerate(top)]
     parts = members.groupBy("component").agg(F.count("*").cast("double").alias("n"), *counts)
