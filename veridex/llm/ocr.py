@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from veridex.session import Stage
 
 TRAINING = 20_000
+SELDOM = 8  # a misread word has at least so many occurrences for each one outside of wrapped text
 BROADCAST_WORDS = 300_000
 # Character groups that scanners confuse; both sides of a confusion collapse to the same signature.
 GROUPS = (("rn", "m"), ("in", "m"), ("ni", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("ri", "n"))
@@ -61,8 +62,10 @@ def averaged_perceptron(rows: list[dict[str, float]], labels: list[bool], turns:
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
-    """Rows with an id and a text, and whether the text is hard-wrapped as pages are."""
-    return chunks.where("id is not null and text is not null").select("id", "doc_id", "page_number", "ordinal", "text", F.col("text").rlike(WRAPPED).alias("wrapped"))
+    """Rows with an id and a text, and whether the text is hard-wrapped as pages are, or a page's text of short lines."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    short = F.col("page_number").isNotNull() & (F.length("text") <= lines * 95)
+    return chunks.where("id is not null and text is not null").select("id", "doc_id", "page_number", "ordinal", "text", (F.col("text").rlike(WRAPPED) | short).alias("wrapped"))
 
 
 def _words(low: Column, keep: str = "") -> Column:
@@ -110,7 +113,7 @@ def edit_features(wrong: str, right: str, scanned: int, digital: int, base: int)
     return {
         "bias": 1.0, kind: 1.0, f"{x}>{y}": 2.0, f"<{right[i - 1 : i]}|{x}>{y}": 0.5, f"{x}>{y}|{right[len(right) - j : len(right) - j + 1]}": 0.5,
         "at end" if j == 0 else "at start" if i == 0 else "inside": 0.5, "digit in word": 2.0 * (any(c.isdigit() for c in x) and not any(c.isdigit() for c in y)),
-        "only scanned": 1.0 if digital == 0 else -1.0, "long edit": float(max(len(x), len(y)) > 2), "digit made": 2.0 * any(c.isdigit() for c in y), f"ratio {min(3, int(np.log10(max(ratio, 1))))}": 1.0,
+        "only scanned": 1.0 if digital * SELDOM <= scanned + digital else -1.0, "long edit": float(max(len(x), len(y)) > 2), "digit made": 2.0 * any(c.isdigit() for c in y), f"ratio {min(3, int(np.log10(max(ratio, 1))))}": 1.0,
     }
 
 
@@ -123,7 +126,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
     spark = counts.sparkSession
     types = counts.where(~F.col("word").contains("-") & (F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
     signed = types.select("word", "scanned", "digital", F.explode(_signatures(F.col("word"))).alias("sign"))
-    rare = signed.where("scanned > 0 and digital * 50 <= scanned + digital").select("sign", "word", "scanned", "digital")
+    rare = signed.where(f"scanned > 0 and digital * {SELDOM} <= scanned + digital").select("sign", "word", "scanned", "digital")
     base = signed.where("digital >= 2").select("sign", F.col("word").alias("fix"), (F.col("scanned") + F.col("digital")).alias("base"), F.col("digital").alias("base_digital"))
     close = rare.join(base, "sign").where((F.col("word") != F.col("fix")) & (F.col("base") >= 8 * F.col("scanned")) & ~F.col("fix").rlike(r"\p{N}")).select("word", "fix", "scanned", "digital", "base").distinct()
     kept = signed.where("digital >= 2").select("sign", "word", "scanned", "digital").join(base.drop("base_digital"), "sign").where(F.col("word") < F.col("fix")).select("word", "fix", "scanned", "digital", "base").distinct()
@@ -142,7 +145,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
             yield pdf[["word", "fix", "base"]].assign(score=scores)[np.array(scores) > 0]
 
     edited = close.mapInPandas(decide, "word string, fix string, base long, score double").groupBy("word").agg(F.max(F.struct("score", "base", "fix")).alias("x")).select("word", F.col("x.fix").alias("fix"))
-    numbers = counts.where("digital = 0 and scanned > 0").where(F.col("word").rlike(rf"(?i)^(?=.*\d)(?=.*[{DIGIT_LIKE}])[\d{DIGIT_LIKE}]+$"))
+    numbers = counts.where(f"scanned > 0 and digital * {SELDOM} <= scanned + digital").where(F.col("word").rlike(rf"(?i)^(?=.*\d)(?=.*[{DIGIT_LIKE}])[\d{DIGIT_LIKE}]+$"))
     digits = F.translate("word", "lioqsbgz", "11005697")
     return edited.union(numbers.join(edited.select("word"), "word", "left_anti").select("word", digits.alias("fix")))
 
