@@ -30,7 +30,7 @@ def test_bm25_and_cosine_against_plain_code(spark):
     docs = {1: "statin lowers cholesterol statin", 2: "stroke care stroke unit care", 3: "cholesterol stroke", 4: "nothing here"}
     items = spark.createDataFrame(list(docs.items()), "id int, text string")
     asked = spark.createDataFrame([("a", "statin cholesterol cholesterol")], "q string, text string")
-    terms, index, sizes = retrieval.query_terms(asked, "q", F.col("text")), retrieval.postings(items, "id", F.col("text")), retrieval.lengths(items, "id", F.col("text"))
+    terms, (index, sizes) = retrieval.query_terms(asked, "q", F.col("text")), retrieval.indexed(items, "id", F.col("text"))
     plain = bm25_plain("statin cholesterol cholesterol".split(), {k: v.split() for k, v in docs.items()})
     assert {r.id: round(r.bm25, 6) for r in retrieval.bm25(terms, index, sizes).collect()} == plain
     words = {k: v.split() for k, v in docs.items()} | {0: "statin cholesterol cholesterol".split()}

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.functions import vocabulary as V
@@ -17,18 +17,25 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)\s+", " "), "^ | $", "")
 
 
-def tokenize(text: Column) -> Column:
-    """Latin words of two or more signs, Chinese runs as overlapping pairs, numbers; in this order, without stop words.
-
-    Null gives null, an empty text no tokens.
-    """
+def raw_tokens(text: Column) -> Column:
+    """Latin words of two or more signs, Chinese runs as overlapping pairs, numbers; in this order, stop words included."""
     plain = normalize(text)
     latin = F.regexp_extract_all(plain, F.lit(r"([a-z][a-z0-9+.-]{1,})"), F.lit(1))
     runs = F.regexp_extract_all(plain, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
     numbers = F.regexp_extract_all(plain, F.lit(r"(?U)(\b[0-9]+(?:\.[0-9]+)?\b)"), F.lit(1))
+    return F.when(text.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(latin, pairs, numbers)).otherwise(F.concat(latin, numbers))
+
+
+def tokenize(text: Column) -> Column:
+    """Tokens without stop words. Null gives null, an empty text no tokens."""
     stop = F.array(*map(F.lit, V.STOP_WORDS))
-    return F.filter(F.concat(latin, pairs, numbers), lambda t: ~F.array_contains(stop, t))
+    return F.filter(raw_tokens(text), lambda t: ~F.array_contains(stop, t))
+
+
+def spread_tokens(rows: DataFrame, text: Column, *keys: Column) -> DataFrame:
+    """(keys, term): a row per token; stop words are dropped by a plain filter after the tokens are spread."""
+    return rows.select(*keys, F.explode(raw_tokens(text)).alias("term")).where(~F.col("term").isin(*V.STOP_WORDS))
 
 
 def sentences(text: Column) -> Column:

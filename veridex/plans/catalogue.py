@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veridex.functions import identity, text
 from veridex.operators import audit, components, evaluation, gates, pool, publish, retrieval, verification
 from veridex.plans.oracle import oracle_sql  # noqa: F401 - part of this module's contract
-from veridex.session import read_table
+from veridex.session import Stage, read_table
 from veridex.sources.readers import document_chunks
 from veridex.streaming import telemetry
 
@@ -32,25 +32,33 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = corpus(spark, d)
-    terms, index, sizes = retrieval.query_terms(golden(spark, d), "id", F.col("question")), retrieval.postings(items, "doc_id", F.col("searchable")), retrieval.lengths(items, "doc_id", F.col("searchable"))
+    terms = retrieval.query_terms(golden(spark, d), "id", F.col("question"))
+    index, sizes = retrieval.indexed(items, "doc_id", F.col("searchable"))
     return retrieval.bm25(terms, index, sizes), retrieval.tfidf_cosine(terms, index, sizes)
 
 
+def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    words, angles = _scores(spark, d)
+    return retrieval.ranked(words, 100, F.desc("bm25"), F.asc("id")), retrieval.ranked(angles, 100, F.desc("cosine"), F.asc("id"))
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(_scores(spark, d)[0], 100, F.desc("bm25"), F.asc("id"))
+    return _rankings(spark, d)[0]
 
 
 def tfidf_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ranked(_scores(spark, d)[1], 100, F.desc("cosine"), F.asc("id"))
+    return _rankings(spark, d)[1]
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lists = [bm25_topk(spark, d), tfidf_cosine_topk(spark, d)]
+    lists = _rankings(spark, d)
     return retrieval.rrf(lists[0].select("q", "id", "rank").union(lists[1].select("q", "id", "rank")))
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical_search(golden(spark, d), "id", F.col("question"), corpus(spark, d), "doc_id", F.col("searchable"), 40)
+    """Written once, because the metrics and gates built on it read it several times."""
+    found = retrieval.lexical_search(golden(spark, d), "id", F.col("question"), corpus(spark, d), "doc_id", F.col("searchable"), 40)
+    return Stage(spark, "lexical").write(found)
 
 
 def fts_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +68,7 @@ def fts_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
 def per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
     chunks = read_table(spark, d, "chunks").groupBy("id").agg(F.max(F.struct("updated_at", "text", "doc_id")).alias("x")).select("id", "x.text", "x.doc_id")
     terms = retrieval.query_terms(golden(spark, d), "id", F.col("question"))
-    scores = retrieval.bm25(terms, retrieval.postings(chunks, "id", F.col("text")), retrieval.lengths(chunks, "id", F.col("text")))
+    scores = retrieval.bm25(terms, *retrieval.indexed(chunks, "id", F.col("text")))
     top = retrieval.ranked(scores, 100, F.desc("bm25"), F.asc("id")).join(chunks.select("id", "doc_id"), "id")
     return retrieval.cap_per_document(top, "doc_id").select("q", "id", "doc_id", "rank")
 
@@ -81,13 +89,15 @@ def dense_multi_variant_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lists = [bm25_topk(spark, d).withColumnRenamed("bm25", "score"), tfidf_cosine_topk(spark, d).withColumnRenamed("cosine", "score")]
+    words, angles = _rankings(spark, d)
+    lists = [words.withColumnRenamed("bm25", "score"), angles.withColumnRenamed("cosine", "score")]
     owner = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("nlm_unique_id", F.lit("")).alias("doc"))
     return retrieval.hybrid_fusion([x.where("rank <= 30") for x in lists], owner)
 
 
 def static_merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.merge_unseen(bm25_topk(spark, d).where("rank <= 25"), tfidf_cosine_topk(spark, d))
+    words, angles = _rankings(spark, d)
+    return retrieval.merge_unseen(words.where("rank <= 25"), angles)
 
 
 def _pool_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -228,9 +238,10 @@ def recall_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
 def graded_metrics(spark: SparkSession, d: str) -> DataFrame:
     topics = read_table(spark, d, "test_set").select(F.col("id").alias("q"), F.explode("relevant_topics").alias("topic")).distinct().withColumn("on_topic", F.lit(1))
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "topic")
-    found = lexical_search(spark, d).select("q", "id").join(docs, "id").where("topic <> ''").join(topics, ["q", "topic"], "left").select("q", "id", F.coalesce("on_topic", F.lit(0)).alias("grade"))
+    ranking = lexical_search(spark, d).select("q", "id", "rank")
+    found = ranking.select("q", "id").join(docs, "id").where("topic <> ''").join(topics, ["q", "topic"], "left").select("q", "id", F.coalesce("on_topic", F.lit(0)).alias("grade"))
     grades = found.union(_relevant(spark, d).withColumn("grade", F.lit(3))).groupBy("q", "id").agg(F.max("grade").alias("grade"))
-    return evaluation.graded_metrics(lexical_search(spark, d).select("q", "id", "rank"), grades)
+    return evaluation.graded_metrics(ranking, grades)
 
 
 def key_point_coverage(spark: SparkSession, d: str) -> DataFrame:
