@@ -19,6 +19,7 @@ from veridex.llm.tokens import VOCABULARY, token_count
 from veridex.session import Stage
 
 BLOCK_TOKENS = 200_000
+MOST_BLOCKS = 20_000
 
 
 def bisect(rises, low: float = 0.0, high: float = 1.0, turns: int = 60) -> float:
@@ -121,7 +122,8 @@ def realise(sizes: DataFrame, planned: DataFrame, seed: int = 42) -> DataFrame:
     passes = F.when(F.col("source_tokens") > 0, F.least(F.floor(F.col("budget") / F.col("source_tokens") + 1e-9), F.col("max_repeats").cast("long"))).otherwise(F.lit(0))
     cells = cells.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_tokens"))
     order = F.xxhash64("mix", "source", "doc_id", F.lit(seed))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("source_tokens") / F.lit(float(BLOCK_TOKENS))).cast("long"))
+    # blocks grow rather than multiply beyond MOST_BLOCKS, so that the running sum over a source's blocks stays short
+    blocks = F.greatest(F.lit(1), F.least(F.ceil(F.col("source_tokens") / F.lit(float(BLOCK_TOKENS))).cast("long"), F.lit(MOST_BLOCKS)))
     cells = cells.withColumn("o", order).withColumn("block", F.floor((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) * blocks).cast("long"))
     cells = Stage(sizes.sparkSession, "mix").write(cells)
     per_block = cells.groupBy("mix", "source", "block").agg(F.sum("tokens").alias("block_tokens"))

@@ -33,6 +33,9 @@ def fill_one(sizes: list[int], counts: list[int], room: int, budget: int = NODES
     best: list[int] = []
     waste = room
     left = budget
+    mass = [0]  # total size of the items up to each index, for the waste bound
+    for size, count in zip(sizes, counts, strict=True):
+        mass.append(mass[-1] + size * count)
 
     def go(upto: int, rest: int, taken: list[int]) -> bool:
         nonlocal best, waste, left
@@ -41,7 +44,7 @@ def fill_one(sizes: list[int], counts: list[int], room: int, budget: int = NODES
             if waste == 0:
                 return True
         i = min(upto, bisect_right(sizes, rest) - 1)
-        while i >= 0:
+        while i >= 0 and rest - mass[i + 1] < waste:
             left -= 1
             if left <= 0:
                 return True
