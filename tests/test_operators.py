@@ -157,3 +157,19 @@ def test_publish(spark, tmp_path):
     assert publish.read_current(spark, root).count() == 3
     with pytest.raises(Exception):
         publish.write_version(spark, nxt, root, "r2")
+
+
+def test_governance(spark):
+    from veridex.operators import governance
+
+    df = spark.createDataFrame([("a", 1, 10), ("a", 2, 30), ("a", 9, 5), ("b", 4, None), ("b", 5, 1)], "g string, v int, w int")
+    assert rows(governance.weighted_median(df, "g", "v", "w"), "g", "median") == [("a", 2), ("b", 5)]
+    df = spark.createDataFrame([("one  two\nthree", "two three"), ("abc", "x"), (None, "x"), ("abc", " ")], "t string, e string")
+    got = [(r.x.start, r.x.stop) for r in df.select(governance.excerpt_offsets(F.col("t"), F.col("e")).alias("x")).collect()]
+    assert got == [(5, 14), (None, None), (None, None), (None, None)]
+    urls = ["https://a.org/x", "ftp://a.org", "http://user@a.org", "http://127.0.0.1/", "http://localhost", "http://a b", "http://8.8.8.8:99999", "", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(governance.safe_address(F.col("u"))).collect()] == ["https://a.org/x"] + [None] * 8
+    cite = [("pmid", "12", "https://x.org", ""), ("doi", None, "x", "2024")]
+    df = spark.createDataFrame([("c1", cite), ("c1", []), ("c2", None)], "id string, citations array<struct<type: string, pmid: string, url: string, verified_at: string>>")
+    assert dict(rows(governance.page_issues(df), "code", "n")) == {"claim_id_repeated": 2, "claim_without_source": 2, "pmid_malformed": 1, "pmid_not_verified": 1, "address_malformed": 1}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridex.functions import identity, text
-from veridex.operators import audit, components, evaluation, gates, pool, publish, retrieval, verification
+from veridex.operators import audit, components, evaluation, gates, governance, pool, publish, retrieval, verification
 from veridex.plans.oracle import oracle_sql  # noqa: F401 - part of this module's contract
 from veridex.session import Stage, read_table
 from veridex.sources.readers import document_chunks
@@ -459,6 +459,52 @@ def recent_order_exists(spark: SparkSession, d: str) -> DataFrame:
     return o.join(last, "o_custkey").where("o_orderdate < last").groupBy("o_custkey").agg(F.count("*").alias("n_overtaken"))
 
 
+def weighted_median_year(spark: SparkSession, d: str) -> DataFrame:
+    return governance.weighted_median(read_table(spark, d, "documents"), "source", "published_year", "n_chars")
+
+
+def ledger_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    docs, chunks = read_table(spark, d, "documents"), read_table(spark, d, "chunks").where("content_kind = 'full_text'")
+    return governance.reconcile(docs, chunks, "doc_id", "nlm_unique_id")
+
+
+def run_row_checks(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "review_template").select("item_id", "reviewer_id", "rubric_version", "output_hash", F.coalesce("labels.behavior", F.lit("")).alias("behavior"))
+    checked = governance.void_repeated(rows, ["item_id", "reviewer_id"], F.concat_ws("|", "output_hash", "behavior"))
+    return checked.groupBy("rubric_version").agg(F.count("*").alias("n"), F.sum((F.col("copies") > 1).cast("long")).alias("n_repeated"), F.sum(F.col("void").cast("long")).alias("n_void"))
+
+
+def label_binding(spark: SparkSession, d: str) -> DataFrame:
+    runs = read_table(spark, d, "review_template").select(F.col("question_id").alias("id"), F.lower("labels.behavior").alias("digest"))
+    labels = read_table(spark, d, "independent_synthetic_v1").select("id", F.col("expected_behavior").alias("digest"))
+    return governance.bind_labels(labels, runs.where("digest is not null"), ["id"], "digest").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def repeat_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return governance.repeat_consistency(read_table(spark, d, "review_template"), "question_id", "output_hash")
+
+
+def metric_gates(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "review_template").select("rubric_version", *[F.col(f"labels.{m}").alias(m) for m in ("support_rate", "key_point_coverage", "numeric_correctness", "refusal_quality")])
+    return governance.metric_gates(rows, "rubric_version", "dual-review-v1", "dual-review-v2", ["support_rate", "key_point_coverage", "numeric_correctness", "refusal_quality"])
+
+
+def blind_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return governance.blind_aliases(read_table(spark, d, "review_template"), "question_id", "item_id", "blind-7")
+
+
+def degraded_profile(spark: SparkSession, d: str) -> DataFrame:
+    return governance.weakest(_reranked(spark, d))
+
+
+def excerpt_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where each chunk stands in its document, blanks disregarded; 0 where the chunk's text is damaged or another one."""
+    chunks = read_table(spark, d, "chunks").where("text is not null").select("id", "doc_id", F.col("text").alias("excerpt")).distinct()
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    at = governance.bare_position(F.col("text"), F.col("excerpt"))
+    return chunks.join(docs, "doc_id").groupBy("id").agg(F.max(at).alias("position"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         lexical_search, bm25_topk, tfidf_cosine_topk, rrf_fusion, fts_weighted_topk, per_doc_cap, dense_knn, dense_multi_variant_rrf, hybrid_fusion, static_merge_dedupe, query_variants,
@@ -468,6 +514,7 @@ def queries() -> dict[str, Query]:
         corpus_distribution, corpus_gates, orphan_anti_join, index_except_check, duplicate_ids, leakage_groups, leakage_text, ancestor_closure, asset_issues,
         snapshot_publish, stale_deactivate, superseded_runs, evidence_levels, canonical_ids, detect_topic, tokenize_stats, doc_frequency, text_hash_dedup, sentence_counts,
         chunked_documents, page_windows, number_sets, title_keys, per_doc_ordinal, event_windows, nation_revenue, large_orders, customers_without_orders, recent_order_exists,
+        weighted_median_year, ledger_reconcile, run_row_checks, label_binding, repeat_consistency, metric_gates, blind_aliases, degraded_profile, excerpt_positions,
     ]
     return {query.__name__: query for query in own}
 

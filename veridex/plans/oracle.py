@@ -225,5 +225,22 @@ def oracle_sql() -> dict[str, str]:
         "nation_revenue": """SELECT r_name, n_name, count(*) AS n_items, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
         "large_orders": "SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200",
         "customers_without_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "weighted_median_year": """WITH p AS (SELECT source, published_year AS y, sum(n_chars) AS w FROM documents WHERE published_year IS NOT NULL AND n_chars > 0 GROUP BY 1, 2), r AS (SELECT source, y, sum(w) OVER (PARTITION BY source ORDER BY y) AS upto, sum(w) OVER (PARTITION BY source) / 2.0 AS half FROM p)
+            SELECT source, min(y) AS median FROM r WHERE upto >= half GROUP BY source""",
+        "ledger_reconcile": """WITH a AS (SELECT doc_id, min(nlm_unique_id) AS x FROM documents GROUP BY 1), b AS (SELECT doc_id, min(nlm_unique_id) AS y FROM chunks WHERE content_kind = 'full_text' AND doc_id IS NOT NULL GROUP BY 1)
+            SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' WHEN x IS NOT DISTINCT FROM y THEN 'equal' ELSE 'differs' END AS status, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""",
+        "run_row_checks": """WITH r AS (SELECT rubric_version, count(*) OVER w AS copies, min(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w <> max(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w AS void FROM review_template WINDOW w AS (PARTITION BY item_id, reviewer_id))
+            SELECT rubric_version, count(*) AS n, count(*) FILTER (WHERE copies > 1) AS n_repeated, count(*) FILTER (WHERE void) AS n_void FROM r GROUP BY 1""",
+        "label_binding": """WITH l AS (SELECT id, min(expected_behavior) AS l FROM independent_synthetic_v1 GROUP BY 1), r AS (SELECT question_id AS id, min(lower(labels.behavior)) AS r FROM review_template WHERE labels.behavior IS NOT NULL GROUP BY 1)
+            SELECT CASE WHEN r IS NULL THEN 'run_missing' WHEN l IS NULL THEN 'label_missing' WHEN l = r THEN 'bound' ELSE 'hash_mismatch' END AS status, count(*) AS n FROM l FULL JOIN r USING (id) GROUP BY 1""",
+        "repeat_consistency": "SELECT question_id, count(*) AS n, CASE WHEN count(*) > 1 THEN min(output_hash) = max(output_hash) END AS consistent FROM review_template WHERE output_hash IS NOT NULL GROUP BY 1",
+        "metric_gates": " UNION ALL ".join(
+            f"SELECT '{m}' AS metric, b AS baseline, c AS candidate, c >= b AS passed FROM (SELECT round(avg(labels.{m}) FILTER (WHERE rubric_version = 'dual-review-v1'), 6) AS b, round(avg(labels.{m}) FILTER (WHERE rubric_version = 'dual-review-v2'), 6) AS c FROM review_template)"
+            for m in ("support_rate", "key_point_coverage", "numeric_correctness", "refusal_quality")
+        ),
+        "blind_aliases": "SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY sha256('blind-7|' || question_id || '|' || item_id), item_id) AS alias FROM (SELECT DISTINCT question_id, item_id FROM review_template WHERE item_id IS NOT NULL)",
+        "degraded_profile": f"WITH {RERANK} SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank DESC) AS rank FROM rer WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY q ORDER BY rer.rank DESC) <= 8".replace("ORDER BY rank DESC) AS rank", "ORDER BY rer.rank DESC) AS rank").replace("WHERE rank <= 40 QUALIFY", "WHERE rer.rank <= 40 QUALIFY"),
+        "excerpt_positions": f"""WITH c AS (SELECT DISTINCT id, doc_id, text AS excerpt FROM chunks WHERE text IS NOT NULL)
+            SELECT id, max(CASE WHEN regexp_replace(excerpt, '{WS}', '', 'g') = '' THEN 0 ELSE coalesce(strpos(regexp_replace(text, '{WS}', '', 'g'), regexp_replace(excerpt, '{WS}', '', 'g')), 0) END) AS position FROM c JOIN documents USING (doc_id) GROUP BY id""",
         "recent_order_exists": "SELECT o_custkey, count(*) AS n_overtaken FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate > o.o_orderdate) GROUP BY o_custkey",
     }
