@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veridex import engine
 from veridex.functions import identity, text
 from veridex.operators import audit, components, evaluation, gates, governance, pool, publish, retrieval, verification
 from veridex.plans.oracle import oracle_sql  # noqa: F401 - part of this module's contract
@@ -505,6 +506,17 @@ def excerpt_positions(spark: SparkSession, d: str) -> DataFrame:
     return chunks.join(docs, "doc_id").groupBy("id").agg(F.max(at).alias("position"))
 
 
+def rerank_local(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the first 40 with statistics over the question's own pool, as the reranker wants them."""
+    items = corpus(spark, d).select(F.col("doc_id").alias("id"), "searchable")
+    return retrieval.local_scores(golden(spark, d), "id", F.col("question"), lexical_search(spark, d).select("q", "id").join(items, "id"), F.col("searchable"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain for the golden questions."""
+    return engine.ask(golden(spark, d), read_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = [
         lexical_search, bm25_topk, tfidf_cosine_topk, rrf_fusion, fts_weighted_topk, per_doc_cap, dense_knn, dense_multi_variant_rrf, hybrid_fusion, static_merge_dedupe, query_variants,
@@ -514,7 +526,7 @@ def queries() -> dict[str, Query]:
         corpus_distribution, corpus_gates, orphan_anti_join, index_except_check, duplicate_ids, leakage_groups, leakage_text, ancestor_closure, asset_issues,
         snapshot_publish, stale_deactivate, superseded_runs, evidence_levels, canonical_ids, detect_topic, tokenize_stats, doc_frequency, text_hash_dedup, sentence_counts,
         chunked_documents, page_windows, number_sets, title_keys, per_doc_ordinal, event_windows, nation_revenue, large_orders, customers_without_orders, recent_order_exists,
-        weighted_median_year, ledger_reconcile, run_row_checks, label_binding, repeat_consistency, metric_gates, blind_aliases, degraded_profile, excerpt_positions,
+        weighted_median_year, ledger_reconcile, run_row_checks, label_binding, repeat_consistency, metric_gates, blind_aliases, degraded_profile, excerpt_positions, rerank_local, answers,
     ]
     return {query.__name__: query for query in own}
 

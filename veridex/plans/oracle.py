@@ -240,6 +240,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "blind_aliases": "SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY sha256('blind-7|' || question_id || '|' || item_id), item_id) AS alias FROM (SELECT DISTINCT question_id, item_id FROM review_template WHERE item_id IS NOT NULL)",
         "degraded_profile": f"WITH {RERANK} SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank DESC) AS rank FROM rer WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY q ORDER BY rer.rank DESC) <= 8".replace("ORDER BY rank DESC) AS rank", "ORDER BY rer.rank DESC) AS rank").replace("WHERE rank <= 40 QUALIFY", "WHERE rer.rank <= 40 QUALIFY"),
+        "rerank_local": f"""WITH {BASE}, pl AS MATERIALIZED (SELECT l.q, l.id, unnest(i.toks) AS term FROM lex l JOIN items i USING (id)), ix AS MATERIALIZED (SELECT q, id, term, count(*)::DOUBLE AS tf FROM pl GROUP BY q, id, term),
+            sz AS (SELECT l.q, l.id, len(i.toks) AS z FROM lex l JOIN items i USING (id)), sh2 AS (SELECT q, count(*)::DOUBLE AS n, greatest(avg(z), 1.0) AS a FROM sz GROUP BY q), d2 AS (SELECT q, term, count(*)::DOUBLE AS df FROM ix GROUP BY q, term),
+            asked AS MATERIALIZED (SELECT qt.q, qt.term, qtf, n, a, coalesce(df, 0) AS df FROM qt JOIN sh2 USING (q) LEFT JOIN d2 USING (q, term)), hits AS MATERIALIZED (SELECT * FROM asked JOIN ix USING (q, term) JOIN sz USING (q, id)),
+            b AS (SELECT q, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * z / a))), 9) AS s FROM hits GROUP BY q, id), bb AS (SELECT q, id, round(CASE WHEN max(s) OVER (PARTITION BY q) > 0 THEN s / max(s) OVER (PARTITION BY q) ELSE 0 END, 9) AS bm25 FROM b),
+            nm AS (SELECT ix.q, ix.id, sum(pow(tf * (ln((n + 2) / (d2.df + CASE WHEN qt.term IS NULL THEN 0 ELSE 1 END + 1)) + 1), 2)) AS norm FROM ix JOIN sh2 USING (q) JOIN d2 USING (q, term) LEFT JOIN qt USING (q, term) GROUP BY ix.q, ix.id),
+            qn2 AS (SELECT q, sum(pow(qtf * (ln((n + 2) / (df + 2)) + 1), 2)) AS q_norm FROM asked GROUP BY q), dt AS (SELECT q, id, sum(qtf * tf * pow(ln((n + 2) / (df + 2)) + 1, 2)) AS dot FROM hits GROUP BY q, id),
+            c AS (SELECT q, id, round(dot / sqrt(norm * q_norm), 9) AS cosine FROM dt JOIN nm USING (q, id) JOIN qn2 USING (q))
+            SELECT l.q, l.id, coalesce(bb.bm25, 0) AS bm25, coalesce(c.cosine, 0) AS cosine FROM lex l LEFT JOIN bb USING (q, id) LEFT JOIN c USING (q, id)""",
         "excerpt_positions": f"""WITH c AS (SELECT DISTINCT id, doc_id, text AS excerpt FROM chunks WHERE text IS NOT NULL)
             SELECT id, max(CASE WHEN regexp_replace(excerpt, '{WS}', '', 'g') = '' THEN 0 ELSE coalesce(strpos(regexp_replace(text, '{WS}', '', 'g'), regexp_replace(excerpt, '{WS}', '', 'g')), 0) END) AS position FROM c JOIN documents USING (doc_id) GROUP BY id""",
         "recent_order_exists": "SELECT o_custkey, count(*) AS n_overtaken FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate > o.o_orderdate) GROUP BY o_custkey",
