@@ -26,8 +26,10 @@ from veridex.session import Stage
 BITS = 256
 BLOCK_BITS = 16
 BLOCKS = 40
-RADIUS = 48
+RADIUS = 56
 MOST_DIFFERENT = 6
+ALIKE_SHARE = 0.25
+FRAME_SHARE = 0.15
 EVALUATION = ("dev", "blind")
 
 # Words that carry no clinical content, and courtesies around a question.
@@ -203,7 +205,9 @@ def verified(pairs: DataFrame, contents: DataFrame, frequency: DataFrame) -> Dat
     """(train_form, eval_form) of candidates with the same content.
 
     Words that replace each other in at least a quarter of the questions that have the rarer of them are learned as
-    equal, if they do so in three contexts (rarest shared words); numbers and denials never are.
+    equal, if they do so in three contexts (rarest shared words). A phrase that one of two otherwise equal questions
+    has, in three contexts and a share of the questions with its rarest word, is learned as part of a question's frame.
+    Numbers and denials never are.
     """
     stage = Stage(pairs.sparkSession, "verified")
 
@@ -229,11 +233,24 @@ def verified(pairs: DataFrame, contents: DataFrame, frequency: DataFrame) -> Dat
     counts = spread.where("size(left) <= 2 and size(right) <= 2").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "context").groupBy("x", "y").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"))
     df = contents.select(F.explode(F.arrays_zip("words", "dfs")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.dfs").alias("df")).distinct()
     counts = counts.where("contexts >= 3").join(df.select(F.col("word").alias("x"), F.col("df").alias("dx")), "x").join(df.select(F.col("word").alias("y"), F.col("df").alias("dy")), "y")
-    learned = stage.write(counts.where(F.col("n") >= 0.25 * F.least("dx", "dy")).select("x", "y"))
+    learned = stage.write(counts.where(F.col("n") >= ALIKE_SHARE * F.least("dx", "dy")).select("x", "y"))
+
+    # phrases that only one of two questions has, and that come and go like this in many contexts, belong to the frame
+    phrase = lambda c: F.array_join(F.array_sort(c), " ")
+    one = compared.where((F.size("left") == 0) != (F.size("right") == 0)).select("train_form", "eval_form", "context", F.concat("left", "right").alias("extra"))
+    plain = ~F.exists("extra", lambda w: w.rlike(r"\d") | w.isin(*NEGATION))
+    one = stage.write(one.where(plain).select("train_form", "eval_form", "context", "extra", phrase(F.col("extra")).alias("phrase")))
+    seen = one.groupBy("phrase", "extra").agg(F.countDistinct("context").alias("contexts")).where("contexts >= 3")
+    rarest = seen.select("phrase", "contexts", F.explode("extra").alias("word")).join(df, "word").groupBy("phrase", "contexts").agg(F.min("df").alias("df"))
+    frames = stage.write(rarest.where(F.col("contexts") >= FRAME_SHARE * F.col("df")).select("phrase").distinct())
+    framed = one.join(frames, "phrase", "left_semi").select("train_form", "eval_form")
+
     both = learned.union(learned.select("y", "x"))
     covered = spread.join(both, ["x", "y"]).groupBy("train_form", "eval_form").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.collect_set("x").alias("cx"), F.collect_set("y").alias("cy"))
-    more = covered.where((F.size(F.array_except("left", "cx")) == 0) & (F.size(F.array_except("right", "cy")) == 0)).select("train_form", "eval_form")
-    return same.union(more)
+    rest = covered.select("train_form", "eval_form", F.array_except("left", "cx").alias("a"), F.array_except("right", "cy").alias("b")).where("size(a) = 0 or size(b) = 0")
+    rest = rest.select("train_form", "eval_form", phrase(F.concat("a", "b")).alias("phrase"))
+    more = rest.where("phrase = ''").select("train_form", "eval_form").union(rest.join(frames, "phrase", "left_semi").select("train_form", "eval_form"))
+    return same.union(framed).union(more).distinct()
 
 
 def overlaps(records: DataFrame) -> DataFrame:
