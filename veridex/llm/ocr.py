@@ -347,7 +347,7 @@ class Noise:
     """The decisions over one set of chunks: misread types, breaks, page numbers and running lines."""
 
     def __init__(self, chunks: DataFrame, documents: DataFrame):
-        stage = Stage(chunks.sparkSession, "ocr")
+        self.stage = stage = Stage(chunks.sparkSession, "ocr")
         self.rows = prepared(chunks)
         self.counts = stage.write(word_counts(self.rows))
         self.fixes = stage.write(misread_words(self.counts))
@@ -367,9 +367,11 @@ class Noise:
         lone = F.arrays_overlap("words", F.array(*map(F.lit, "liosbg")))
         decimal = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}])({DECIMAL})(?![\p{{L}}\p{{N}}])"), F.lit(1)), lambda x: F.concat(F.lit("\0"), F.lower(x)))
         spread = listed.select("id", F.explode(F.when(lone, F.concat("words", decimal)).otherwise(F.col("words"))).alias("word"))
-        decimals = spread.where(F.col("word").startswith("\0")).select("id", F.substring("word", 2, 20).alias("word")).distinct().select("id", "word", F.translate("word", "lioqsbgz", "11005697").alias("fix"))
         fixes = F.broadcast(self.fixes) if self.small_fixes else self.fixes
-        hits = spread.join(fixes, "word")
+        number = F.col("word").startswith("\0")
+        hits = spread.join(fixes, "word", "left").where(F.col("fix").isNotNull() | number)
+        fix = F.when(number, F.translate(F.substring("word", 2, 40), "lioqsbgz", "11005697")).otherwise(F.col("fix"))
+        hits = self.stage.write(hits.select("id", F.when(number, F.substring("word", 2, 40)).otherwise(F.col("word")).alias("word"), fix.alias("fix")).distinct())
         # a misread word that stands in a line of furniture only is no damage of the body
         outer = self.furniture.select("id", "line").union(self.numbers.select("id", "line")).select("id", F.explode(F.regexp_extract_all(F.lower(F.col("line")), F.lit(rf"({WORD})"), F.lit(1))).alias("word"))
         outside = outer.join(fixes.select("word"), "word").groupBy("id", "word").agg(F.count("*").alias("outer"))
@@ -377,7 +379,7 @@ class Noise:
         plain = hits.where("outer is null").select("id", "word", "fix")
         doubtful = hits.where("outer is not null").join(self.rows.select("id", F.lower(F.col("text")).alias("text")), "id")
         again = doubtful.where(F.size(F.filter(F.regexp_extract_all("text", F.lit(rf"({WORD})"), F.lit(1)), lambda w: w == F.col("word"))) > F.col("outer")).select("id", "word", "fix")
-        return plain.union(again).union(decimals).distinct()
+        return plain.union(again).distinct()
 
     def broken(self) -> DataFrame:
         return self.breaks.join(self.joined.where("join"), ["left", "mark", "right"])
