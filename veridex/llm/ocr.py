@@ -400,8 +400,8 @@ def defects(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def paragraphs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, page_number, paragraphs): repaired paragraphs per page, from the latest row of each chunk id.
 
-    Pages are in chunk order; page-less chunks form a page with a null number. Blank lines part paragraphs; other line
-    ends are joined, without a blank between Chinese characters.
+    Pages are in chunk order; page-less chunks form a page with a null number. Blank lines part paragraphs, and headings
+    stand alone; other line ends are joined, without a blank between Chinese characters.
     """
     noise = Noise(chunks, documents)
     latest = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.xxhash64("text"))
@@ -417,9 +417,16 @@ def paragraphs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         def cased(old: str, new: str) -> str:
             return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
+        def heads(line: str, after: str, width: int) -> bool:
+            """A short line without a closing mark above a line that begins anew is a heading."""
+            bare, nxt = line.strip(), after.strip()
+            return 0 < len(bare) <= 0.4 * width and bare[-1] not in ".,;:!?。，；：、-‐¬\u00ad" and bool(nxt) and not nxt[0].islower() and not bare[0].islower()
+
         def one(t: str, f: dict | None, d: list | None, k: list | None) -> list[str]:
             gone, own_marks = set(d if d is not None else ()), set(k if k is not None else ())
-            lines = "\n".join(x for x in t.split("\n") if x not in gone)
+            body = [x for x in t.split("\n") if x not in gone]
+            width = max(map(len, body), default=0)
+            lines = "\n".join(x + "\n" if heads(x, after, width) else x for x, after in zip(body, [*body[1:], ""], strict=True))
             lines = split.sub(lambda m: f"{m[1]}-{m[2]}" if f"{m[1]}\n{m[2]}" in own_marks else m[1] + m[2], lines)
             if f:
                 table = dict(f)
