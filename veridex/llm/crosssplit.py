@@ -48,8 +48,8 @@ FUNCTION = frozenset(
 ALIKE = {
     word: group[0]
     for group in (
-        "adding addition add|despite spite notwithstanding|compared versus vs against|large big great|safe harmless|supports backs support|improve better|improved bettered betterd|say says report reports state states|switching changing|replace substitute"
-        "|indica señala muestra|mejora reduce|apoya respalda|atendidas atendidos"
+        "adding addition add|despite spite notwithstanding|compared versus vs against|large big great|safe harmless|supports backs support|improve better|say says report reports state states|switching changing|replace substitute"
+        "|indica señala muestra|apoya respalda|atendidas atendidos"
     ).split("|")
     for group in [group.split()]
     for word in group
