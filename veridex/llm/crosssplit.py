@@ -28,8 +28,8 @@ BLOCK_BITS = 16
 BLOCKS = 40
 RADIUS = 56
 MOST_DIFFERENT = 6
-ALIKE_SHARE = 0.25
-FRAME_SHARE = 0.15
+ALIKE_SHARE = 0.08
+FRAME_SHARE = 0.08
 EVALUATION = ("dev", "blind")
 
 # Words that carry no clinical content, and courtesies around a question.
@@ -204,7 +204,7 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
 def verified(pairs: DataFrame, contents: DataFrame, frequency: DataFrame) -> DataFrame:
     """(train_form, eval_form) of candidates with the same content.
 
-    Words that replace each other in at least a quarter of the questions that have the rarer of them are learned as
+    Words that replace each other in at least ALIKE_SHARE of the questions that have the rarer of them are learned as
     equal, if they do so in three contexts (rarest shared words). A phrase that one of two otherwise equal questions
     has, in three contexts and a share of the questions with its rarest word, is learned as part of a question's frame.
     Numbers and denials never are.
