@@ -56,3 +56,24 @@ def test_edit_distance_and_differences():
     assert crosssplit.differences(["5"], ["6"], [9], [9]) == (["5"], ["6"])
     assert crosssplit.differences(["高", "血", "压"], ["高", "压"], [9] * 3, [9] * 2) == ([], [])
     assert crosssplit.differences(["不", "宜"], ["宜"], [9] * 2, [9]) == (["不"], [])
+
+
+def test_rules_do_not_count_rows(spark):
+    """One swap of listed words is enough; denials, numbers and populations always count."""
+    q = {r[0]: r[3] for r in corpus()}
+    zh = "哪项队列研究{w}在老年人中lofaladu比kufifizo更能改善高血压患者的收缩压?"
+    german = "Hat Lofaladu bei älteren Menschen mit Bluthochdruck {w} Wirkung auf den Schlaganfall?"
+    rows = [
+        ("z1", "train", "s", zh.format(w="指明"), "x"),
+        ("z2", "dev", "s", zh.format(w="说明"), "x"),
+        ("g1", "train", "s", german.format(w="keine"), "x"),
+        ("g2", "dev", "s", german.format(w="eine"), "x"),
+        ("a1", "dev", "s", q["t00"] + " (adults only)", "x"),
+        ("a2", "dev", "s", q["t01"].replace("workers", "workers, adults only,"), "x"),
+    ] + [(f"n{i}", "train", "s", f"Hat Mittel{chr(97 + i)} eine Wirkung?", "x") for i in range(12)]
+    assert pairs(spark, rows) == {("z1", "z2"), ("a1", "t00")}
+
+
+def test_denials_and_numbers_are_no_misspellings():
+    for a, b in (("never", "fever"), ("keine", "keiner"), ("sechs", "sechz")):
+        assert crosssplit.differences([a, "x"], [b, "x"], [50, 9], [60, 9]) == ([a], [b])

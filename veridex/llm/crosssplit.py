@@ -4,7 +4,7 @@ Questions become canonical tokens; equal token strings are one form, and only fo
 are mapped to their base through shared deletion signatures. Each form gets a weighted 256-bit similarity hash of its
 content tokens; permuted 16-bit blocks of the codes are joined between training and evaluation forms, candidates within
 the Hamming radius are kept, and their texts are verified token by token: what differs may only be function words,
-courtesies, misspellings, or words that stand for one another throughout the data.
+courtesies, misspellings, or words of fixed lists that stand for one another. No rule on words counts rows.
 """
 
 from __future__ import annotations
@@ -27,9 +27,6 @@ BITS = 256
 BLOCK_BITS = 16
 BLOCKS = 40
 RADIUS = 56
-MOST_DIFFERENT = 6
-ALIKE_SHARE = 0.08
-FRAME_SHARE = 0.08
 EVALUATION = ("dev", "blind")
 
 # Words that carry no clinical content, and courtesies around a question.
@@ -44,18 +41,33 @@ FUNCTION = frozenset(
     der die das den dem des ein eine einer eines einem einen und oder ist sind von vom zu zum zur im in mit für auf bei nach welche welcher welches wie was bitte danke frage quellen
     的 了 是 否 请 问 谢 吗 呢 吧 在 与 和 或 对 于 中 有 哪 些 什 么 如 何 怎 样 题 想 解 给 出 来 源 能 其 之 及 以 为 可""".split()
 )
-# Words of a question's frame that stand for one another; more are learned from the data.
+# Tails in brackets that stand on any question; only the whole tail is left out, never its words elsewhere.
+TAILS = ("(adults only)",)
+# Words of a question's frame that stand for one another.
 ALIKE = {
     word: group[0]
     for group in (
         "adding addition add|despite spite notwithstanding|compared versus vs against|large big great|safe harmless|supports backs support|improve better|say says report reports state states|switching changing|replace substitute"
-        "|indica señala muestra|apoya respalda|atendidas atendidos"
+        "|improved bettered betterd|indica señala muestra|apoya respalda|atendidas atendidos|tras después|mejora reduce"
     ).split("|")
     for group in [group.split()]
     for word in group
 }
-NEGATION = frozenset("不 无 未 非 没 勿 一 二 三 四 五 六 七 八 九 十 两 半".split())
-TOKEN = r"([\p{L}&&[^\p{IsHan}]]+|\d+(?:[.,]\d+)*|\p{IsHan})"
+# Chinese words of the frame that stand for one another, sign by sign.
+ALIKE_HAN = {"指明": "说明"}
+# Denials and number words; they are never another word misspelt.
+NEGATION = frozenset(
+    """no not never none neither nor non without zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
+    seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand half once twice
+    ni nunca jamás sin ningún ninguno ninguna nadie nada tampoco cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince
+    dieciséis veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil medio media
+    ne pas jamais sans aucun aucune rien zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente
+    quarante cinquante soixante cent mille demi demie
+    nicht kein keine keinen keinem keiner keines nie niemals ohne weder noch null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn
+    zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend halb
+    不 无 未 非 没 勿 别 零 一 二 三 四 五 六 七 八 九 十 百 千 万 两 双 半""".split()
+)
+TOKEN = "(" + "|".join(re.escape(t) for t in TAILS) + r"|[\p{L}&&[^\p{IsHan}]]+|\d+(?:[.,]\d+)*|\p{IsHan})"
 
 
 def questions(records: DataFrame) -> DataFrame:
@@ -85,7 +97,7 @@ def misspellings(frequency: DataFrame, ratio: int = 10, least: int = 4) -> DataF
     cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
     signed = words.select("token", "df", F.explode(F.array_distinct(F.concat(F.array("token"), cuts))).alias("sign"))
     a, b = signed.select("sign", "token", "df"), signed.select("sign", F.col("token").alias("base"), F.col("df").alias("base_df"))
-    near = a.join(b, "sign").where((F.col("token") != F.col("base")) & (F.col("base_df") >= ratio * F.col("df"))).select("token", "base", "base_df").distinct()
+    near = a.join(b, "sign").where((F.col("token") != F.col("base")) & ~F.col("token").isin(*sorted(NEGATION)) & (F.col("base_df") >= ratio * F.col("df"))).select("token", "base", "base_df").distinct()
     swapped = (F.length("token") == F.length("base")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("base", "")))
     near = near.where((F.levenshtein("token", "base") <= 1) | ((F.levenshtein("token", "base") == 2) & swapped))
     return near.groupBy("token").agg(F.max(F.struct("base_df", "base")).alias("x")).select("token", F.col("x.base").alias("base"))
@@ -95,7 +107,10 @@ def content(forms: DataFrame, frequency: DataFrame, base: DataFrame) -> DataFram
     """(form, words, weights): content tokens in their base spelling with their squared inverse document frequency."""
     total = F.broadcast(forms.agg(F.count("*").cast("double").alias("total")))
     known = frequency.join(base, "token", "left").select("token", F.coalesce("base", "token").alias("word"))
-    spread = forms.select("form", F.explode("tokens").alias("token")).where(~F.col("token").isin(*sorted(FUNCTION))).join(known, "token")
+    text = F.array_join("tokens", "\x1f")
+    for word, other in ALIKE_HAN.items():
+        text = F.replace(text, F.lit("\x1f".join(word)), F.lit("\x1f".join(other)))
+    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION), *TAILS)).join(known, "token", "left").withColumn("word", F.coalesce("word", "token"))
     alike = F.create_map(*[F.lit(x) for pair in ALIKE.items() for x in pair])
     spread = spread.select("form", F.coalesce(alike[F.col("word")], F.col("word")).alias("word")).where(~F.col("word").isin(*sorted(FUNCTION)))
     df = spread.distinct().groupBy("word").agg(F.count("*").alias("df"))
@@ -179,10 +194,10 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
     df = {**dict(zip(a, df_a, strict=True)), **dict(zip(b, df_b, strict=True))}
     names = 0  # pairs that only their spelling calls equal; one may be a misspelt name, two are other names
     for x in left.copy():
-        if len(x) < 4 or not x.isalpha() or _HAN.match(x):
+        if len(x) < 4 or not x.isalpha() or _HAN.match(x) or x in NEGATION:
             continue
         for y in right:
-            if not y.isalpha() or _HAN.match(y):
+            if not y.isalpha() or _HAN.match(y) or y in NEGATION:
                 continue
             rare = min(df[x], df[y]) * 20 <= max(df[x], df[y])
             d = edit_distance(x, y)
@@ -201,56 +216,17 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
     return left, right
 
 
-def verified(pairs: DataFrame, contents: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(train_form, eval_form) of candidates with the same content.
-
-    Words that replace each other in at least ALIKE_SHARE of the questions that have the rarer of them are learned as
-    equal, if they do so in three contexts (rarest shared words). A phrase that one of two otherwise equal questions
-    has, in three contexts and a share of the questions with its rarest word, is learned as part of a question's frame.
-    Numbers and denials never are.
-    """
-    stage = Stage(pairs.sparkSession, "verified")
+def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(train_form, eval_form) of candidates with the same content."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found, context = [], []
-            for a, b, c, d in zip(pdf["wa"], pdf["wb"], pdf["da"], pdf["db"], strict=True):
-                found.append(differences(list(a), list(b), list(c), list(d)))
-                common = set(a) & set(b)
-                context.append(min(((n, w) for w, n in zip(a, c, strict=True) if w in common), default=(0, ""))[1])
-            out = pdf[["train_form", "eval_form"]].assign(left=[x for x, _ in found], right=[y for _, y in found], context=context)
-            yield out[[len(x) <= 4 and len(y) <= 4 for x, y in found]]
+            same = [differences(list(a), list(b), list(c), list(d)) == ([], []) for a, b, c, d in zip(pdf["wa"], pdf["wb"], pdf["da"], pdf["db"], strict=True)]
+            yield pdf.loc[same, ["train_form", "eval_form"]]
 
     a = contents.select(F.col("form").alias("train_form"), F.col("words").alias("wa"), F.col("dfs").alias("da"))
     b = contents.select(F.col("form").alias("eval_form"), F.col("words").alias("wb"), F.col("dfs").alias("db"))
-    # what differs slightly has few different words; the rest never reaches Python
-    close = pairs.join(a, "train_form").join(b, "eval_form").where((F.size(F.array_except("wa", "wb")) <= MOST_DIFFERENT) & (F.size(F.array_except("wb", "wa")) <= MOST_DIFFERENT))
-    compared = stage.write(close.mapInPandas(compare, "train_form long, eval_form long, left array<string>, right array<string>, context string"))
-    same = compared.where((F.size("left") == 0) & (F.size("right") == 0)).select("train_form", "eval_form")
-    open_ = compared.where((F.size("left") > 0) & (F.size("right") > 0))
-    spread = open_.select("train_form", "eval_form", "left", "right", "context", F.explode("left").alias("x")).select("train_form", "eval_form", "left", "right", "context", "x", F.explode("right").alias("y"))
-    spread = spread.where(~F.col("x").rlike(r"\d") & ~F.col("y").rlike(r"\d") & ~F.col("x").isin(*NEGATION) & ~F.col("y").isin(*NEGATION))
-    counts = spread.where("size(left) <= 2 and size(right) <= 2").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "context").groupBy("x", "y").agg(F.count("*").alias("n"), F.countDistinct("context").alias("contexts"))
-    df = contents.select(F.explode(F.arrays_zip("words", "dfs")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.dfs").alias("df")).distinct()
-    counts = counts.where("contexts >= 3").join(df.select(F.col("word").alias("x"), F.col("df").alias("dx")), "x").join(df.select(F.col("word").alias("y"), F.col("df").alias("dy")), "y")
-    learned = stage.write(counts.where(F.col("n") >= ALIKE_SHARE * F.least("dx", "dy")).select("x", "y"))
-
-    # phrases that only one of two questions has, and that come and go like this in many contexts, belong to the frame
-    phrase = lambda c: F.array_join(F.array_sort(c), " ")
-    one = compared.where((F.size("left") == 0) != (F.size("right") == 0)).select("train_form", "eval_form", "context", F.concat("left", "right").alias("extra"))
-    plain = ~F.exists("extra", lambda w: w.rlike(r"\d") | w.isin(*NEGATION))
-    one = stage.write(one.where(plain).select("train_form", "eval_form", "context", "extra", phrase(F.col("extra")).alias("phrase")))
-    seen = one.groupBy("phrase", "extra").agg(F.countDistinct("context").alias("contexts")).where("contexts >= 3")
-    rarest = seen.select("phrase", "contexts", F.explode("extra").alias("word")).join(df, "word").groupBy("phrase", "contexts").agg(F.min("df").alias("df"))
-    frames = stage.write(rarest.where(F.col("contexts") >= FRAME_SHARE * F.col("df")).select("phrase").distinct())
-    framed = one.join(frames, "phrase", "left_semi").select("train_form", "eval_form")
-
-    both = learned.union(learned.select("y", "x"))
-    covered = spread.join(both, ["x", "y"]).groupBy("train_form", "eval_form").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.collect_set("x").alias("cx"), F.collect_set("y").alias("cy"))
-    rest = covered.select("train_form", "eval_form", F.array_except("left", "cx").alias("a"), F.array_except("right", "cy").alias("b")).where("size(a) = 0 or size(b) = 0")
-    rest = rest.select("train_form", "eval_form", phrase(F.concat("a", "b")).alias("phrase"))
-    more = rest.where("phrase = ''").select("train_form", "eval_form").union(rest.join(frames, "phrase", "left_semi").select("train_form", "eval_form"))
-    return same.union(framed).union(more).distinct()
+    return pairs.join(a, "train_form").join(b, "eval_form").mapInPandas(compare, "train_form long, eval_form long")
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -267,7 +243,7 @@ def overlaps(records: DataFrame) -> DataFrame:
     contents = stage.write(content(forms, frequency, misspellings(frequency)))
     parts = rows.select("form", "part").distinct()
     pairs = stage.write(candidates(stage.write(fingerprints(contents)), parts))
-    near = verified(pairs, contents, frequency).withColumn("exact", F.lit(False))
+    near = verified(pairs, contents).withColumn("exact", F.lit(False))
     equal = parts.where("part = 'train'").join(parts.where("part = 'eval'").select("form"), "form").join(forms.select("form"), "form").select(F.col("form").alias("train_form"), F.col("form").alias("eval_form"), F.lit(True).alias("exact"))
     train = rows.where("part = 'train'").select(F.col("form").alias("train_form"), F.col("id").alias("train_id"))
     held = rows.where("part = 'eval'").select(F.col("form").alias("eval_form"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
