@@ -1,3 +1,5 @@
+import numpy as np
+
 from veridex.llm import crosssplit
 
 SCHEMA = "id string, split string, source string, question string, form string"
@@ -58,6 +60,38 @@ def test_edit_distance_and_differences():
     assert crosssplit.differences(["不", "宜"], ["宜"], [9] * 2, [9]) == (["不"], [])
 
 
+def test_every_pair_within_the_radius():
+    """Against brute force, up to the radius itself, with several steps."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    b = a[rng.permutation(300)[:200]].copy()
+    for k, row in enumerate(b):  # 0 to 99 bits apart
+        flip = np.zeros(256, np.uint8)
+        flip[rng.permutation(256)[: k % 100]] = 1
+        b[k] = row ^ np.packbits(flip)
+    got = {(int(x), int(y)) for i, j in crosssplit.within(a, b, step=64) for x, y in zip(i, j, strict=True)}
+    assert got == {(x, y) for x in range(300) for y in range(200) if sum((int(p) ^ int(q)).bit_count() for p, q in zip(a[x], b[y], strict=True)) <= crosssplit.RADIUS} and len(got) >= 160
+
+
+def test_blocks_lose_no_pair(spark):
+    """Forms dealt into many blocks, and pairs as far apart as the radius allows, against all pairs; many words may be spelt otherwise."""
+    base = ["alphaxolem", "betatinora", "gammadorix", "deltamerol", "epsilunate", "zetamicron"]
+    forms = [(i, "train" if i % 2 else "eval", [w if i >> k & 1 else w[:-1] + "q" for k, w in enumerate(base)]) for i in range(64)]
+    rng = np.random.default_rng(4)
+    codes = {}
+    for i, _, _ in forms:
+        flip = np.zeros(256, np.uint8)
+        flip[rng.permutation(256)[:40]] = 1
+        codes[i] = np.packbits(flip)
+    rows = [(i, bytearray(codes[i].tobytes())) for i, _, _ in forms]
+    contents = spark.createDataFrame([(i, w, [1000 if x in base else 9 for x in w]) for i, _, w in forms], "form long, words array<string>, dfs array<long>")
+    parts = spark.createDataFrame([(i, p) for i, p, _ in forms], "form long, part string")
+    found = crosssplit.verified(spark.createDataFrame(rows, "form long, code binary"), contents, parts, block=7)
+    got = sorted((r.train_form, r.eval_form) for r in found.collect())
+    near = lambda i, j: sum((int(p) ^ int(q)).bit_count() for p, q in zip(codes[i], codes[j], strict=True)) <= crosssplit.RADIUS
+    assert got == [(i, j) for i in range(1, 64, 2) for j in range(0, 64, 2) if near(i, j)] and len(got) > 1000
+
+
 def test_rules_do_not_count_rows(spark):
     """One swap of listed words is enough; denials, numbers and populations always count."""
     q = {r[0]: r[3] for r in corpus()}

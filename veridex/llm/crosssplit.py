@@ -2,21 +2,21 @@
 
 Questions become canonical tokens; equal token strings are one form, and only forms are compared. Misspelt frequent words
 are mapped to their base through shared deletion signatures. Each form gets a weighted 256-bit similarity hash of its
-content tokens; permuted 16-bit blocks of the codes are joined between training and evaluation forms, candidates within
-the Hamming radius are kept, and their texts are verified token by token: what differs may only be function words,
-courtesies, misspellings, or words of fixed lists that stand for one another. No rule on words counts rows.
+content tokens. Blocks of training codes meet blocks of evaluation codes, and one matrix product gives the Hamming distance
+of all their pairs, so every pair within the radius is found. Those are verified token by token: what differs may only be
+function words, courtesies, misspellings, or words of fixed lists that stand for one another. No rule on words counts rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm.confusable import canonical
@@ -24,9 +24,8 @@ from veridex.llm.keys import squeezed
 from veridex.session import Stage
 
 BITS = 256
-BLOCK_BITS = 16
-BLOCKS = 40
-RADIUS = 56
+RADIUS = 80
+BLOCK_FORMS = 8192
 EVALUATION = ("dev", "blind")
 
 # Words that carry no clinical content, and courtesies around a question.
@@ -123,49 +122,36 @@ def _bits(words: list[str]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(codes, dtype=np.uint8)).reshape(len(words), BITS).astype(np.float32) * 2 - 1
 
 
-def _block_positions() -> np.ndarray:
-    rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(BITS)[:BLOCK_BITS] for _ in range(BLOCKS)])
-
-
 def fingerprints(contents: DataFrame) -> DataFrame:
-    """(form, h0..h3, blocks): 256-bit similarity hash as four longs, and its permuted 16-bit blocks.
+    """(form, code): 256-bit similarity hash as 32 bytes.
 
     A word that only one form has can't agree with any other form and is left out of the sum; forms without any other
     word have no fingerprint, they match as equal forms only.
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        positions, powers = _block_positions(), 1 << np.arange(BLOCK_BITS)
         for pdf in batches:
-            forms, longs, blocks = [], [], []
+            forms, codes = [], []
             for form, words, weights, dfs in zip(pdf["form"], pdf["words"], pdf["weights"], pdf["dfs"], strict=True):
                 shared = np.asarray(dfs) > 1
                 if not shared.any():
                     continue
                 total = np.asarray(weights, dtype=np.float32)[shared] @ _bits([w for w, s in zip(words, shared, strict=True) if s])
-                bits = (total > 0).astype(np.uint8)
                 forms.append(form)
-                longs.append(np.packbits(bits).view(">i8").astype(np.int64))
-                blocks.append((bits[positions] @ powers).astype(np.int32))
+                codes.append(np.packbits((total > 0).astype(np.uint8)).tobytes())
             if forms:
-                table = np.stack(longs)
-                yield pd.DataFrame({"form": forms, **{f"h{i}": table[:, i] for i in range(4)}, "blocks": blocks})
-
-    return contents.mapInPandas(code, "form long, h0 long, h1 long, h2 long, h3 long, blocks array<int>")
+                yield pd.DataFrame({"form": forms, "code": codes})
 
+    return contents.mapInPandas(code, "form long, code binary")
 
-def _distance() -> Column:
-    return sum((F.bit_count(F.col(f"h{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(1, 4)), F.bit_count(F.col("h0").bitwiseXOR(F.col("g0"))))
 
-
-def candidates(codes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(train_form, eval_form): different forms that share a permuted block and lie within the Hamming radius."""
-    spread = codes.join(parts, "form").select("part", "form", "h0", "h1", "h2", "h3", F.posexplode("blocks").alias("at", "block"))
-    a = spread.where("part = 'train'").select("at", "block", F.col("form").alias("train_form"), "h0", "h1", "h2", "h3")
-    b = spread.where("part = 'eval'").select("at", "block", F.col("form").alias("eval_form"), *[F.col(f"h{i}").alias(f"g{i}") for i in range(4)])
-    near = a.join(b, ["at", "block"]).where((F.col("train_form") != F.col("eval_form")) & (_distance() <= RADIUS))
-    return near.select("train_form", "eval_form").distinct()
+def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of codes (rows of bytes) within the Hamming radius, by products of signs."""
+    signs = lambda codes: np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    other = signs(b).T
+    for start in range(0, len(a), step):
+        i, j = np.nonzero(signs(a[start : start + step]) @ other >= BITS - 2 * radius)
+        yield i + start, j
 
 
 def edit_distance(a: str, b: str, most: int = 2) -> int:
@@ -216,17 +202,50 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
     return left, right
 
 
-def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(train_form, eval_form) of candidates with the same content."""
+def _fixed(words: list[str]) -> tuple[int, int]:
+    """Two numbers that are the same for questions with the same content: of the words that spelling can't change, and how many words aren't Chinese."""
+    fixed = sorted({w for w in words if w in NEGATION or not w.isalpha()})
+    return xxhash.xxh3_64_intdigest("\x1f".join(fixed)) >> 1, sum(1 for w in words if not _HAN.match(w))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            same = [differences(list(a), list(b), list(c), list(d)) == ([], []) for a, b, c, d in zip(pdf["wa"], pdf["wb"], pdf["da"], pdf["db"], strict=True)]
-            yield pdf.loc[same, ["train_form", "eval_form"]]
 
-    a = contents.select(F.col("form").alias("train_form"), F.col("words").alias("wa"), F.col("dfs").alias("da"))
-    b = contents.select(F.col("form").alias("eval_form"), F.col("words").alias("wb"), F.col("dfs").alias("db"))
-    return pairs.join(a, "train_form").join(b, "eval_form").mapInPandas(compare, "train_form long, eval_form long")
+def same_content(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) -> bool:
+    """Whether nothing of content differs; most pairs fail by their first word without a near spelling."""
+    left, right = set(a) - set(b), set(b)
+    if len(right) == len(b):  # no word twice, so what both have can't stand for another word
+        right = right - set(a)
+    for x in left:
+        if not _HAN.match(x) and not any(edit_distance(x, y) <= 2 for y in right):
+            return False
+    return differences(a, b, df_a, df_b) == ([], [])
+
+
+def verified(codes: DataFrame, contents: DataFrame, parts: DataFrame, radius: int = RADIUS, block: int = BLOCK_FORMS) -> DataFrame:
+    """(train_form, eval_form): all pairs of different forms within the Hamming radius that have the same content.
+
+    Forms are dealt into blocks by their hash and each block of training forms meets each block of evaluation forms in
+    one task, so no pair is left out; work grows with the product of the two numbers of forms.
+    """
+    rows = codes.join(contents.select("form", "words", F.col("dfs").cast("array<int>").alias("dfs")), "form").join(parts, "form")
+    n = {r.part: -(-r["count"] // block) for r in rows.groupBy("part").count().collect()}
+
+    def dealt(part: str, other: str, own: str, far: str) -> DataFrame:
+        opposite = F.explode(F.sequence(F.lit(0), F.lit(n.get(other, 1) - 1)))
+        return rows.where(F.col("part") == part).select(F.pmod(F.xxhash64("form"), F.lit(n.get(part, 1))).cast("int").alias(own), opposite.alias(far), *[F.col(c).alias(c) for c in ("form", "code", "words", "dfs")])
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            table: Callable[[pd.DataFrame], np.ndarray] = lambda pdf: np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(-1, BITS // 8)
+            words_a, words_b = [list(w) for w in a["words"]], [list(w) for w in b["words"]]
+            fixed_a, fixed_b = np.array([_fixed(w) for w in words_a]), np.array([_fixed(w) for w in words_b])
+            form_a, form_b, df_a, df_b = a["form"].to_numpy(), b["form"].to_numpy(), a["dfs"].to_list(), b["dfs"].to_list()
+            for i, j in within(table(a), table(b), radius):
+                keep = (fixed_a[i] == fixed_b[j]).all(axis=1) & (form_a[i] != form_b[j])
+                found += [(form_a[x], form_b[y]) for x, y in zip(i[keep], j[keep], strict=True) if same_content(words_a[x], words_b[y], list(df_a[x]), list(df_b[y]))]
+        return pd.DataFrame(found, columns=["train_form", "eval_form"], dtype="int64")
+
+    train, held = dealt("train", "eval", "i", "j"), dealt("eval", "train", "j", "i")
+    return train.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(compare, "train_form long, eval_form long")
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -242,8 +261,7 @@ def overlaps(records: DataFrame) -> DataFrame:
     frequency = stage.write(document_frequency(forms))
     contents = stage.write(content(forms, frequency, misspellings(frequency)))
     parts = rows.select("form", "part").distinct()
-    pairs = stage.write(candidates(stage.write(fingerprints(contents)), parts))
-    near = verified(pairs, contents).withColumn("exact", F.lit(False))
+    near = verified(stage.write(fingerprints(contents)), contents, parts).withColumn("exact", F.lit(False))
     equal = parts.where("part = 'train'").join(parts.where("part = 'eval'").select("form"), "form").join(forms.select("form"), "form").select(F.col("form").alias("train_form"), F.col("form").alias("eval_form"), F.lit(True).alias("exact"))
     train = rows.where("part = 'train'").select(F.col("form").alias("train_form"), F.col("id").alias("train_id"))
     held = rows.where("part = 'eval'").select(F.col("form").alias("eval_form"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
