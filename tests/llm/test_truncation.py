@@ -16,6 +16,20 @@ def test_limits_and_posterior():
     assert truncation.fit_censored(np.array([5]), np.array([3.0]))[0] == []
 
 
+def test_a_rare_limit_under_many_frequent_lengths():
+    """More than 200 ordinary lengths are each more frequent than the spike of the limit."""
+    lengths = np.arange(100, 3001)
+    n = np.where(lengths < 500, 1000.0, 2.0)
+    n[lengths == 2000] = 300.0
+    assert truncation.candidate_limits(lengths, n) == [2000]
+
+
+def test_a_limit_needs_more_texts_among_more_lengths():
+    few, many = np.array([300, 900]), np.concatenate([[300], np.arange(9_000, 900_000, 300)])
+    spike = lambda x: np.where(x == 300, 4.0, 1.0)
+    assert truncation.candidate_limits(few, spike(few)) == [300] and truncation.candidate_limits(many, spike(many)) == []
+
+
 def test_endings(spark):
     rng = random.Random(2)
     body = lambda: " ".join(f"Sentence {rng.randrange(99)} of the text reports a result." for _ in range(rng.randint(3, 30)))

@@ -24,6 +24,7 @@ MARK = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\((?:truncated|cut|more|continued)\)|<
 BULLET = r"^\s*(?:[-•*·‣◦–]|\d{1,3}[.)])\s+"
 UNITS = r"(?:mg|g|kg|µg|mcg|ml|l|mmol|mmHg|%|IU|h|min|d)"
 WINDOW = 3
+CHANCE = 1e-4
 ENDINGS = ("marked", "broken", "terminal", "digit_dot", "reference", "identifier", "registration", "keywords", "keywords_odd", "signature", "list_item", "list_odd", "title", "title_cut", "open")
 # Starting belief that a text with this ending is cut; EM moves all but the CERTAIN ones, which hold the text against its own sign or title.
 START = {"marked": 0.99, "broken": 0.99, "terminal": 0.005, "digit_dot": 0.03, "reference": 0.02, "identifier": 0.02, "registration": 0.03, "keywords": 0.05, "keywords_odd": 0.9, "signature": 0.02, "list_item": 0.05, "list_odd": 0.9, "title": 0.02, "title_cut": 0.99, "open": 0.97}
@@ -100,13 +101,24 @@ def _survival(z: np.ndarray) -> np.ndarray:
 
 
 def candidate_limits(lengths: np.ndarray, n: np.ndarray) -> list[int]:
-    """Lengths whose last WINDOW values hold far more texts than their surroundings would give."""
+    """Lengths whose last WINDOW values hold far more texts than their surroundings would give.
+
+    Every length is tested: five times its surroundings, and beyond chance by the Chernoff bound of a Poisson count at
+    level CHANCE over all lengths of the source; surroundings count WINDOW values of one more text in the narrowest width.
+    """
+    order = np.argsort(lengths)
+    lengths, n = lengths[order], n[order]
+    total = np.concatenate([[0.0], np.cumsum(n)])
+    upto = lambda x: total[np.searchsorted(lengths, x, "right")]
+    width = np.maximum(25, (lengths * 0.1).astype(int))
+    here = upto(lengths) - upto(lengths - WINDOW)
+    around = (upto(lengths + width - 1) - upto(lengths - width) - here) / (2 * width - WINDOW) * WINDOW
+    mean = around + WINDOW / (2 * 25 - WINDOW)
+    chance = here - mean + here * np.log(mean / here)
+    spikes = np.flatnonzero((here > 5 * mean) & (chance <= math.log(CHANCE / max(len(lengths), 1))))
     out: list[int] = []
-    for x in lengths[np.argsort(-n)][:200]:
-        here = n[(lengths > x - WINDOW) & (lengths <= x)].sum()
-        width = max(25, int(x * 0.1))
-        around = n[(lengths > x - width) & (lengths < x + width) & ((lengths <= x - WINDOW) | (lengths > x))].sum() / (2 * width - WINDOW) * WINDOW
-        if here >= 5 and here > 5 * (around + 0.6) and not any(abs(x - o) < 2 * WINDOW for o in out):
+    for x in lengths[spikes[np.argsort(-n[spikes], kind="stable")]]:
+        if not any(abs(x - o) < 2 * WINDOW for o in out):
             out.append(int(x))
     return sorted(out)
 
