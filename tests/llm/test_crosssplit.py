@@ -100,12 +100,14 @@ def test_rules_do_not_count_rows(spark):
     rows = [
         ("z1", "train", "s", zh.format(w="指明"), "x"),
         ("z2", "dev", "s", zh.format(w="说明"), "x"),
+        ("z3", "blind", "s", zh.format(w="指出"), "x"),
         ("g1", "train", "s", german.format(w="keine"), "x"),
         ("g2", "dev", "s", german.format(w="eine"), "x"),
         ("a1", "dev", "s", q["t00"] + " (adults only)", "x"),
+        ("a3", "dev", "s", q["t02"] + " (adullts only)", "x"),
         ("a2", "dev", "s", q["t01"].replace("workers", "workers, adults only,"), "x"),
     ] + [(f"n{i}", "train", "s", f"Hat Mittel{chr(97 + i)} eine Wirkung?", "x") for i in range(12)]
-    assert pairs(spark, rows) == {("z1", "z2"), ("a1", "t00")}
+    assert pairs(spark, rows) == {("z1", "z2"), ("z1", "z3"), ("a1", "t00"), ("a3", "t02")}
 
 
 def test_denials_and_numbers_are_no_misspellings():

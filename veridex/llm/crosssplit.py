@@ -41,7 +41,9 @@ FUNCTION = frozenset(
     的 了 是 否 请 问 谢 吗 呢 吧 在 与 和 或 对 于 中 有 哪 些 什 么 如 何 怎 样 题 想 解 给 出 来 源 能 其 之 及 以 为 可""".split()
 )
 # Tails in brackets that stand on any question; only the whole tail is left out, never its words elsewhere.
-TAILS = ("(adults only)",)
+TAILS = ("adults only",)
+# The letters of a tail's words, one more or less, so that a misspelt tail is one too.
+TAIL = r"\((?:" + "|".join(" ".join(f"[{w}]{{{len(w) - 1},{len(w) + 1}}}" for w in tail.split()) for tail in TAILS) + r")\)"
 # Words of a question's frame that stand for one another.
 ALIKE = {
     word: group[0]
@@ -53,7 +55,7 @@ ALIKE = {
     for word in group
 }
 # Chinese words of the frame that stand for one another, sign by sign.
-ALIKE_HAN = {"指明": "说明"}
+ALIKE_HAN = {"指明": "说明", "指出": "说明"}
 # Denials and number words; they are never another word misspelt.
 NEGATION = frozenset(
     """no not never none neither nor non without zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
@@ -66,7 +68,7 @@ NEGATION = frozenset(
     zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend halb
     不 无 未 非 没 勿 别 零 一 二 三 四 五 六 七 八 九 十 百 千 万 两 双 半""".split()
 )
-TOKEN = "(" + "|".join(re.escape(t) for t in TAILS) + r"|[\p{L}&&[^\p{IsHan}]]+|\d+(?:[.,]\d+)*|\p{IsHan})"
+TOKEN = "(" + TAIL + r"|[\p{L}&&[^\p{IsHan}]]+|\d+(?:[.,]\d+)*|\p{IsHan})"
 
 
 def questions(records: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def content(forms: DataFrame, frequency: DataFrame, base: DataFrame) -> DataFram
     text = F.array_join("tokens", "\x1f")
     for word, other in ALIKE_HAN.items():
         text = F.replace(text, F.lit("\x1f".join(word)), F.lit("\x1f".join(other)))
-    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION), *TAILS)).join(known, "token", "left").withColumn("word", F.coalesce("word", "token"))
+    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION)) & ~F.col("token").rlike(TAIL)).join(known, "token", "left").withColumn("word", F.coalesce("word", "token"))
     alike = F.create_map(*[F.lit(x) for pair in ALIKE.items() for x in pair])
     spread = spread.select("form", F.coalesce(alike[F.col("word")], F.col("word")).alias("word")).where(~F.col("word").isin(*sorted(FUNCTION)))
     df = spread.distinct().groupBy("word").agg(F.count("*").alias("df"))
