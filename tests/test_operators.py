@@ -126,6 +126,12 @@ def test_quantiles_and_bootstrap(spark):
     assert (r.n_groups, r.n_questions) == (40, 40) and r.mean_difference == r.ci_low == r.ci_high == 0.2
 
 
+def test_bootstrap_takes_2000_draws(spark):
+    pairs = spark.createDataFrame([(g, 0.0, (g * 37 % 101) / 101) for g in range(60)], "g int, baseline double, candidate double")
+    whole, few = evaluation.paired_bootstrap(pairs, draws=2000).first(), evaluation.paired_bootstrap(pairs, draws=200).first()
+    assert evaluation.paired_bootstrap(pairs).first() == whole != few
+
+
 def test_macro_needs_all_repeats(spark):
     df = spark.createDataFrame([("x", 1, 1.0), ("x", 1, 0.0), ("y", 2, 1.0), ("y", 2, None)], "arm string, question int, score double")
     assert rows(evaluation.macro_means(df, "question", 2, "score", "arm"), "arm", "macro_score") == [("x", 0.5), ("y", None)]

@@ -67,7 +67,7 @@ def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(value).alias("n"), nearest(0.5).alias("p50"), nearest(0.95).alias("p95"), nearest(0.99).alias("p99"), F.round(F.percentile(value, 0.5), 6).alias("median"))
 
 
-def paired_bootstrap(pairs: DataFrame, seed: int = 7, draws: int = 200) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, seed: int = 7, draws: int = 2000) -> DataFrame:
     """One row: mean difference and its 95 % percentile interval, resampling whole groups, from (g, baseline, candidate).
 
     Groups collapse to a sum and a count before they are drawn. A draw takes each group a Poisson(1) number of times,
