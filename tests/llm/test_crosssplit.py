@@ -60,36 +60,52 @@ def test_edit_distance_and_differences():
     assert crosssplit.differences(["不", "宜"], ["宜"], [9] * 2, [9]) == (["不"], [])
 
 
-def test_every_pair_within_the_radius():
-    """Against brute force, up to the radius itself, with several steps."""
+def distance(a, b):
+    return sum((int(p) ^ int(q)).bit_count() for p, q in zip(a, b, strict=True))
+
+
+def test_every_pair_within_the_radius(spark):
+    """Candidates against brute force: no pair up to the radius is lost, and far pairs are hardly there."""
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (300, 32), dtype=np.uint8)
     b = a[rng.permutation(300)[:200]].copy()
-    for k, row in enumerate(b):  # 0 to 99 bits apart
+    for k, row in enumerate(b):  # 0 to 59 bits apart
         flip = np.zeros(256, np.uint8)
-        flip[rng.permutation(256)[: k % 100]] = 1
+        flip[rng.permutation(256)[: k % 60]] = 1
         b[k] = row ^ np.packbits(flip)
-    got = {(int(x), int(y)) for i, j in crosssplit.within(a, b, step=64) for x, y in zip(i, j, strict=True)}
-    assert got == {(x, y) for x in range(300) for y in range(200) if sum((int(p) ^ int(q)).bit_count() for p, q in zip(a[x], b[y], strict=True)) <= crosssplit.RADIUS} and len(got) >= 160
-
-
-def test_blocks_lose_no_pair(spark):
-    """Forms dealt into many blocks, and pairs as far apart as the radius allows, against all pairs; many words may be spelt otherwise."""
+    rows = [(i, bytearray(x.tobytes()), 7) for i, x in enumerate(a)] + [(1000 + i, bytearray(x.tobytes()), 7) for i, x in enumerate(b)]
+    parts = [(i, "train") for i in range(300)] + [(1000 + i, "eval") for i in range(200)]
+    codes = spark.createDataFrame(rows, "class long, code binary, fixed long")
+    got = {(r.train_class, r.eval_class - 1000) for r in crosssplit.candidates(codes, spark.createDataFrame(parts, "class long, part string")).collect()}
+    near = {(x, y) for x in range(300) for y in range(200) if distance(a[x], b[y]) <= crosssplit.RADIUS}
+    assert near <= got and len(near) >= 100 and len(got) < 5000
+    other = codes.withColumn("fixed", codes["class"])
+    assert crosssplit.candidates(other, spark.createDataFrame(parts, "class long, part string")).count() == 0
+
+
+def test_verified_pairs(spark):
+    """Beyond the radius, or with other content, candidates are dropped; several words may be spelt otherwise."""
     base = ["alphaxolem", "betatinora", "gammadorix", "deltamerol", "epsilunate", "zetamicron"]
-    forms = [(i, "train" if i % 2 else "eval", [w if i >> k & 1 else w[:-1] + "q" for k, w in enumerate(base)]) for i in range(64)]
+    words = {i: [w if i >> k & 1 else w[:-1] + "q" for k, w in enumerate(base)] for i in range(16)}
     rng = np.random.default_rng(4)
     codes = {}
-    for i, _, _ in forms:
+    for i in words:
         flip = np.zeros(256, np.uint8)
-        flip[rng.permutation(256)[:40]] = 1
+        flip[rng.permutation(256)[:16]] = 1
         codes[i] = np.packbits(flip)
-    rows = [(i, bytearray(codes[i].tobytes())) for i, _, _ in forms]
-    contents = spark.createDataFrame([(i, w, [1000 if x in base else 9 for x in w]) for i, _, w in forms], "form long, words array<string>, dfs array<long>")
-    parts = spark.createDataFrame([(i, p) for i, p, _ in forms], "form long, part string")
-    found = crosssplit.verified(spark.createDataFrame(rows, "form long, code binary"), contents, parts, block=7)
-    got = sorted((r.train_form, r.eval_form) for r in found.collect())
-    near = lambda i, j: sum((int(p) ^ int(q)).bit_count() for p, q in zip(codes[i], codes[j], strict=True)) <= crosssplit.RADIUS
-    assert got == [(i, j) for i in range(1, 64, 2) for j in range(0, 64, 2) if near(i, j)] and len(got) > 1000
+    classes = spark.createDataFrame([(i, w, [1000 if x in base else 9 for x in w]) for i, w in words.items()], "class long, words array<string>, dfs array<long>")
+    rows = spark.createDataFrame([(i, bytearray(codes[i].tobytes()), 1) for i in words], "class long, code binary, fixed long")
+    pairs = spark.createDataFrame([(i, j) for i in range(1, 16, 2) for j in range(0, 16, 2)], "train_class long, eval_class long")
+    got = sorted((r.train_class, r.eval_class) for r in crosssplit.verified(pairs, rows, classes).collect())
+    assert got == [(i, j) for i in range(1, 16, 2) for j in range(0, 16, 2) if distance(codes[i], codes[j]) <= crosssplit.RADIUS] and len(got) > 20
+    assert crosssplit.verified(pairs.limit(0), rows, classes).count() == 0
+
+
+def test_a_misspelt_rare_name_is_found(spark):
+    """A name of three questions, misspelt once: codes read it as the name, verification accepts one such word."""
+    q = "Does zorvaxolem help {c}?"
+    extra = [(f"r{i}", "train", "s", q.format(c=c), "x") for i, c in enumerate(CONDITIONS[:3])] + [("e1", "dev", "s", q.format(c=CONDITIONS[1]).replace("zorvaxolem", "zorvaxolen"), "x")]
+    assert ("e1", "r1") in pairs(spark, extra)
 
 
 def test_rules_do_not_count_rows(spark):

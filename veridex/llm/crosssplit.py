@@ -1,17 +1,18 @@
 """Same or near-same questions across splits, by similarity-hash bit fingerprints.
 
-Questions become canonical tokens; equal token strings are one form, and only forms are compared. Misspelt frequent words
-are mapped to their base through shared deletion signatures. Each form gets a weighted 256-bit similarity hash of its
-content tokens. Blocks of training codes meet blocks of evaluation codes, and one matrix product gives the Hamming distance
-of all their pairs, so every pair within the radius is found. Those are verified token by token: what differs may only be
-function words, courtesies, misspellings, or words of fixed lists that stand for one another. No rule on words counts rows.
+Questions become canonical tokens; equal token strings are one form, and forms with the same content words are one class.
+Misspelt words are mapped to their base through shared deletion signatures. Each class gets a weighted 256-bit similarity
+hash of its content words, cut into 16 segments. Training classes meet evaluation classes on equal segments, where the
+evaluation side also shows every segment with one bit turned: two codes at most 31 bits apart have a segment with at most
+one differing bit, so the join finds every pair within the radius. Pairs are then verified word by word: what differs may
+only be function words, courtesies, misspellings, or words of fixed lists that stand for one another.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,10 @@ from veridex.llm.keys import squeezed
 from veridex.session import Stage
 
 BITS = 256
-RADIUS = 80
-BLOCK_FORMS = 8192
+SEGMENTS = 16
+# Two codes this far apart differ in at most one bit of some segment: 2 * SEGMENTS - 1.
+RADIUS = 31
+SEEN = 3  # for codes alone, a word of at most so many forms is read as a near word of twice as many
 EVALUATION = ("dev", "blind")
 
 # Words that carry no clinical content, and courtesies around a question.
@@ -90,33 +93,45 @@ def document_frequency(forms: DataFrame) -> DataFrame:
 
 
 def misspellings(frequency: DataFrame, ratio: int = 10, least: int = 4) -> DataFrame:
-    """(token, base): words one edit or swap away from a word at least ``ratio`` times as frequent.
+    """(token, base, sure): words one edit or swap away from a more frequent word.
 
-    Words that share a string after at most one deletion are at most two edits apart; the distance is then checked.
+    A base at least ``ratio`` times as frequent is sure. Words of at most SEEN forms also get a base twice as frequent,
+    which only codes use. Words that share a string after at most one deletion are at most two edits apart; the distance
+    is then checked.
     """
     words = frequency.where(F.col("token").rlike(r"^\p{L}+$") & (F.length("token") >= least))
     cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
     signed = words.select("token", "df", F.explode(F.array_distinct(F.concat(F.array("token"), cuts))).alias("sign"))
     a, b = signed.select("sign", "token", "df"), signed.select("sign", F.col("token").alias("base"), F.col("df").alias("base_df"))
-    near = a.join(b, "sign").where((F.col("token") != F.col("base")) & ~F.col("token").isin(*sorted(NEGATION)) & (F.col("base_df") >= ratio * F.col("df"))).select("token", "base", "base_df").distinct()
+    sure = F.col("base_df") >= ratio * F.col("df")
+    close = sure | ((F.col("df") <= SEEN) & (F.col("base_df") >= 2 * F.col("df")))
+    near = a.join(b, "sign").where((F.col("token") != F.col("base")) & ~F.col("token").isin(*sorted(NEGATION)) & close).select("token", "base", "base_df", sure.alias("sure")).distinct()
     swapped = (F.length("token") == F.length("base")) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("base", "")))
     near = near.where((F.levenshtein("token", "base") <= 1) | ((F.levenshtein("token", "base") == 2) & swapped))
-    return near.groupBy("token").agg(F.max(F.struct("base_df", "base")).alias("x")).select("token", F.col("x.base").alias("base"))
+    return near.groupBy("token").agg(F.max(F.struct("base_df", "base", "sure")).alias("x")).select("token", F.col("x.base").alias("base"), F.col("x.sure").alias("sure"))
 
 
 def content(forms: DataFrame, frequency: DataFrame, base: DataFrame) -> DataFrame:
-    """(form, words, weights): content tokens in their base spelling with their squared inverse document frequency."""
+    """(form, words, dfs, coded, weights): content words in their base spelling with their form counts, sorted, and the
+    words of the code with their squared inverse frequency. Forms of function words alone have no row."""
     total = F.broadcast(forms.agg(F.count("*").cast("double").alias("total")))
-    known = frequency.join(base, "token", "left").select("token", F.coalesce("base", "token").alias("word"))
+    # a base may itself be read as a more frequent word, once
+    twice = base.join(base.select(F.col("token").alias("base"), F.col("base").alias("further")), "base", "left").select("token", "base", "sure", F.coalesce("further", "base").alias("near"))
+    known = frequency.join(twice, "token", "left").select("token", F.when(F.col("sure"), F.col("base")).otherwise(F.col("token")).alias("word"), F.coalesce("near", "token").alias("near"))
     text = F.array_join("tokens", "\x1f")
     for word, other in ALIKE_HAN.items():
         text = F.replace(text, F.lit("\x1f".join(word)), F.lit("\x1f".join(other)))
-    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION)) & ~F.col("token").rlike(TAIL)).join(known, "token", "left").withColumn("word", F.coalesce("word", "token"))
+    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION)) & ~F.col("token").rlike(TAIL)).join(known, "token", "left")
     alike = F.create_map(*[F.lit(x) for pair in ALIKE.items() for x in pair])
-    spread = spread.select("form", F.coalesce(alike[F.col("word")], F.col("word")).alias("word")).where(~F.col("word").isin(*sorted(FUNCTION)))
-    df = spread.distinct().groupBy("word").agg(F.count("*").alias("df"))
-    weighted = spread.join(df, "word").crossJoin(total).select("form", "word", F.pow(F.log((F.col("total") + 1) / F.col("df")), 2).alias("weight"), "df")
-    return weighted.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("word", "weight", "df"))).alias("x")).select("form", F.col("x.word").alias("words"), F.col("x.weight").alias("weights"), F.col("x.df").alias("dfs"))
+    same = lambda c: F.coalesce(alike[c], c)
+    spread = spread.select("form", same(F.coalesce("word", "token")).alias("word"), same(F.coalesce("near", "token")).alias("near")).where(~F.col("word").isin(*sorted(FUNCTION)))
+    spread = Stage(forms.sparkSession, "content").write(spread)
+    df = spread.select("form", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    near_df = spread.select("form", "near").distinct().groupBy("near").agg(F.count("*").alias("near_df"))
+    weight = F.pow(F.log((F.col("total") + 1) / F.col("near_df")), 2)
+    rows = spread.join(df, "word").join(near_df, "near").crossJoin(total).select("form", F.struct("word", "df").alias("w"), F.when(F.col("near_df") > 1, F.struct(F.col("near").alias("word"), weight.alias("weight"))).alias("c"))
+    grouped = rows.groupBy("form").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sort_array(F.collect_list("c")).alias("c"))
+    return grouped.select("form", F.col("w.word").alias("words"), F.col("w.df").alias("dfs"), F.col("c.word").alias("coded"), F.col("c.weight").alias("weights"))
 
 
 def _bits(words: list[str]) -> np.ndarray:
@@ -124,36 +139,49 @@ def _bits(words: list[str]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(codes, dtype=np.uint8)).reshape(len(words), BITS).astype(np.float32) * 2 - 1
 
 
-def fingerprints(contents: DataFrame) -> DataFrame:
-    """(form, code): 256-bit similarity hash as 32 bytes.
+def fixed_part(words: list[str]) -> int:
+    """Equal for questions with the same content: of the words that spelling can't change, and how many words aren't Chinese."""
+    fixed = sorted({w for w in words if w in NEGATION or not w.isalpha()})
+    return xxhash.xxh3_64_intdigest("\x1f".join([*fixed, str(sum(1 for w in words if not _HAN.match(w)))])) >> 1
+
 
-    A word that only one form has can't agree with any other form and is left out of the sum; forms without any other
-    word have no fingerprint, they match as equal forms only.
+def fingerprints(classes: DataFrame) -> DataFrame:
+    """(class, code, fixed): 256-bit similarity hash as 32 bytes, and the hash of what verification wants equal.
+
+    A word that only one form has can't agree with any other form and is left out of the sum; classes without any other
+    word have no fingerprint, they match as equal classes only.
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            forms, codes = [], []
-            for form, words, weights, dfs in zip(pdf["form"], pdf["words"], pdf["weights"], pdf["dfs"], strict=True):
-                shared = np.asarray(dfs) > 1
-                if not shared.any():
-                    continue
-                total = np.asarray(weights, dtype=np.float32)[shared] @ _bits([w for w, s in zip(words, shared, strict=True) if s])
-                forms.append(form)
-                codes.append(np.packbits((total > 0).astype(np.uint8)).tobytes())
-            if forms:
-                yield pd.DataFrame({"form": forms, "code": codes})
+            out = []
+            for name, words, coded, weights in zip(pdf["class"], pdf["words"], pdf["coded"], pdf["weights"], strict=True):
+                if len(coded):
+                    total = np.asarray(weights, dtype=np.float32) @ _bits(list(coded))
+                    out.append((name, np.packbits((total > 0).astype(np.uint8)).tobytes(), fixed_part(list(words))))
+            yield pd.DataFrame(out, columns=["class", "code", "fixed"])
+
+    return classes.select("class", "words", "coded", "weights").mapInPandas(code, "class long, code binary, fixed long")
 
-    return contents.mapInPandas(code, "form long, code binary")
+
+def segments(codes: DataFrame, turned: bool) -> DataFrame:
+    """(block, class) for each segment of a code, and for each segment with one bit turned if asked for.
+
+    A block also holds what verification wants equal, so few different classes share one.
+    """
+    width = BITS // SEGMENTS
+    value = lambda i: F.conv(F.hex(F.substring("code", i * width // 8 + 1, width // 8)), 16, 10).cast("int")
+    each = codes.select("class", "fixed", F.posexplode(F.array(*[value(i) for i in range(SEGMENTS)])).alias("at", "value"))
+    if turned:
+        each = each.withColumn("value", F.explode(F.array(F.col("value"), *[F.col("value").bitwiseXOR(F.lit(1 << b)) for b in range(width)])))
+    return each.select("class", F.xxhash64("at", "value", "fixed").alias("block"))
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of all pairs of codes (rows of bytes) within the Hamming radius, by products of signs."""
-    signs = lambda codes: np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    other = signs(b).T
-    for start in range(0, len(a), step):
-        i, j = np.nonzero(signs(a[start : start + step]) @ other >= BITS - 2 * radius)
-        yield i + start, j
+def candidates(codes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(train_class, eval_class): different classes that share a block; all within the radius are among them, each once."""
+    train = segments(codes.join(parts.where("part = 'train'").select("class"), "class"), False).withColumnRenamed("class", "train_class")
+    held = segments(codes.join(parts.where("part = 'eval'").select("class"), "class"), True).withColumnRenamed("class", "eval_class")
+    return train.join(held, "block").where("train_class <> eval_class").select("train_class", "eval_class").distinct()
 
 
 def edit_distance(a: str, b: str, most: int = 2) -> int:
@@ -204,12 +232,6 @@ def differences(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) ->
     return left, right
 
 
-def _fixed(words: list[str]) -> tuple[int, int]:
-    """Two numbers that are the same for questions with the same content: of the words that spelling can't change, and how many words aren't Chinese."""
-    fixed = sorted({w for w in words if w in NEGATION or not w.isalpha()})
-    return xxhash.xxh3_64_intdigest("\x1f".join(fixed)) >> 1, sum(1 for w in words if not _HAN.match(w))
-
-
 def same_content(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) -> bool:
     """Whether nothing of content differs; most pairs fail by their first word without a near spelling."""
     left, right = set(a) - set(b), set(b)
@@ -221,54 +243,49 @@ def same_content(a: list[str], b: list[str], df_a: list[int], df_b: list[int]) -
     return differences(a, b, df_a, df_b) == ([], [])
 
 
-def verified(codes: DataFrame, contents: DataFrame, parts: DataFrame, radius: int = RADIUS, block: int = BLOCK_FORMS) -> DataFrame:
-    """(train_form, eval_form): all pairs of different forms within the Hamming radius that have the same content.
+def verified(pairs: DataFrame, codes: DataFrame, classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(train_class, eval_class) of the candidates within the Hamming radius whose content is the same."""
+    rows = codes.join(classes.select("class", "words", F.col("dfs").cast("array<int>").alias("dfs")), "class")
+    side = lambda name, end: rows.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{end}") for c in ("code", "words", "dfs")])
 
-    Forms are dealt into blocks by their hash and each block of training forms meets each block of evaluation forms in
-    one task, so no pair is left out; work grows with the product of the two numbers of forms.
-    """
-    rows = codes.join(contents.select("form", "words", F.col("dfs").cast("array<int>").alias("dfs")), "form").join(parts, "form")
-    n = {r.part: -(-r["count"] // block) for r in rows.groupBy("part").count().collect()}
-
-    def dealt(part: str, other: str, own: str, far: str) -> DataFrame:
-        opposite = F.explode(F.sequence(F.lit(0), F.lit(n.get(other, 1) - 1)))
-        return rows.where(F.col("part") == part).select(F.pmod(F.xxhash64("form"), F.lit(n.get(part, 1))).cast("int").alias(own), opposite.alias(far), *[F.col(c).alias(c) for c in ("form", "code", "words", "dfs")])
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int]] = []
-        if len(a) and len(b):
-            table: Callable[[pd.DataFrame], np.ndarray] = lambda pdf: np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(-1, BITS // 8)
-            words_a, words_b = [list(w) for w in a["words"]], [list(w) for w in b["words"]]
-            fixed_a, fixed_b = np.array([_fixed(w) for w in words_a]), np.array([_fixed(w) for w in words_b])
-            form_a, form_b, df_a, df_b = a["form"].to_numpy(), b["form"].to_numpy(), a["dfs"].to_list(), b["dfs"].to_list()
-            for i, j in within(table(a), table(b), radius):
-                keep = (fixed_a[i] == fixed_b[j]).all(axis=1) & (form_a[i] != form_b[j])
-                found += [(form_a[x], form_b[y]) for x, y in zip(i[keep], j[keep], strict=True) if same_content(words_a[x], words_b[y], list(df_a[x]), list(df_b[y]))]
-        return pd.DataFrame(found, columns=["train_form", "eval_form"], dtype="int64")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = lambda c, pdf=pdf: np.unpackbits(np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), -1), axis=1)
+            keep = (bits("code_a") != bits("code_b")).sum(axis=1) <= radius if len(pdf) else []
+            near = pdf[keep] if len(pdf) else pdf
+            same = [same_content(list(a), list(b), list(x), list(y)) for a, b, x, y in zip(near["words_a"], near["words_b"], near["dfs_a"], near["dfs_b"], strict=True)]
+            yield near.loc[np.array(same, dtype=bool), ["train_class", "eval_class"]]
 
-    train, held = dealt("train", "eval", "i", "j"), dealt("eval", "train", "j", "i")
-    return train.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(compare, "train_form long, eval_form long")
+    both = pairs.join(side("train_class", "a"), "train_class").join(side("eval_class", "b"), "eval_class")
+    return both.mapInPandas(compare, "train_class long, eval_class long")
 
 
 def overlaps(records: DataFrame) -> DataFrame:
     """(train_id, eval_id, eval_split, eval_source, exact): all cross-split pairs that ask the same question.
 
-    Distinct ids each count once per pair; empty questions match nothing. Copies share one form, so their pairs are
-    joined out only here, where the result asks for them.
+    Distinct ids each count once per pair; empty questions match nothing. Copies share one form and forms of the same
+    words one class, so their pairs are joined out only here, where the result asks for them.
     """
     spark = records.sparkSession
     stage = Stage(spark, "crosssplit")
-    rows = stage.write(with_forms(questions(records)))
-    forms = stage.write(rows.where(F.size("tokens") > 0).groupBy("form").agg(F.first("tokens").alias("tokens")))
+    rows = stage.write(with_forms(questions(records)).where(F.size("tokens") > 0))
+    forms = stage.write(rows.groupBy("form").agg(F.first("tokens").alias("tokens")))
     frequency = stage.write(document_frequency(forms))
-    contents = stage.write(content(forms, frequency, misspellings(frequency)))
-    parts = rows.select("form", "part").distinct()
-    near = verified(stage.write(fingerprints(contents)), contents, parts).withColumn("exact", F.lit(False))
-    equal = parts.where("part = 'train'").join(parts.where("part = 'eval'").select("form"), "form").join(forms.select("form"), "form").select(F.col("form").alias("train_form"), F.col("form").alias("eval_form"), F.lit(True).alias("exact"))
-    train = rows.where("part = 'train'").select(F.col("form").alias("train_form"), F.col("id").alias("train_id"))
-    held = rows.where("part = 'eval'").select(F.col("form").alias("eval_form"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    contents = content(forms, frequency, stage.write(misspellings(frequency))).withColumn("class", F.xxhash64("words", F.size("words")))
+    contents = stage.write(contents)
+    classes = stage.write(contents.groupBy("class").agg(*[F.first(c).alias(c) for c in ("words", "dfs", "coded", "weights")]))
+    # forms of function words alone are classes of their own
+    rows = stage.write(rows.drop("tokens").join(contents.select("form", "class"), "form", "left").withColumn("class", F.coalesce("class", "form")))
+    parts = stage.write(rows.select("class", "part").distinct())
+    codes = stage.write(fingerprints(classes))
+    near = verified(stage.write(candidates(codes, parts)), codes, classes)
+    equal = parts.where("part = 'train'").join(parts.where("part = 'eval'").select("class"), "class").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"))
+    side = lambda part, name: rows.where(f"part = '{part}'").select(F.col("class").alias(f"{name}_class"), F.col("form").alias(f"{name}_form"), F.col("id").alias(f"{name}_id"), F.col("split").alias(f"{name}_split"), F.col("source").alias(f"{name}_source"))
     linked = stage.write(near.union(equal))
-    return linked.join(train, "train_form").join(held, "eval_form").where("train_id <> eval_id").select("train_id", "eval_id", "eval_split", "eval_source", "exact").distinct()
+    every = linked.join(side("train", "train"), "train_class").join(side("eval", "eval"), "eval_class").where("train_id <> eval_id")
+    found = stage.write(every.select("train_id", "eval_id", "eval_split", "eval_source", (F.col("train_form") == F.col("eval_form")).alias("exact")).distinct())
+    stage.drop(rows, forms, frequency, contents, classes, parts, codes, linked)
+    return found
 
 
 def report(records: DataFrame) -> DataFrame:
