@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-Shares come from temperature mixing. A source whose target share would repeat its records more often than allowed gets
-share t^(1 - x) * w^x between its natural token share t and its weight w, with the exponent x bisected until its
-repetition limit is met; the others keep their weights' proportions. Shares are then realised as budgeted block
-permutations: whole passes over a source, then a pass over the head of a pseudo-random order of its records, found by
-two levels of running sums (blocks, then records of a block), so no source is ever sorted in one task.
+Shares come from temperature mixing: sources share ~ t^(1 - x) * w^x between their natural token share t and their weight
+w, one exponent x for all sources of a mix. x is bisected from natural shares towards the weights until a source meets
+its repetition limit; that source stays at its limit and the exponent of the others is raised further, until they reach
+their weights. The end is the mix nearest to the weights (in relative entropy) that no limit forbids. Shares are then
+realised as budgeted block permutations: whole passes over a source, then a pass over the head of a pseudo-random order
+of its records, found by two levels of running sums (blocks, then records of a block), so no source is ever sorted in one
+task.
 """
 
 from __future__ import annotations
@@ -44,8 +46,19 @@ def temperature_for_entropy(tokens: list[float], goal: float) -> float:
     return bisect(lambda a: goal - entropy(shares(a)), 0.0, 8.0)
 
 
+def tempered(natural: list[float], want: list[float], free: list[int], mass: float, x: float) -> dict[int, float]:
+    """Shares ~ natural^(1 - x) * want^x of the free sources, together ``mass``; sources without tokens or weight have 0."""
+    raw = {i: math.exp((1 - x) * math.log(natural[i]) + x * math.log(want[i])) if natural[i] > 0 and want[i] > 0 else 0.0 for i in free}
+    total = sum(raw.values())
+    return {i: mass * v / total if total > 0 else 0.0 for i, v in raw.items()}
+
+
 def temper(tokens: list[float], weights: list[float], repeats: list[int], size: float) -> tuple[list[float], list[float]]:
-    """(shares, exponents) of the sources of one mix; exponent 1 where the weight itself is feasible."""
+    """(shares, exponents) of the sources of one mix.
+
+    An exponent is the x at which a source met its limit, 1 where it reaches its weight, 0 where its natural share already
+    breaks the limit. Shares sum to less than 1 only if all sources at their limits can't fill the mix.
+    """
     total = sum(weights)
     if total <= 0 or size <= 0:
         return [0.0] * len(weights), [1.0] * len(weights)
@@ -53,24 +66,24 @@ def temper(tokens: list[float], weights: list[float], repeats: list[int], size:
     whole = sum(tokens)
     natural = [t / whole if whole > 0 else 0.0 for t in tokens]
     limit = [r * t / size for r, t in zip(repeats, tokens, strict=True)]
-    fixed: dict[int, tuple[float, float]] = {}
+    held: dict[int, tuple[float, float]] = {i: (0.0, 0.0) for i in range(len(want)) if natural[i] <= 0 or want[i] <= 0}
+    x = 0.0
     while True:
-        free = [i for i in range(len(want)) if i not in fixed]
-        left = max(0.0, 1 - sum(p for p, _ in fixed.values()))
-        norm = sum(want[i] for i in free)
-        share = {i: left * want[i] / norm if norm > 0 else 0.0 for i in free}
-        over = [i for i in free if share[i] > limit[i] + 1e-15]
+        free = [i for i in range(len(want)) if i not in held]
+        mass = max(0.0, 1 - sum(p for p, _ in held.values()))
+        share = lambda v, free=free, mass=mass: tempered(natural, want, free, mass, v)
+        over = [i for i, p in share(1.0).items() if p > limit[i] * (1 + 1e-12)]
         if not over:
             break
-        for i in over:
-            if natural[i] <= 0:
-                fixed[i] = (0.0, 0.0)
-                continue
-            tempered = lambda x, i=i: natural[i] ** (1 - x) * share[i] ** x
-            # a share may lie under its natural one only if the mix asks for more than the source can give at all
-            x = bisect(lambda v: tempered(v) - limit[i], 0.0, 1.0) if natural[i] <= share[i] and natural[i] <= limit[i] else 0.0
-            fixed[i] = (min(limit[i], tempered(x)) if x else limit[i], x)
-    return [fixed[i][0] if i in fixed else share[i] for i in range(len(want))], [fixed[i][1] if i in fixed else 1.0 for i in range(len(want))]
+        # only a source whose weight itself breaks its limit is held; the others reach their weights at the end
+        excess = lambda v, share=share, over=over: max(share(v)[i] - limit[i] * (1 + 1e-12) for i in over)
+        x = bisect(excess, x, 1.0) if excess(x) <= 0 else x
+        now = share(x)
+        # the bisected point lies just under the limit of the source that breaks it next
+        for i in [i for i in over if now[i] >= limit[i] * (1 - 1e-9)] or [max(over, key=lambda i: now[i] - limit[i])]:
+            held[i] = (limit[i], x)
+    last = share(1.0)
+    return [held[i][0] if i in held else last[i] for i in range(len(want))], [held[i][1] if i in held else 1.0 for i in range(len(want))]
 
 
 _PLAN = "mix string, source string, wanted_share double, planned_share double, exponent double, mix_temperature double, tokens double, n_documents long, budget double, max_repeats int"
