@@ -34,6 +34,36 @@ def test_pack_is_valid_and_near_optimal():
     assert len(bins) <= -(-sum(sizes) // 512) + 2
 
 
+def test_completions_against_brute_force():
+    """The best filling is found, and no filling that is kept can take a larger unused item for one of its own."""
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = sorted(rng.sample(range(1, 40), 6))
+        counts = [rng.randint(1, 2) for _ in sizes]
+        room = rng.randint(5, 90)
+        kept = packing.completions(sizes, counts.copy(), room, branches=4, nodes=100_000)
+        sums = {sum(s * c for s, c in zip(sizes, combo)) for combo in itertools.product(*[range(c + 1) for c in counts])}
+        assert kept[0][0] == room - max(x for x in sums if x <= room)
+        for waste, taken in kept:
+            assert waste == room - sum(sizes[i] for i in taken) >= 0 and all(taken.count(i) <= counts[i] for i in taken)
+        for waste, taken in kept[1:]:
+            left = [c - taken.count(i) for i, c in enumerate(counts)]
+            assert not any(sizes[i] < sizes[j] <= sizes[i] + waste and left[j] for i in taken for j in range(len(sizes)))
+
+
+def test_search_goes_back_over_containers():
+    """Best fit and the first dive need one container more than is possible."""
+    sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]
+    assert sum(sizes) == 180 and len(packing.pack(list(enumerate(sizes)), 60)) == 3
+    for seed in range(30):
+        rng = random.Random(seed)
+        parts = []
+        for _ in range(6):  # six containers that can be filled exactly
+            cuts = sorted(rng.sample(range(1, 100), 3))
+            parts += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
+        assert len(packing.pack(list(enumerate(parts)), 100)) <= 7
+
+
 def test_containers(spark):
     rng = random.Random(5)
     docs = [(i, "s", "word " * rng.randint(1, 40), "c", "c") for i in range(200)] + [(999, "s", "word " * 500, "c", "c"), (1000, "s", "", "c", "c"), (1001, "s", None, "c", "c"), (None, "s", "x", "c", "c"), (5, "s", "word", "c", "c")]
@@ -49,6 +79,27 @@ def test_containers(spark):
     assert packing.fill_containers(spark.createDataFrame([], DOCS), kinds).count() == 0
 
 
+def nearest_to_weights(tokens, weights, repeats, size):
+    """Brute force: shares min(limit, c * weight) with the c that fills the mix, as relative entropy wants them."""
+    limit = [r * t / size for r, t in zip(repeats, tokens)]
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(x, c * w) for x, w in zip(limit, weights)) < 1 else (low, c)
+    return [min(x, low * w) for x, w in zip(limit, weights)]
+
+
+def test_temper_is_nearest_to_the_weights():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 6)
+        tokens, weights, repeats = [rng.choice([0.0, 1.0, 20.0, 300.0]) for _ in range(n)], [rng.choice([0.5, 1.0, 4.0]) for _ in range(n)], [rng.randint(1, 5) for _ in range(n)]
+        size = max(sum(tokens), 1.0) * rng.choice([0.1, 0.5, 1.0, 3.0])
+        shares, exponents = mixing.temper(tokens, weights, repeats, size)
+        assert shares == pytest.approx(nearest_to_weights(tokens, weights, repeats, size), abs=1e-6)
+        assert all(0 <= x <= 1 for x in exponents)
+
+
 def test_temper_meets_limits():
     shares, exponents = mixing.temper([100.0, 100.0, 5.0], [1.0, 1.0, 1.0], [3, 3, 2], 100.0)
     assert shares[2] == pytest.approx(0.1, abs=1e-6) and shares[0] == shares[1] == pytest.approx(0.45)

@@ -1,15 +1,16 @@
 """Filling fixed-capacity containers with items by bin completion.
 
-Items are dealt into blocks of bounded token mass by a hash, so a block is a fair sample of all sizes. In a block, a
-container is started with the largest item left, the undominated fillings around it are enumerated depth first (large
-before small, equal sizes once, branches cut by the waste bound of the best filling so far) with best fit as the first
-incumbent. Containers that stay under the fill goal are opened again and packed across blocks in a second pass. Items
-above the capacity are cut into full pieces and a rest. The waste that is left is compared with the lower bound.
+Items are dealt into blocks of bounded token mass by a hash, so a block is a fair sample of all sizes. A block's first
+incumbent is its best-fit decreasing packing. Branch and bound then completes one container after the other: around the
+largest item left, the fillings of least waste that no other filling dominates are the branches, the least waste first; a
+node is cut when its containers and the lower bound of what is left reach the incumbent, and the search ends when the
+incumbent meets the lower bound of the block. Containers that stay under the fill goal are opened again and packed across
+blocks in a second pass. Items above the capacity are cut into full pieces and a rest.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,49 +21,144 @@ from veridex.llm.tokens import VOCABULARY
 from veridex.session import Stage
 
 BLOCK_CONTAINERS = 400
-NODES = 600
+FILL_NODES = 600  # items tried per container
+BRANCHES = 3  # fillings tried per container
+TREE_NODES = 2_000  # containers completed per block, beyond its first complete packing
 GOAL = 0.995
 
 
-def fill_one(sizes: list[int], counts: list[int], room: int, budget: int = NODES) -> list[int]:
-    """Indices into sizes (ascending, with counts) of an undominated filling of ``room`` with the least waste found.
+def dominated(sizes: list[int], counts: list[int], taken: list[int], slack: int) -> bool:
+    """Whether an unused item can stand for one or two items of a filling and fit: such a filling is never better.
 
-    Depth first over sizes from large to small. A branch is cut when even all smaller items cannot beat the best waste;
-    a filling is dominated, and so skipped, while a larger unused item still fits in place of its last one.
+    The swapped-out items then fit wherever the larger one went (dominance of feasible sets, for sets of one and two).
     """
-    best: list[int] = []
-    waste = room
-    left = budget
-    mass = [0]  # total size of the items up to each index, for the waste bound
+    parts = sorted(set(taken))
+    sums = {sizes[i] for i in parts}
+    head = parts[:8]  # pairs of the smallest parts; more pairs would only cut more
+    sums |= {sizes[i] + sizes[j] for x, i in enumerate(head) for j in head[x:] if i != j or taken.count(i) > 1}
+    for total in sums:
+        # equal size changes nothing for a single item, so it must be larger; a pair may be replaced by its exact sum
+        at = bisect_right(sizes, total) if total in {sizes[i] for i in parts} else bisect_left(sizes, total)
+        while at < len(sizes) and sizes[at] <= total + slack:
+            if counts[at] > 0:
+                return True
+            at += 1
+    return False
+
+
+def completions(sizes: list[int], counts: list[int], room: int, branches: int = BRANCHES, nodes: int = FILL_NODES) -> list[tuple[int, list[int]]]:
+    """(waste, indices into sizes) of the undominated fillings of ``room`` with the least waste, at most ``branches``.
+
+    Depth first from large to small, so the first one is the greedy filling. A branch is cut by the waste bound: when
+    even all smaller items together leave more waste than the worst filling kept. Ends at ``nodes`` items tried or
+    when a filling without waste is found. ``counts`` is the same afterwards.
+    """
+    mass = [0]
     for size, count in zip(sizes, counts, strict=True):
         mass.append(mass[-1] + size * count)
+    kept: list[tuple[int, list[int]]] = []
+    seen: set[tuple[int, ...]] = set()
+    taken: list[int] = []
+    rest, at = room, len(sizes) - 1
+    while True:
+        at = min(at, bisect_right(sizes, rest) - 1)
+        while at >= 0 and counts[at] == 0:
+            at -= 1
+        worst = kept[-1][0] if len(kept) >= branches else room + 1
+        if at >= 0 and rest - mass[at + 1] < worst and nodes > 0:
+            nodes -= 1
+            counts[at] -= 1
+            taken.append(at)
+            rest -= sizes[at]
+            continue
+        if rest < worst and tuple(taken) not in seen and (not kept or not dominated(sizes, counts, taken, rest)):
+            seen.add(tuple(taken))
+            kept.append((rest, taken.copy()))
+            kept.sort(key=lambda x: x[0])
+            del kept[branches:]
+            if rest == 0:
+                break
+        if not taken or nodes <= 0:
+            break
+        at = taken.pop()
+        counts[at] += 1
+        rest += sizes[at]
+        at -= 1
+    for i in taken:
+        counts[i] += 1
+    return kept
 
-    def go(upto: int, rest: int, taken: list[int]) -> bool:
-        nonlocal best, waste, left
-        if rest < waste:
-            best, waste = taken.copy(), rest
-            if waste == 0:
-                return True
-        i = min(upto, bisect_right(sizes, rest) - 1)
-        while i >= 0 and rest - mass[i + 1] < waste:
-            left -= 1
-            if left <= 0:
-                return True
-            if counts[i] > 0:
-                counts[i] -= 1
-                taken.append(i)
-                done = go(i, rest - sizes[i], taken)
-                taken.pop()
-                counts[i] += 1
-                if done:
-                    return True
-                # leaving size i out: what remains must still be able to beat the incumbent
-                if rest - sizes[i] == 0:
-                    return False
-            i -= 1
-        return False
-
-    go(len(sizes) - 1, room, [])
+
+def best_fit(sizes: list[int], counts: list[int], capacity: int) -> list[list[int]]:
+    """Best-fit decreasing: every item, large to small, goes where the least room is left."""
+    bins: list[list[int]] = []
+    rooms: list[tuple[int, int]] = []
+    for i in range(len(sizes) - 1, -1, -1):
+        for _ in range(counts[i]):
+            at = bisect_left(rooms, (sizes[i], -1))
+            if at == len(rooms):
+                bins.append([i])
+                insort(rooms, (capacity - sizes[i], len(bins) - 1))
+            else:
+                room, b = rooms.pop(at)
+                bins[b].append(i)
+                insort(rooms, (room - sizes[i], b))
+    return bins
+
+
+def least_needed(sizes: list[int], counts: list[int], capacity: int) -> int:
+    """Lower bound on containers: by total size, and by items of more than half a container, which never share one."""
+    mass = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    return max(-(-mass // capacity), sum(counts[bisect_right(sizes, capacity // 2) :]))
+
+
+def bin_completion(sizes: list[int], counts: list[int], capacity: int, nodes: int = TREE_NODES) -> list[list[int]]:
+    """Containers as lists of indices into sizes (ascending, distinct), by branch and bound over completed containers.
+
+    ``nodes`` bounds the completions after the first dive; what stands then is the incumbent. The first dive replaces an
+    equal best-fit packing, as its unused space lies together in the last containers, where other blocks can use it.
+    """
+    counts = counts.copy()
+    best = best_fit(sizes, counts, capacity)
+    least = least_needed(sizes, counts, capacity)
+    mass = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    # one level per container of the path: its fillings not tried yet, and the one that is in place
+    path: list[tuple[list[list[int]], list[int]]] = []
+    dived = False
+
+    def put(filling: list[int], sign: int) -> None:
+        nonlocal mass
+        for i in filling:
+            counts[i] -= sign
+            mass -= sign * sizes[i]
+
+    while len(best) > least or not dived:
+        if mass and len(path) + -(-mass // capacity) < len(best) + (not dived) and (nodes > 0 or not dived):
+            nodes -= dived
+            top = max(i for i in range(len(sizes)) if counts[i]) if len(sizes) <= 64 else next(i for i in range(len(sizes) - 1, -1, -1) if counts[i])
+            counts[top] -= 1
+            # the last alternative is tried last, so the list is a stack
+            options = [[top, *f] for _, f in completions(sizes, counts, capacity - sizes[top])][::-1] or [[top]]
+            counts[top] += 1
+            filling = options.pop()
+            put(filling, 1)
+            path.append((options, filling))
+            continue
+        if not mass and len(path) < len(best) + (not dived):
+            best = [f for _, f in path]
+        dived = True
+        if nodes <= 0:
+            break
+        while path:  # back to the deepest container with another filling
+            options, filling = path.pop()
+            put(filling, -1)
+            if options:
+                filling = options.pop()
+                put(filling, 1)
+                path.append((options, filling))
+                break
+        if not path:
+            break
     return best
 
 
@@ -72,43 +168,7 @@ def pack(items: list[tuple[int, int]], capacity: int) -> list[list[int]]:
     for key, size in sorted(items, key=lambda x: (x[1], x[0]), reverse=True):
         by_size.setdefault(size, []).append(key)
     sizes = sorted(by_size)
-    counts = [len(by_size[s]) for s in sizes]
-    remaining = sum(counts)
-    out = []
-    while remaining:
-        top = len(sizes) - 1
-        while counts[top] == 0:
-            top -= 1
-        if top < len(sizes) // 2 and len(sizes) > 16:
-            kept = [i for i in range(len(sizes)) if counts[i]]
-            sizes, counts = [sizes[i] for i in kept], [counts[i] for i in kept]
-            top = len(sizes) - 1
-        counts[top] -= 1
-        inside = [top, *fill(sizes, counts, capacity - sizes[top])]
-        for i in inside[1:]:
-            counts[i] -= 1
-        out.append([by_size[sizes[i]].pop() for i in inside])
-        remaining -= len(inside)
-    return out
-
-
-def fill(sizes: list[int], counts: list[int], room: int) -> list[int]:
-    """Completion of a container: while much room is left, large items go in greedily; the last part is searched."""
-    taken: list[int] = []
-    smallest_many = 12 * (sizes[len(sizes) // 2] if sizes else 1)
-    while room > smallest_many:
-        i = bisect_right(sizes, room) - 1
-        while i >= 0 and counts[i] == 0:
-            i -= 1
-        if i < 0:
-            break
-        counts[i] -= 1
-        taken.append(i)
-        room -= sizes[i]
-    rest = fill_one(sizes, counts, room)
-    for i in taken:
-        counts[i] += 1
-    return taken + rest
+    return [[by_size[sizes[i]].pop() for i in inside] for inside in bin_completion(sizes, [len(by_size[s]) for s in sizes], capacity)]
 
 
 _PACKED = "container_kind string, block long, bin int, doc_id long, piece int, size int, capacity int"
@@ -169,6 +229,7 @@ def fill_containers(documents: DataFrame, containers: DataFrame, vocabulary: str
         repacked.withColumn("container_id", F.concat_ws("-", F.lit("b"), "block", "bin")),
     ]
     placed = stage.write(named[0].unionByName(named[1]).unionByName(named[2]))
+    stage.drop(items, first, again)
     used = placed.groupBy("container_kind", "container_id").agg(F.sum("size").alias("used"))
     return placed.join(used, ["container_kind", "container_id"]).select("container_kind", "container_id", "doc_id", "piece", "size", "capacity", (F.col("capacity") - F.col("used")).cast("int").alias("unused"))
 
