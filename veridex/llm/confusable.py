@@ -160,17 +160,23 @@ def canonical(texts: DataFrame, column: str, out: str = "canonical") -> DataFram
 def look_alikes(texts: DataFrame, field: str) -> DataFrame:
     """(field, id_a, id_b): rows of (id, text) whose canonical forms are equal but whose characters differ.
 
-    Rows with equal characters are first gathered as one form, so the join is between different forms of one look;
-    rows without a differing partner never reach it. Ids are strings, the smaller first; repeated rows count once.
+    Rows with equal characters are one form, and only forms are paired: a title that a third of all rows share meets each
+    of its variants once. Ids are joined to pairs of forms at the end, where the result asks for them. Ids are strings,
+    the smaller first; repeated rows count once; null ids and texts take no part.
     """
-    rows = canonical(texts.where("id is not null and text is not null").distinct(), "text")
-    hashed = rows.select("id", F.xxhash64("canonical").alias("h"), "canonical", F.xxhash64("text").alias("f"), "text")
-    kept = Stage(texts.sparkSession, "look-alikes").write(hashed)
-    several = kept.groupBy("h").agg((F.min("f") != F.max("f")).alias("several")).where("several").select("h")
-    kept = kept.join(several, "h", "left_semi")
-    a, b = kept.select([F.col(c).alias(f"{c}_a") for c in kept.columns]), kept.select([F.col(c).alias(f"{c}_b") for c in kept.columns])
-    pairs = a.join(b, (F.col("h_a") == F.col("h_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("canonical_a") == F.col("canonical_b")) & (F.col("text_a") != F.col("text_b")))
-    return pairs.select(F.lit(field).alias("field"), "id_a", "id_b").distinct()
+    stage = Stage(texts.sparkSession, "look-alikes")
+    rows = stage.write(texts.where("id is not null and text is not null").select("id", "text", F.xxhash64("text", F.length("text")).alias("f")).distinct())
+    forms = canonical(rows.groupBy("f").agg(F.first("text").alias("text")), "text")
+    hashed = stage.write(forms.select("f", F.xxhash64("canonical").alias("h"), "canonical"))
+    several = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    kept = stage.write(hashed.join(several, "h", "left_semi"))
+    side = lambda end: kept.select(F.col("f").alias(f"f_{end}"), "h", F.col("canonical").alias(f"canonical_{end}"))
+    pairs = stage.write(side("a").join(side("b"), "h").where("f_a < f_b and canonical_a = canonical_b").select("f_a", "f_b"))
+    named = lambda end: rows.select(F.col("f").alias(f"f_{end}"), F.col("id").alias(f"id_{end}"))
+    both = pairs.join(named("a"), "f_a").join(named("b"), "f_b").where("id_a <> id_b")
+    out = stage.write(both.select(F.lit(field).alias("field"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct())
+    stage.drop(rows, hashed, kept, pairs)
+    return out
 
 
 def found(spark: SparkSession, documents: DataFrame, test_set: DataFrame) -> DataFrame:
