@@ -22,6 +22,7 @@ SPLITS = ("train", "validation", "test")
 PRESENT = {"train": "train", "dev": "validation", "validation": "validation", "blind": "test", "test": "test"}
 HEAD_PARTS = 500
 BLOCK = 2000
+LABEL_CELLS = 64
 CHAINS = 4
 ROUNDS = 3
 
@@ -111,11 +112,18 @@ def assign(records: DataFrame, questions: DataFrame, targets: DataFrame, label:
     one = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("present").alias("present_split"))
     members = stage.write(one.join(components(records, questions), "id"))
 
-    # labels are few by nature; the 20 most frequent ones are balanced besides size, so rows stay narrow for any input
-    top = [r["label"] for r in members.groupBy("label").count().orderBy(F.desc("count"), "label").limit(20).collect()]
-    counts = [F.sum((F.col("label") == x).cast("double")).alias(f"l{i}") for i, x in enumerate(top)]
-    parts = members.groupBy("component").agg(F.count("*").cast("double").alias("n"), *counts)
-    cells = ["n", *[f"l{i}" for i in range(len(top))]]
+    # every label is balanced besides size; beyond LABEL_CELLS labels several share a cell by their hash, so rows stay narrow
+    labels = members.select("label").distinct()
+    n_labels = labels.count()
+    if n_labels <= LABEL_CELLS:
+        order = {r["label"]: i for i, r in enumerate(labels.orderBy("label").collect())}
+        cell = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("label")] if order else F.lit(0)
+    else:
+        cell = F.pmod(F.xxhash64("label"), F.lit(LABEL_CELLS)).cast("int")
+    n_cells = min(n_labels, LABEL_CELLS)
+    counts = [F.sum((F.col("cell") == i).cast("double")).alias(f"l{i}") for i in range(n_cells)]
+    parts = members.withColumn("cell", cell).groupBy("component").agg(F.count("*").cast("double").alias("n"), *counts)
+    cells = ["n", *[f"l{i}" for i in range(n_cells)]]
     total = parts.agg(F.count("*").alias("parts"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cells]).first()
     n_parts, all_sizes = total["parts"], np.array([total[c] for c in cells])
     if not n_parts:
@@ -145,13 +153,18 @@ def assign(records: DataFrame, questions: DataFrame, targets: DataFrame, label:
     chosen = F.coalesce(F.filter("steps", lambda s: s["upto"] > F.col("spot"))[0]["i"], F.lit(0))
     current = stage.write(start.select("plan", "component", *cells, chosen.alias("s"), block.alias("block")))
 
+    def missing(table: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+        """What each split of each plan lacks, and the cost of it: one row per plan and split reaches the driver."""
+        lack = {p: wants[p].copy() for p in plans}
+        for r in table.groupBy("plan", "s").agg(*[F.sum(c).alias(c) for c in cells]).collect():
+            lack[r["plan"]][r["s"]] -= np.array([r[c] for c in cells])
+        return lack, {p: float((np.abs(x) * scale).sum()) for p, x in lack.items()}
+
+    miss, cost = missing(current)
     for turn in range(ROUNDS):
-        sums = current.groupBy("plan", "s").agg(*[F.sum(c).alias(c) for c in cells]).collect()
-        miss = {p: wants[p].copy() for p in plans}
-        for r in sums:
-            miss[r["plan"]][r["s"]] -= np.array([r[c] for c in cells])
+        # the head is settled first, alone; after it each block mends its share of what is left, so rounds can't overshoot
         whole = turn == 0
-        chains = current.where("block = -1") if whole else current
+        chains = current.where("block = -1" if whole else "block >= 0")
         chains = chains.withColumn("chain", F.explode(F.array(*map(F.lit, range(CHAINS)))))
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,17 +173,22 @@ def assign(records: DataFrame, questions: DataFrame, targets: DataFrame, label:
             sizes, at = pdf[cells].to_numpy(float), pdf["s"].to_numpy(int)
             now = np.zeros_like(miss[plan])
             np.add.at(now, at, sizes)
-            part = 1.0 if whole or (where == -1) else 1.0 / n_blocks
-            want = now + miss[plan] * part
+            want = now + miss[plan] * (1.0 if whole else 1.0 / n_blocks)
             kept, cost = _anneal(sizes, at, want, np.tile(scale, (len(want), 1)), seed + 31 * chain + 7919 * turn + where, 4000)
             return pd.DataFrame({"plan": plan, "block": where, "chain": chain, "component": pdf["component"].to_numpy(), "t": kept, "cost": cost})
 
         tried = stage.write(chains.groupBy("plan", "block", "chain").applyInPandas(search, "plan string, block int, chain int, component string, t int, cost double"))
         best = tried.groupBy("plan", "block").agg(F.min(F.struct("cost", "chain")).alias("x")).select("plan", "block", F.col("x.chain").alias("chain"))
         moved = tried.join(best, ["plan", "block", "chain"]).select("plan", "component", "t")
-        before = current
-        current = stage.write(current.join(moved, ["plan", "component"], "left").select("plan", "component", *cells, F.coalesce("t", "s").alias("s"), "block"))
-        stage.drop(before, tried)
+        after = stage.write(current.join(moved, ["plan", "component"], "left").select("plan", "component", *cells, F.coalesce("t", "s").alias("s"), F.col("s").alias("was"), "block"))
+        now_miss, now_cost = missing(after)
+        # a plan keeps its best round
+        worse = [p for p in plans if now_cost[p] > cost[p]]
+        kept_at = F.when(F.col("plan").isin(*worse), F.col("was")).otherwise(F.col("s")) if worse else F.col("s")
+        before, current = current, stage.write(after.select("plan", "component", *cells, kept_at.alias("s"), "block"))
+        miss = {p: miss[p] if p in worse else now_miss[p] for p in plans}
+        cost = {p: cost[p] if p in worse else now_cost[p] for p in plans}
+        stage.drop(before, after, tried)
 
     split_names = spark.createDataFrame(pd.DataFrame([(p, i, s) for p in plans for i, s in enumerate(names[p])], columns=["plan", "s", "assigned_split"]), "plan string, s int, assigned_split string")
     placed = current.join(F.broadcast(split_names), ["plan", "s"]).select("plan", "component", "assigned_split")
