@@ -18,6 +18,8 @@ from veridex.session import Stage
 CLASSES = range(len(BEHAVIORS))
 CELLS = [(c, k) for c in CLASSES for k in CLASSES]
 BROADCAST_ANNOTATORS = 100_000
+ROUNDS = 30  # at most
+TOLERANCE = 1e-3  # rounds end when the mean change of a posterior falls below it
 
 
 def usable_votes(reviews: DataFrame) -> DataFrame:
@@ -70,10 +72,11 @@ def _sums(weights: dict[int, Column]) -> list[Column]:
     return out
 
 
-def minimax_entropy(votes: DataFrame, alpha: float = 1.0, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(items, annotators): posteriors q0..q2 and tilts t_ck per item; tilts s_ck per annotator.
+def minimax_entropy(votes: DataFrame, alpha: float = 1.0, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(items, annotators): posteriors q0..q2, tilts t_ck and the round's change per item; tilts s_ck per annotator.
 
-    ``votes`` has item, annotator, k. Empty input gives two empty frames.
+    ``votes`` has item, annotator, k. Empty input gives two empty frames. Rounds end when the mean over items of the
+    largest change of a posterior is below TOLERANCE, after ``rounds`` at the latest.
     """
     spark = votes.sparkSession
     stage = Stage(spark, "consensus")
@@ -101,15 +104,19 @@ def minimax_entropy(votes: DataFrame, alpha: float = 1.0, rounds: int = 10) -> t
         rows = _softmax(votes.join(items, "item").join(hint(annotators), "annotator"))
         seen = rows.groupBy("item").agg(*[F.sum(F.log(F.greatest(_pick("p", c), F.lit(1e-12)))).alias(f"l{c}") for c in CLASSES], *_sums({c: one for c in CLASSES}))
         prior = items.agg(*[F.log(F.avg(f"q{c}")).alias(f"r{c}") for c in CLASSES])
-        joined = items.drop("q0", "q1", "q2").join(seen, "item").crossJoin(F.broadcast(prior))
+        joined = items.select("item", *[F.col(f"q{c}").alias(f"b{c}") for c in CLASSES], *[f"t{c}{k}" for c, k in CELLS]).join(seen, "item").crossJoin(F.broadcast(prior))
         score = {c: F.col(f"l{c}") + F.col(f"r{c}") for c in CLASSES}
         top = F.greatest(*score.values())
         joined = joined.select("*", *[F.exp(score[c] - top).alias(f"u{c}") for c in CLASSES])
         norm = F.col("u0") + F.col("u1") + F.col("u2")
         joined = joined.select("*", *[(F.col(f"u{c}") / norm).alias(f"q{c}") for c in CLASSES])
         old_items = items
-        items = stage.write(joined.select("item", "q0", "q1", "q2", *[_step("t", c, k, F.col(f"q{c}"), beta) for c, k in CELLS]))
+        change = F.greatest(*[F.abs(F.col(f"q{c}") - F.col(f"b{c}")) for c in CLASSES])
+        items = stage.write(joined.select("item", "q0", "q1", "q2", change.alias("change"), *[_step("t", c, k, F.col(f"q{c}"), beta) for c, k in CELLS]))
         stage.drop(old_annotators, old_items)
+        if (items.agg(F.avg("change").alias("m")).first()["m"] or 0.0) < TOLERANCE:
+            break
+    stage.drop(votes)
     return items, annotators
 
 
@@ -119,7 +126,7 @@ def _label(prefix: str) -> Column:
     return F.when(F.col(f"{prefix}0") == best, BEHAVIORS[0]).when(F.col(f"{prefix}1") == best, BEHAVIORS[1]).otherwise(BEHAVIORS[2])
 
 
-def consensus(reviews: DataFrame, least_annotators: int = 1, alpha: float = 1.0, rounds: int = 10) -> DataFrame:
+def consensus(reviews: DataFrame, least_annotators: int = 1, alpha: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """One row per item: behavior, its posterior, votes, and the observed pairwise agreement (null for one vote)."""
     votes = usable_votes(reviews)
     items, _ = minimax_entropy(votes, alpha, rounds)
@@ -169,7 +176,7 @@ def agreement(reviews: DataFrame) -> DataFrame:
     )
 
 
-def reliability(reviews: DataFrame, alpha: float = 1.0, rounds: int = 10) -> DataFrame:
+def reliability(reviews: DataFrame, alpha: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """One row per annotator: votes, expected accuracy under the items' posteriors, and its fitted diagonal."""
     votes = usable_votes(reviews)
     items, annotators = minimax_entropy(votes, alpha, rounds)
