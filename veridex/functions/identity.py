@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The shapes of publication ids.
 PMID = r"(?i)(?:pmid[:/]|pubmed\.ncbi\.nlm\.nih\.gov/)([0-9]{5,9})"
 NCT = r"(?i)\b(NCT[0-9]{8})\b"
 DOI = r"(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)"
@@ -37,6 +38,37 @@ def document_identity(source: Column, doc_id: Column, chunk_id: Column, url: Col
     return F.when(source == "knowledge_page", F.concat(F.lit("page:"), doc_id)).otherwise(other)
 
 
+def aliases(text: Column) -> Column:
+    """Array of (kind, value) of all publication ids in a document's own id and address; for conflicts between them."""
+    every = lambda kind, pattern, shape: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), shape(v).alias("value")))
+    return F.array_distinct(F.concat(every("pmid", PMID, lambda v: v), every("doi", DOI, lambda v: F.lower(F.regexp_replace(v, r"[.,)]+$", ""))), every("nct", NCT, F.upper)))
+
+
+def alias_names(ids: Column) -> Column:
+    """Names of (kind, value) ids as families are named: pmid:, doi:, trial:; malformed values are left out."""
+    named = F.transform(ids, lambda x: F.concat(F.when(x["kind"] == "nct", "trial:").otherwise(F.concat(x["kind"], F.lit(":"))), x["value"]))
+    return F.filter(named, lambda n: n.rlike(r"^(?:pmid:[0-9]{5,9}|trial:NCT[0-9]{8}|doi:10\.[0-9]{4,9}/\S+)$"))
+
+
+def address(record_id: Column) -> Column:
+    """Public address of a record by the prefix of its id; null for other records."""
+    value = F.regexp_replace(record_id, "^[^:]*:", "")
+    kind = F.when(record_id.contains(":"), F.lower(F.substring_index(record_id, ":", 1)))
+    known = F.create_map(*[F.lit(x) for kv in ADDRESSES.items() for x in kv])[kind]
+    return F.concat(known, value)
+
+
+def slug(value: Column) -> Column:
+    """A name that is safe in a path: its plain signs and 8 signs of its hash, so that different names stay apart."""
+    plain = F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "-"), "^[.-]+|[.-]+$", "")
+    return F.concat_ws("-", F.when(plain != "", plain).otherwise("value"), F.substring(F.sha2(value, 256), 1, 8))
+
+
+def cache_key(source: Column, query: Column, top_k: Column, version: Column) -> Column:
+    """The first 20 hexadecimal signs of the SHA-256 of source|query|k|version."""
+    return F.substring(F.sha2(F.concat_ws("|", source, query, top_k.cast("string"), version), 256), 1, 20)
+
+
 def reliable_family(family: Column) -> Column:
     """The family if its shape can be trusted, else an empty string."""
     good = family.rlike(r"^(?:pmid:[0-9]{5,9}|(?:trial|nct):NCT[0-9]{8})$") | (family.startswith("doi:10.") & family.contains("/"))
@@ -51,6 +83,9 @@ def identifiers(record_id: Column) -> Column:
     return F.struct(pick("pmid").alias("pmid"), pick("doi").alias("doi"), pick("nct").alias("nct_id"))
 
 
+# Addresses behind the prefixes of record ids.
+ADDRESSES = {"pmid": "https://pubmed.ncbi.nlm.nih.gov/", "nct": "https://clinicaltrials.gov/study/", "doi": "https://doi.org/"}
+
 # Publication types behind each level.
 GUIDELINES = ["guideline", "practice guideline"]
 CONSENSUS = ["consensus development conference", "consensus development conference, nih", "consensus statement"]

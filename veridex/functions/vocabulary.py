@@ -1,8 +1,9 @@
 """Controlled vocabularies. All entries are fixed values that results depend on; engines may pass their own tables."""
 
-STOP_WORDS = (
-    "的 了 和 与 或 是否 如何 什么 哪些 有 对 在 患者 病人 研究 证据 指南 治疗 用药 the a an of and or to in for with is are what how"
-).split()
+STOP_WORDS = [
+    "的", "了", "和", "与", "或", "是否", "如何", "什么", "哪些", "有", "对", "在", "患者", "病人", "研究", "证据", "指南", "治疗", "用药",
+    "the", "a", "an", "of", "and", "or", "to", "in", "for", "with", "is", "are", "what", "how",
+]
 
 DOMAINS = {
     "高血压": ["高血压", "血压", "降压", "hypertension", "antihypertensive", "acei", "arb", "ccb", "利尿剂"],
@@ -46,6 +47,45 @@ CONCEPTS = {
     "cardiovascular_outcome": ["心血管结局", "心血管事件", "心血管风险", "心血管", "血管死亡", "cardiovascular outcome", "cardiovascular event"],
 }
 
+# Codes that name no drug, pathway or study of their own; populations that a question can ask for; words of broad diet questions.
+GENERIC_CODES = ["rct", "pico", "pmid", "doi", "nct", "who", "ada", "aha", "asa", "ascvd", "tia"]
+POPULATIONS = {
+    "pregnancy": ["妊娠", "孕妇", "孕期"],
+    "older": ["老年", "高龄"],
+    "coronary": ["冠心病", "冠状动脉疾病"],
+}
+NOT_PREGNANT = ["非妊娠", "不用于妊娠"]
+NAMED_FOCUS = r"(?:中的|关于|针对)\s*([\x{4e00}-\x{9fff}]{2,12})\s*(?:通路|机制|疗法)"
+POPULATION_FIELD = r"(?i)(?:人群|population)\s*[：:]\s*([^\n]+)"
+DIET_PHRASES, INTERVENTION_FIELD, DIET_WORDS = ["饮食模式", "膳食模式"], "干预：", ["饮食", "膳食", "钠"]
+
+# Parts of a question by rule.
+PICO = {"adult": "成人", "older": "老年成人", "pregnant": "妊娠人群", "comparison": "问题中指定的对照方案", "outcome": "临床获益、风险与适用条件"}
+PICO_COMPARISONS = [" vs ", "对比", "比较"]
+# Words that a full-text query leaves out, and how many words it takes at most.
+QUERY_STOP_WORDS = ["adult", "adults", "patient", "patients", "treatment", "clinical", "evidence", "guideline", "trial", "study", "management", "what", "how"]
+QUERY_WORDS = 18
+# Sources that each mode of search reads, and how many rows each branch gives.
+BRANCHES = {"knowledge": (["knowledge_page"], 12), "snapshot": (["pubmed_snapshot"], 14), "pdf": (["pdf_collection"], 18)}
+MODES = {"hybrid": ["knowledge", "snapshot", "pdf"], "knowledge": ["knowledge"], "rag": ["snapshot", "pdf"]}
+CROSS_BLEND = (0.80, 0.20)
+
+# What a refused question is told: what is missing, and what to do next.
+REFUSALS = {
+    "PHI_BLOCKED": ("缺少去标识化后的医学问题。", "删除可识别信息，仅保留年龄段、疾病、干预和结局后重新提问。"),
+    "PERSONALIZED_TREATMENT": ("缺少执业医师基于完整病史、检查、合并症和用药信息的评估。", "请由执业医师评估；如需继续，可改问相关干预的一般证据、适用范围与局限。"),
+    "OUT_OF_SCOPE": ("问题不在当前已声明的语料覆盖范围内。", "请改为范围内的公开证据问题，或使用覆盖该专科的资料库。"),
+    "UNVERIFIABLE_INTERVENTION": ("缺少可回查的真实药物、试验注册或文献标识。", "请提供通用名、PMID、DOI、NCT 编号或其他可核验来源。"),
+    "NO_EVIDENCE": ("缺少与问题直接相关且可回查的证据。", "缩小人群、干预和结局范围，或补查近期指南、系统综述和 RCT。"),
+    "QUESTION_NOT_COVERED": ("缺少能直接回答本次问题的可回查证据。", "核对关键术语与 PICO 条件，并补查直接相关的原始资料。"),
+    "LOW_RELEVANCE": ("缺少能直接覆盖目标人群、干预或结局的证据。", "使用更具体的 PICO 条件重新检索，并优先补查预期证据类型。"),
+    "INSUFFICIENT_SOURCES": ("独立且可回查的来源不足。", "补查近期指南、系统综述或代表性 RCT，并按 PMID/DOI/NCT 去重。"),
+    "MISSING_EVIDENCE_TYPE": ("候选证据未命中预期的证据类型。", "保留现有结果作为线索，并定向补查缺失的指南、系统综述或 RCT。"),
+    "UNRESOLVED_CONFLICT": ("缺少对研究人群、时间、结局和证据等级差异的解释。", "并列核对冲突来源，补充方法学差异后再形成带边界的结论。"),
+    "NO_SUPPORTED_CLAIMS": ("所有核心陈述都缺少直接、数值一致的引用支持。", "补充直接证据或降低陈述强度后重新生成。"),
+    "CITATION_FAILURE": ("过多原始陈述或引用未通过映射、存在性、支持性或数值一致性检查。", "缩小回答范围，补充更直接的证据并重新生成。"),
+}
+
 EVIDENCE_PRIOR = {"Guideline": 0.08, "Meta-analysis": 0.07, "RCT": 0.06, "Consensus": 0.04, "Review": 0.03, "ClinicalTrial": 0.01, "preprint": -0.02, "Other": 0.0}
 PAGE_PRIOR = 0.04
 OVERVIEW_LEVELS = ["Guideline", "Meta-analysis", "Review", "Consensus"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.session import Stage
@@ -32,9 +32,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if (sums["n"], sums["x"]) == state:
             break
         state = (sums["n"], sums["x"])
+    # the last table is read by the caller
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def source_keys(source: Column, identity: Column, family: Column, aliases: Column | None = None) -> Column:
+    """Keys that link an entry to others of the same study: its document, its reliable family, its aliases.
+
+    A page links nothing by its own identity; an entry without a reliable family has no keys and counts as no source.
+    """
+    none = F.array().cast("array<string>")
+    known = F.coalesce(family, F.lit("")) != ""
+    own = F.when(source == "knowledge_page", none).otherwise(F.array(F.concat(F.lit("document/"), identity)))
+    others = F.transform(F.coalesce(aliases, none), lambda a: F.concat(F.lit("family/"), a)) if aliases is not None else none
+    return F.when(known, F.concat(own, F.array(F.concat(F.lit("family/"), family)), others)).otherwise(none)
+
+
+def independent_count(keys: Column) -> Column:
+    """Components among the key arrays of a few entries, merged one by one where they share a key; for bounded packets."""
+    start = F.array().cast("array<array<string>>")
+
+    def merge(acc: Column, x: Column) -> Column:
+        touching = F.filter(acc, lambda c: F.arrays_overlap(c, x))
+        apart = F.filter(acc, lambda c: ~F.arrays_overlap(c, x))
+        return F.when(F.size(x) == 0, acc).otherwise(F.concat(apart, F.array(F.array_distinct(F.concat(F.flatten(touching), x)))))
+
+    return F.size(F.aggregate(keys, start, merge))
+
+
 def independent_sources(links: DataFrame) -> DataFrame:
     """(q, n_sources): components of (q, item, key) per question; items without a key count alone, null items not at all."""
     named = links.where("q is not null and item is not null").select("q", F.concat_ws("\x1f", "q", F.lit("i"), "item").alias("i"), F.when(F.col("key").isNotNull(), F.concat_ws("\x1f", "q", F.lit("k"), "key")).alias("k"))

@@ -27,28 +27,40 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the text that searches read; nulls read as empty."""
-    part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return read_table(spark, d, "documents").withColumn("searchable", F.concat_ws(" ", part("title"), part("topic"), part("text")))
+    return read_table(spark, d, "documents").withColumn("searchable", engine.searchable(F.col("title"), F.col("topic"), F.col("text")))
 
 
-def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    items = corpus(spark, d)
-    terms = retrieval.query_terms(golden(spark, d), "id", F.col("question"))
-    index, sizes = retrieval.indexed(items, "doc_id", F.col("searchable"))
-    return retrieval.bm25(terms, index, sizes), retrieval.tfidf_cosine(terms, index, sizes)
+def document_index(spark: SparkSession, d: str) -> retrieval.Index:
+    return retrieval.kept_index(spark, "documents", [f"{d}/documents.parquet"], lambda: engine.document_index(read_table(spark, d, "documents")))
 
 
-def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    words, angles = _scores(spark, d)
-    return retrieval.ranked(words, 100, F.desc("bm25"), F.asc("id")), retrieval.ranked(angles, 100, F.desc("cosine"), F.asc("id"))
+def field_index(spark: SparkSession, d: str) -> retrieval.Index:
+    return retrieval.kept_index(spark, "fields", [f"{d}/documents.parquet"], lambda: retrieval.build_index(read_table(spark, d, "documents"), "doc_id", [(F.col("title"), 1.4), (F.col("text"), 1.0)]))
+
+
+def latest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """(id, doc_id, text): the latest row of each chunk id."""
+    return read_table(spark, d, "chunks").groupBy("id").agg(F.max(F.struct("updated_at", "text", "doc_id")).alias("x")).select("id", "x.doc_id", "x.text")
+
+
+def chunk_index(spark: SparkSession, d: str) -> retrieval.Index:
+    return retrieval.kept_index(spark, "chunks", [f"{d}/chunks.parquet"], lambda: retrieval.build_index(latest_chunks(spark, d), "id", F.col("text")))
+
+
+def _scores(spark: SparkSession, d: str, index: retrieval.Index | None = None) -> DataFrame:
+    return retrieval.scores(retrieval.query_terms(golden(spark, d), "id", F.col("question")), index or document_index(spark, d))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rankings(spark, d)[0]
+    return retrieval.top_bm25(_scores(spark, d)).select("q", "id", "bm25", "rank")
 
 
 def tfidf_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rankings(spark, d)[1]
+    return retrieval.top_cosine(_scores(spark, d)).select("q", "id", "cosine", "rank")
+
+
+def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return bm25_topk(spark, d), tfidf_cosine_topk(spark, d)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -58,19 +70,16 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
     """Written once, because the metrics and gates built on it read it several times."""
-    found = retrieval.lexical_search(golden(spark, d), "id", F.col("question"), corpus(spark, d), "doc_id", F.col("searchable"), 40)
-    return Stage(spark, "lexical").write(found)
+    return Stage(spark, "lexical").write(retrieval.lexical_search(golden(spark, d), "id", F.col("question"), document_index(spark, d), 40))
 
 
 def fts_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.field_search(golden(spark, d), "id", F.col("question"), read_table(spark, d, "documents"), "doc_id", {"title": 1.4, "text": 1.0})
+    return retrieval.field_search(golden(spark, d), "id", F.col("question"), field_index(spark, d))
 
 
 def per_doc_cap(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read_table(spark, d, "chunks").groupBy("id").agg(F.max(F.struct("updated_at", "text", "doc_id")).alias("x")).select("id", "x.text", "x.doc_id")
-    terms = retrieval.query_terms(golden(spark, d), "id", F.col("question"))
-    scores = retrieval.bm25(terms, *retrieval.indexed(chunks, "id", F.col("text")))
-    top = retrieval.ranked(scores, 100, F.desc("bm25"), F.asc("id")).join(chunks.select("id", "doc_id"), "id")
+    owners = latest_chunks(spark, d).select("id", "doc_id")
+    top = retrieval.top_bm25(_scores(spark, d, chunk_index(spark, d))).join(owners, "id")
     return retrieval.cap_per_document(top, "doc_id").select("q", "id", "doc_id", "rank")
 
 
@@ -104,12 +113,14 @@ def static_merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def _pool_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     own = identity.document_identity(F.col("source"), F.col("record_id"), F.col("record_id"), F.lit(""))
-    return docs.select(F.coalesce("topic", F.lit("")).alias("q"), F.col("record_id").alias("id"), own.alias("identity"), "text", "source", F.round(F.col("n_chars") / 1000.0, 6).alias("score"), F.coalesce("nlm_unique_id", F.lit("")).alias("family"), F.col("doc_id").alias("pos"))
+    return docs.select(F.col("title"), F.coalesce("topic", F.lit("")).alias("q"), F.col("record_id").alias("id"), own.alias("identity"), "text", "source", F.round(F.col("n_chars") / 1000.0, 6).alias("score"), F.coalesce("nlm_unique_id", F.lit("")).alias("family"), F.col("doc_id").alias("pos"))
 
 
 def pool_source_preserving(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose identity stands with two different titles are set aside as conflicted."""
     rows = _pool_rows(spark, d)
-    kept = pool.preserve_sources(rows.select("q", "id", "identity", "text", "source", "score"))
+    conflicted = pool.conflicts(rows.select("identity", F.lit("title").alias("kind"), text.normalize(F.col("title")).alias("value")))
+    kept = pool.preserve_sources(rows.select("q", "id", "identity", "text", "source", "score"), conflicted)
     return kept.groupBy("q", "reason").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
@@ -120,7 +131,8 @@ def pool_legacy(spark: SparkSession, d: str) -> DataFrame:
 
 def identity_conflicts(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in ("journal", "published_year")])
+    values = {"journal": F.col("journal"), "published_year": F.col("published_year").cast("string"), "title": text.normalize(F.col("title"))}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in values.items()])
     aliases = docs.select(F.regexp_extract("record_id", r"(\d+)$", 1).alias("identity"), F.explode(kinds).alias("x")).select("identity", "x.kind", "x.value")
     return pool.conflicts(aliases)
 
@@ -132,9 +144,11 @@ def independent_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("evidence_level").alias("level"), "topic", "text", "nlm_unique_id", "record_id")
-    found = lexical_search(spark, d).select("q", "id", "bm25", "cosine", F.col("score").alias("retrieval"))
-    return pool.rerank(found.join(docs, "id"), 40)
+    """The first 40 of each question, scored again with statistics over the question's own pool."""
+    rows = lexical_search(spark, d).select("q", "id", F.col("score").alias("retrieval")).join(engine.described(read_table(spark, d, "documents")), "id")
+    local = retrieval.local_scores(golden(spark, d), "id", F.col("question"), rows, F.col("searchable"))
+    ranked = pool.rerank(rows.select("q", "id", "retrieval", "source", "level").join(local, ["q", "id"]), 40)
+    return ranked.select("q", "id", "rank", "score", "role").join(rows.drop("retrieval", "searchable"), ["q", "id"])
 
 
 def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +156,7 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    family = identity.research_family(F.col("record_id"), F.col("record_id"), F.lit(""))
-    own = identity.document_identity(F.col("source"), F.col("record_id"), F.col("record_id"), F.lit(""))
-    return _reranked(spark, d).select("q", "id", "rank", "score", "role", "topic", "level", "text", family.alias("family"), own.alias("identity"))
+    return Stage(spark, "entries").write(_reranked(spark, d))
 
 
 def topk_document_diverse(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +164,7 @@ def topk_document_diverse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mmr_packet(spark: SparkSession, d: str) -> DataFrame:
-    return pool.packet(_entries(spark, d).where("rank <= 8").withColumn("citation_number", F.col("rank")))
+    return pool.packet(_entries(spark, d).where("rank <= 8").withColumn("citation_number", F.col("rank")).withColumn("family", F.col("study")))
 
 
 def _specs(spark: SparkSession, d: str) -> DataFrame:
@@ -184,31 +196,37 @@ def query_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _citations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    claims = read_table(spark, d, "test_set").groupBy("id").agg(F.min(F.struct("question", "relevant_doc_ids")).alias("x")).select(F.col("id").alias("claim_id"), F.col("x.question").alias("text"), F.col("x.relevant_doc_ids").alias("citations"))
-    docs = read_table(spark, d, "documents")
-    return claims, docs.select(F.col("doc_id").alias("citation"), "title", F.col("published_year").alias("year"), F.lit(None).cast("string").alias("status"), "text")
+    """Key points and questions of the golden set as claims on the documents they name, some of them unknown or without an address."""
+    rows = read_table(spark, d, "test_set").groupBy("id").agg(F.min(F.struct("question", "relevant_doc_ids", "expected_key_points")).alias("x"))
+    texts = F.array_distinct(F.concat(F.array("x.question"), F.coalesce("x.expected_key_points", F.array().cast("array<string>"))))
+    claims = rows.select("id", F.col("x.relevant_doc_ids").alias("citations"), F.posexplode(texts).alias("at", "text"))
+    docs = engine.described(read_table(spark, d, "documents"))
+    entries = docs.select(F.col("id").alias("citation"), "title", F.col("published_year").alias("year"), F.lit(None).cast("string").alias("status"), "text", "source", F.col("canonical").alias("identity"), "url")
+    return claims.select(F.concat_ws("/", "id", F.col("at").cast("string")).alias("claim_id"), "id", "text", "citations"), entries
+
+
+def _verified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    claims, entries = _citations(spark, d)
+    return claims, verification.verify(claims, entries)
 
 
 def claim_verify(spark: SparkSession, d: str) -> DataFrame:
-    return verification.verify(*_citations(spark, d))
+    return _verified(spark, d)[1]
 
 
 def claim_overlap(spark: SparkSession, d: str) -> DataFrame:
     claims, entries = _citations(spark, d)
     spread = claims.select("claim_id", F.col("text").alias("claim"), F.explode("citations").alias("citation")).distinct()
-    return spread.join(entries, "citation").select("claim_id", "citation", F.round(text.overlap(F.col("claim"), F.concat_ws(" ", "title", "text")), 6).alias("overlap"))
+    return spread.join(entries.select("citation", "title", "text"), "citation").select("claim_id", "citation", F.round(text.overlap(F.col("claim"), F.concat_ws(" ", "title", "text")), 6).alias("overlap"))
 
 
 def sanitize_claims(spark: SparkSession, d: str) -> DataFrame:
-    claims, entries = _citations(spark, d)
-    return verification.sanitise(claims, verification.verify(claims, entries))
+    return verification.sanitise(*_verified(spark, d)).select("claim_id", "text", F.array_join("citations", "|").alias("citations"))
 
 
 def answer_failure(spark: SparkSession, d: str) -> DataFrame:
-    claims, entries = _citations(spark, d)
-    checks = verification.claim_checks(verification.verify(claims, entries))
-    kinds = read_table(spark, d, "test_set").groupBy("id").agg(F.min("type").alias("type"))
-    return verification.answer_checks(claims.join(kinds, F.col("claim_id") == F.col("id")), checks, "type")
+    claims, verified = _verified(spark, d)
+    return verification.answer_checks(claims, verification.claim_checks(verified), "id")
 
 
 def numeric_consistency(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +467,7 @@ def large_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_orderdate >= timestamp'1998-01-01'")
     return audit.orphans(c.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", o, "o_custkey")
 
 
@@ -514,7 +532,7 @@ def rerank_local(spark: SparkSession, d: str) -> DataFrame:
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain for the golden questions."""
-    return engine.ask(golden(spark, d), read_table(spark, d, "documents"))
+    return engine.ask(golden(spark, d), read_table(spark, d, "documents"), index=document_index(spark, d))
 
 
 def queries() -> dict[str, Query]:

@@ -41,13 +41,13 @@ def scoring(items: str, prefix: str = "") -> str:
     dfs AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term),
     raw AS (SELECT q, p.id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n_toks / avg_len))), 9) AS s
             FROM qt JOIN dfs USING (term) JOIN post p USING (term) JOIN sizes z ON z.id = p.id, shape GROUP BY q, p.id),
-    bm AS MATERIALIZED (SELECT q, id, round(CASE WHEN max(s) OVER (PARTITION BY q) > 0 THEN s / max(s) OVER (PARTITION BY q) ELSE 0 END, 9) AS bm25 FROM raw),
+    bm AS MATERIALIZED (SELECT q, id, s, round(CASE WHEN max(s) OVER (PARTITION BY q) > 0 THEN s / max(s) OVER (PARTITION BY q) ELSE 0 END, 9) AS bm25 FROM raw),
     w AS (SELECT q, qt.term, qtf, ln((n + 2) / (coalesce(df, 0) + 2)) + 1 AS w, ln((n + 2) / (coalesce(df, 0) + 1)) + 1 AS w0 FROM qt LEFT JOIN dfs USING (term), shape),
     base AS (SELECT id, sum(pow(tf * (ln((n + 2) / (df + 1)) + 1), 2)) AS base FROM post JOIN dfs USING (term), shape GROUP BY id),
     qn AS (SELECT q, sqrt(sum(pow(qtf * w, 2))) AS qn FROM w GROUP BY q),
     sh AS (SELECT q, id, sum(qtf * tf * w * w) AS dot, sum(tf * tf * (w * w - w0 * w0)) AS shift FROM w JOIN post USING (term) GROUP BY q, id),
     cs AS MATERIALIZED (SELECT q, id, round(dot / (qn * sqrt(base + shift)), 9) AS cosine FROM sh JOIN base USING (id) JOIN qn USING (q)),
-    bmr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, id) AS rank FROM bm QUALIFY rank <= 100),
+    bmr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM bm QUALIFY rank <= 100),
     csr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM cs QUALIFY rank <= 100),
     rr AS (SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS f FROM (SELECT q, id, rank FROM bmr UNION ALL SELECT q, id, rank FROM csr) GROUP BY q, id),
     fused AS MATERIALIZED (SELECT q, id, round(f / max(f) OVER (PARTITION BY q), 9) AS fused FROM rr),
@@ -59,11 +59,19 @@ def scoring(items: str, prefix: str = "") -> str:
 
 BASE = scoring(ITEMS)
 PRIOR = "CASE evidence_level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.EVIDENCE_PRIOR.items()) + " ELSE 0.0 END"
-RERANK = f"""{BASE}, rer AS MATERIALIZED (
+LOCAL = f"""{BASE}, pl AS MATERIALIZED (SELECT l.q, l.id, unnest(i.toks) AS term FROM lex l JOIN items i USING (id)), ix AS MATERIALIZED (SELECT q, id, term, count(*)::DOUBLE AS tf FROM pl GROUP BY q, id, term),
+    sz AS (SELECT l.q, l.id, len(i.toks) AS z FROM lex l JOIN items i USING (id)), sh2 AS (SELECT q, count(*)::DOUBLE AS n, greatest(avg(z), 1.0) AS a FROM sz GROUP BY q), d2 AS (SELECT q, term, count(*)::DOUBLE AS df FROM ix GROUP BY q, term),
+    asked AS MATERIALIZED (SELECT qt.q, qt.term, qtf, n, a, coalesce(df, 0) AS df FROM qt JOIN sh2 USING (q) LEFT JOIN d2 USING (q, term)), hits AS MATERIALIZED (SELECT * FROM asked JOIN ix USING (q, term) JOIN sz USING (q, id)),
+    b AS (SELECT q, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * z / a))), 9) AS s FROM hits GROUP BY q, id), bb AS (SELECT q, id, round(CASE WHEN max(s) OVER (PARTITION BY q) > 0 THEN s / max(s) OVER (PARTITION BY q) ELSE 0 END, 9) AS bm25 FROM b),
+    nm AS (SELECT ix.q, ix.id, sum(pow(tf * (ln((n + 2) / (d2.df + CASE WHEN qt.term IS NULL THEN 0 ELSE 1 END + 1)) + 1), 2)) AS norm FROM ix JOIN sh2 USING (q) JOIN d2 USING (q, term) LEFT JOIN qt USING (q, term) GROUP BY ix.q, ix.id),
+    qn2 AS (SELECT q, sum(pow(qtf * (ln((n + 2) / (df + 2)) + 1), 2)) AS q_norm FROM asked GROUP BY q), dt AS (SELECT q, id, sum(qtf * tf * pow(ln((n + 2) / (df + 2)) + 1, 2)) AS dot FROM hits GROUP BY q, id),
+    cl AS (SELECT q, id, round(dot / sqrt(norm * q_norm), 9) AS cosine FROM dt JOIN nm USING (q, id) JOIN qn2 USING (q)),
+    loc AS MATERIALIZED (SELECT l.q, l.id, l.score, coalesce(bb.bm25, 0) AS bm25, coalesce(cl.cosine, 0) AS cosine FROM lex l LEFT JOIN bb USING (q, id) LEFT JOIN cl USING (q, id))"""
+RERANK = f"""{LOCAL}, rer AS MATERIALIZED (
     SELECT q, l.id, round(greatest(0.0, least(1.0, 0.40 * bm25 + 0.30 * cosine + 0.18 * score + CASE WHEN source = 'knowledge_page' THEN 0.04 ELSE 0.0 END + {PRIOR})), 9) AS sc,
            CASE WHEN coalesce(evidence_level, 'Other') IN ('Guideline', 'Meta-analysis', 'Review', 'Consensus') THEN 'overview' WHEN evidence_level = 'RCT' THEN 'causal' ELSE 'boundary' END AS role,
            topic, evidence_level AS level, text, record_id, row_number() OVER (PARTITION BY q ORDER BY sc DESC, l.id) AS rank
-    FROM lex l JOIN documents d ON d.doc_id = l.id)"""
+    FROM loc l JOIN documents d ON d.doc_id = l.id)"""
 
 DOMAIN_LIST = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(safe), {_q(t)})" for t in terms) + f" THEN '{name}' END" for name, terms in V.DOMAINS.items()) + "], lambda d: d IS NOT NULL)"
 CONCEPT = lambda c: "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({c}), {_q(t)})" for t in terms) + f" THEN '{name}' END" for name, terms in V.CONCEPTS.items()) + "], lambda d: d IS NOT NULL)"
@@ -80,14 +88,14 @@ SPECS = f"""specs AS MATERIALIZED (
            CASE WHEN len({NAMED}) > 0 THEN list_filter({_text(TYPE_ORDER)}, lambda t: list_contains({NAMED}, t)) WHEN {HAS('lower(safe)', V.COMPARISON_TERMS)} THEN ['Meta-analysis', 'RCT'] ELSE []::VARCHAR[] END AS expected,
            {ANY('original', V.PHI_PATTERNS)} AS contains_phi, {ANY('safe', V.PERSONAL_PATTERNS)} AS personalized,
            ({HAS('lower(safe)', V.ANIMAL_TERMS)} OR len({DOMAIN_LIST}) = 0) AS out_of_scope, regexp_matches(original, {_q(V.UNVERIFIABLE)}) AS unverifiable, {HAS('lower(safe)', V.LATEST_TERMS)} AS needs_latest
-    FROM (SELECT id AS q, coalesce(min(question), '') AS original, {REDACT.replace('question', "coalesce(min(question), '')")} AS safe FROM test_set GROUP BY id))"""
+    FROM (SELECT q, original, {REDACT.replace('question', 'original')} AS safe FROM (SELECT id AS q, trim(coalesce(min(question), '')) AS original FROM test_set GROUP BY id)))"""
 ENTRIES = f"{RERANK}, {SPECS}, entries AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(record_id, '(?i)pmid:[0-9]{{5,9}}') THEN 'pmid:' || regexp_extract(record_id, '(?i)pmid:([0-9]{{5,9}})', 1) ELSE NULL END AS pm FROM rer)"
 FAMILY = r"CASE WHEN regexp_matches(record_id, '(?i)\bNCT[0-9]{8}\b') THEN 'trial:' || upper(regexp_extract(record_id, '(?i)\b(NCT[0-9]{8})\b', 1)) WHEN pm IS NOT NULL THEN pm WHEN regexp_matches(record_id, '(?i)\b10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+') THEN 'doi:' || lower(regexp_replace(regexp_extract(record_id, '(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)', 1), '[.,)]+$', '')) ELSE lower(record_id) END"
 CANONICAL = FAMILY.replace("pm IS NOT NULL THEN pm", "FALSE THEN NULL").replace("'trial:'", "'nct:'")
 CANONICAL = r"CASE WHEN regexp_matches(record_id, '(?i)pmid[:/][0-9]{5,9}') THEN 'pmid:' || regexp_extract(record_id, '(?i)pmid[:/]([0-9]{5,9})', 1) ELSE " + CANONICAL + " END"
 OWN = r"CASE WHEN source = 'knowledge_page' THEN 'page:' || record_id WHEN regexp_matches(record_id, '(?i)pmid[:/][0-9]{5,9}') THEN 'document:pmid:' || regexp_extract(record_id, '(?i)pmid[:/]([0-9]{5,9})', 1) WHEN regexp_matches(record_id, '(?i)\b10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+') THEN 'document:doi:' || lower(regexp_replace(regexp_extract(record_id, '(?i)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)', 1), '[.,)]+$', '')) ELSE 'document:' || " + CANONICAL + " END"
 HASH = lambda c: f"sha256({norm(c)})"
-POOL = f"pool AS (SELECT coalesce(topic, '') AS q, record_id AS id, {OWN} AS identity, text, source, round(n_chars / 1000.0::DOUBLE, 6) AS score, coalesce(nlm_unique_id, '') AS family, doc_id AS pos FROM documents)"
+POOL = f"pool AS (SELECT title, coalesce(topic, '') AS q, record_id AS id, {OWN} AS identity, text, source, round(n_chars / 1000.0::DOUBLE, 6) AS score, coalesce(nlm_unique_id, '') AS family, doc_id AS pos FROM documents)"
 NUMBERS = lambda c: rf"list_distinct(list_transform(list_transform(regexp_extract_all({c}, '(?:^|[^A-Za-z0-9_.])([0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?(?:\s*%)?)', 1), lambda n: regexp_replace(n, '[,\s]', '', 'g')), lambda n: CASE regexp_replace(n, '^0+', '') WHEN '' THEN '0' WHEN '%' THEN '0%' ELSE regexp_replace(n, '^0+', '') END))"
 DISTRIBUTION = lambda c: f"SELECT coalesce(trim({c}), '') AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS share, '{c}' AS field FROM documents GROUP BY 1"
 BLANKS = r"trim(lower(split), ' ')"
@@ -96,7 +104,49 @@ UNITS = "units AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, l
 TOPIC_SCORE = lambda words: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}.0" for w in words)
 BINARY = f"""{BASE}, rel AS (SELECT DISTINCT q, id FROM (SELECT id AS q, unnest(relevant_doc_ids) AS id FROM test_set) JOIN (SELECT id AS q FROM golden) USING (q)),
     tot AS (SELECT q, count(*) AS n_relevant FROM rel GROUP BY q)"""
-CLAIMS = "claims AS (SELECT id AS claim_id, min({'q': question, 'r': relevant_doc_ids}) AS x FROM test_set GROUP BY id)"
+CLAIMS = """c0 AS (SELECT id, min({'q': question, 'r': relevant_doc_ids, 'e': expected_key_points}) AS x FROM test_set GROUP BY id), c1 AS (SELECT id, x.r AS r, list_concat([x.q], list_filter(coalesce(x.e, []), lambda e: e <> x.q)) AS t FROM c0),
+    claims AS (SELECT id AS q, id || '/' || (i - 1) AS claim_id, t[i] AS claim, r FROM c1, unnest(range(1, len(t) + 1)) AS u(i))"""
+
+
+def quantities(c: str) -> str:
+    """Distinct 'number unit' strings; marks before numbers stand for the look-behind, which this SQL has not."""
+    marked = rf"regexp_replace({c}, '(^|[^A-Za-z0-9_.])([0-9])', '\1' || chr(1) || chr(1) || '\2', 'g')"
+    pattern = rf"(?i)\x01+([0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?)\s*({V.UNITS})(?:[^a-z]|$)"
+    found = lambda i: f"regexp_extract_all({marked}, '{pattern}', {i})"
+    return f"list_distinct(list_transform(list_zip({found(1)}, {found(2)}), lambda z: regexp_replace(replace(z[1], ',', ''), '^0+([0-9.])', '\\1') || ' ' || lower(z[2])))"
+
+
+def clause_list(c: str) -> str:
+    """Clauses as {p: predicate, n: negated}; words are marked, so that a denial in Latin letters must be a whole word."""
+    words = rf"regexp_replace({c}, '([\pL\pN\pM_]+)', chr(2) || '\1' || chr(3), 'g')"
+    denial = r"(?i)未能|未|不|没有|无|不能|\x02(?:not|no|never|without)\x03"
+    blank = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000},，:：\x02\x03]"
+    return rf"list_filter(list_transform(regexp_split_to_array({words}, '[。！？.!?;；\n]'), lambda k: {{'p': lower(regexp_replace(regexp_replace(k, '{denial}', '', 'g'), '{blank}', '', 'g')), 'n': regexp_matches(k, '{denial}')}}), lambda k: k.p <> '')"
+
+
+ADDRESSED = r"regexp_matches(record_id, '(?i)^(?:pmid|nct|doi):')"
+EVIDENCE = "concat_ws(' ', nullif(title, ''), published_year::VARCHAR, nullif(text, ''))"
+VERIFIED = f"""{CLAIMS}, spread AS (SELECT DISTINCT q, claim_id, claim, citation FROM (SELECT q, claim_id, claim, unnest(CASE WHEN len(r) > 0 THEN r ELSE [NULL]::BIGINT[] END) AS citation FROM claims)),
+    d AS (SELECT doc_id, coalesce(text, '') AS body, {EVIDENCE} AS evidence, CASE WHEN source = 'knowledge_page' THEN 'unverified' WHEN {ADDRESSED} AND (regexp_matches({CANONICAL}, '^(?:pmid:[0-9]{{5,9}}|nct:NCT[0-9]{{8}})$') OR NOT regexp_matches({CANONICAL}, '^(?:pmid|nct):')) THEN 'source_record' ELSE 'unverified' END AS existence FROM documents),
+    near AS MATERIALIZED (SELECT s.*, d.doc_id IS NOT NULL AS mapped, body, coalesce(existence, 'not_checked') AS existence, {NUMBERS('coalesce(claim, $$$$)')} AS na, {NUMBERS('evidence')} AS nb, {quantities('coalesce(claim, $$$$)')} AS qa, {quantities('evidence')} AS qb,
+        list_distinct({tokens('coalesce(claim, $$$$)')}) AS ta, list_distinct({tokens('evidence')}) AS tb, {clause_list('coalesce(claim, $$$$)')} AS ca, {clause_list('body')} AS cb FROM spread s LEFT JOIN d ON d.doc_id = s.citation),
+    judged AS MATERIALIZED (SELECT *, mapped AND len(list_filter(na, lambda x: NOT list_contains(nb, x))) = 0 AND len(list_filter(qa, lambda x: NOT list_contains(qb, x))) = 0 AS numbers_agree,
+        len(list_filter(ca, lambda x: length(x.p) >= 4 AND list_contains(cb, {{'p': x.p, 'n': NOT x.n}}))) > 0 AS denied, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / len(ta)::DOUBLE ELSE 0 END AS overlap FROM near),
+    labelled AS (SELECT *, CASE WHEN NOT mapped OR NOT numbers_agree THEN 'unsupported' WHEN trim(coalesce(claim, ''), ' ') = trim(body, ' ') THEN 'support' WHEN denied THEN 'unsupported' WHEN overlap >= {V.SUPPORT} THEN 'support' WHEN overlap >= {V.PARTIAL} THEN 'partial' ELSE 'unsupported' END AS support FROM judged),
+    verified AS MATERIALIZED (SELECT *, mapped AND existence NOT IN ('unverified', 'not_checked') AND support = 'support' AND numbers_agree AS usable FROM labelled)"""
+
+KNOWN = "safe"
+for _alias in (a for _names in V.CONCEPTS.values() for a in sorted(_names, key=len, reverse=True)):
+    KNOWN = f"regexp_replace({KNOWN}, {_q('(?i)' + _alias)}, ' ', 'g')"
+CODES = rf"list_transform(list_filter(regexp_extract_all(regexp_replace({KNOWN}, '[^\x00-\x7F\pP\pS\pZ]', '_', 'g'), '\b([A-Za-z][A-Za-z0-9-]{{2,}})\b', 1), lambda w: NOT list_contains({_text(V.GENERIC_CODES)}, lower(w)) AND (upper(w) = w OR regexp_matches(w, '[0-9]'))), lambda w: lower(w))"
+ASKED_PEOPLE = f"lower(array_to_string(regexp_extract_all(safe, {_q(V.POPULATION_FIELD)}, 1), ' '))"
+PEOPLE = lambda name, words: f"(NOT {HAS(ASKED_PEOPLE, words)} OR ({HAS('main', words)}" + (f" AND NOT {HAS('main', V.NOT_PREGNANT)}" if name == "pregnancy" else "") + "))"
+ANY_PEOPLE = "(" + " OR ".join(HAS(ASKED_PEOPLE, words) for words in V.POPULATIONS.values()) + ")"
+COVERAGE = f"""held AS (SELECT e.q, e.id, s.safe, s.domains, coalesce(e.text, '') AS body, lower(split_part(coalesce(e.text, ''), '例外：', 1)) AS main, coalesce(list_contains(s.domains, e.topic), FALSE) AS dom FROM entries e JOIN specs s USING (q)),
+    focus AS MATERIALIZED (SELECT *, {CONCEPT('safe')} AS asked, {CONCEPT('main')} AS there, list_concat({CODES}, regexp_extract_all(safe, {_q(V.NAMED_FOCUS)}, 1)) AS literals, {HAS('safe', V.DIET_PHRASES)} AND NOT contains(safe, '{V.INTERVENTION_FIELD}') AS broad FROM held),
+    covered AS (SELECT *, CASE WHEN broad THEN list_has_any(asked, there) AND {HAS('main', V.DIET_WORDS)} ELSE len(list_filter(asked, lambda a: NOT list_contains(there, a))) = 0 END
+        AND len(list_filter(literals, lambda l: NOT contains(main, l))) = 0 AND {' AND '.join(PEOPLE(n, w) for n, w in V.POPULATIONS.items())} AS covers FROM focus),
+    coverage AS MATERIALIZED (SELECT q, id, CASE WHEN covers AND CASE WHEN broad THEN dom WHEN len(asked) > 0 OR len(literals) > 0 OR {ANY_PEOPLE} THEN TRUE ELSE dom OR len(list_filter(domains, lambda x: contains(body, x))) > 0 END THEN 'direct' WHEN dom THEN 'background' ELSE 'none' END AS coverage FROM covered)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -135,7 +185,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT q, id, doc, row_number() OVER (PARTITION BY q ORDER BY before) AS rank, score FROM c QUALIFY rank <= 40""",
         "static_merge_dedupe": f"""WITH {BASE}, h AS (SELECT q, id, rank, 0 AS branch FROM bmr WHERE rank <= 25), t AS (SELECT q, id, rank, 1 AS branch FROM csr c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.q = c.q AND h.id = c.id))
             SELECT q, id, branch, row_number() OVER (PARTITION BY q ORDER BY branch, rank, id) AS rank FROM (SELECT * FROM h UNION ALL SELECT * FROM t) x QUALIFY rank <= 40""".replace("ORDER BY branch, rank, id", "ORDER BY branch, x.rank, id"),
-        "pool_source_preserving": f"""WITH {POOL}, m AS (SELECT *, {HASH('text')} AS h, min(identity) OVER (PARTITION BY q, id) <> max(identity) OVER (PARTITION BY q, id) AS split FROM pool),
+        "pool_source_preserving": f"""WITH {POOL}, bad AS (SELECT identity FROM pool GROUP BY identity HAVING min({norm('title')}) <> max({norm('title')})),
+            m AS (SELECT *, {HASH('text')} AS h, min(identity) OVER (PARTITION BY q, id) <> max(identity) OVER (PARTITION BY q, id) OR bool_or(identity IN (FROM bad)) OVER (PARTITION BY q, id) AS split FROM pool),
             v AS (SELECT *, row_number() OVER (PARTITION BY q, id, split ORDER BY score DESC, identity, h, source, id) AS version FROM m),
             c AS (SELECT *, row_number() OVER (PARTITION BY q, identity, h, (NOT split AND version = 1) ORDER BY score DESC, identity, h, source, id) AS copy FROM v)
             SELECT q, CASE WHEN split THEN 'identity_conflict' WHEN version > 1 THEN 'duplicate_id' WHEN copy > 1 THEN 'duplicate_text' ELSE 'retained' END AS reason, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY 1, 2""",
@@ -143,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
             v AS (SELECT *, row_number() OVER (PARTITION BY q, id, fresh ORDER BY score DESC, pos) AS version FROM s),
             c AS (SELECT *, row_number() OVER (PARTITION BY q, family, (fresh AND version = 1) ORDER BY (source = 'knowledge_page')::INT DESC, score DESC, length(text) DESC, pos, id) AS turn FROM v)
             SELECT q, CASE WHEN NOT fresh THEN 'text_prefix' WHEN version > 1 THEN 'duplicate_id' WHEN turn > 2 THEN 'family_cap' ELSE 'retained' END AS reason, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY 1, 2""",
-        "identity_conflicts": r"""SELECT DISTINCT identity FROM (SELECT regexp_extract(record_id, '(\d+)$', 1) AS identity, 'j' AS kind, journal AS value FROM documents UNION ALL SELECT regexp_extract(record_id, '(\d+)$', 1), 'y', published_year::VARCHAR FROM documents)
+        "identity_conflicts": r"""SELECT DISTINCT identity FROM (SELECT regexp_extract(record_id, '(\d+)$', 1) AS identity, 'j' AS kind, journal AS value FROM documents UNION ALL SELECT regexp_extract(record_id, '(\d+)$', 1), 'y', published_year::VARCHAR FROM documents UNION ALL SELECT regexp_extract(record_id, '(\d+)$', 1), 't', """ + norm("title") + r""" FROM documents)
             WHERE value IS NOT NULL GROUP BY identity, kind HAVING min(value) <> max(value)""",
         "independent_sources": r"""WITH RECURSIVE k AS (SELECT coalesce(topic, '') AS q, doc_id AS item, 'r' || regexp_extract(record_id, '(\d+)$', 1) AS key FROM documents UNION SELECT coalesce(topic, ''), doc_id, 't' || title FROM documents WHERE title IS NOT NULL),
             e AS (SELECT DISTINCT a.q, a.item AS u, b.item AS v FROM k a JOIN k b ON a.q = b.q AND a.key = b.key), reach(q, a, b) AS (SELECT q, u, v FROM e UNION SELECT r.q, r.a, e.v FROM reach r JOIN e ON e.q = r.q AND e.u = r.b)
@@ -151,15 +202,18 @@ def oracle_sql() -> dict[str, str]:
         "rerank_blend": f"WITH {RERANK} SELECT q, id, rank, sc AS score, role FROM rer WHERE rank <= 8",
         "query_spec": f"WITH {SPECS} SELECT q, sha256(safe) AS safe_hash, array_to_string(domains, '|') AS domains, array_to_string(expected, '|') AS expected_types, contains_phi, personalized, out_of_scope, unverifiable, needs_latest FROM specs",
         "safety_gate": f"WITH {SPECS} SELECT q, CASE WHEN contains_phi THEN 'PHI_BLOCKED' WHEN personalized THEN 'PERSONALIZED_TREATMENT' WHEN out_of_scope THEN 'OUT_OF_SCOPE' WHEN unverifiable THEN 'UNVERIFIABLE_INTERVENTION' END AS code FROM specs",
-        "coverage_partition": f"""WITH {ENTRIES}, f AS (SELECT e.q, e.id, {CONCEPT('s.safe')} AS asked, {CONCEPT("split_part(coalesce(e.text, ''), '例外：', 1)")} AS held, coalesce(list_contains(s.domains, e.topic), FALSE) AS dom FROM entries e JOIN specs s USING (q))
-            SELECT q, id, CASE WHEN CASE WHEN len(asked) > 0 THEN len(list_filter(asked, lambda a: NOT list_contains(held, a))) = 0 ELSE dom END THEN 'direct' WHEN dom THEN 'background' ELSE 'none' END AS coverage FROM f""",
-        "evidence_gate": f"""WITH {ENTRIES}, p AS (SELECT q, count(*) AS n, max(CASE WHEN rank = 1 THEN sc END) AS top, list(DISTINCT topic) FILTER (WHERE rank <= 3 AND topic IS NOT NULL) AS topics, count(DISTINCT nullif({FAMILY}, '')) AS sources,
+        "coverage_partition": f"WITH {ENTRIES}, {COVERAGE} SELECT q, id, coverage FROM coverage",
+        "evidence_gate": f"""WITH {ENTRIES}, p AS (SELECT q, count(*) AS n, max(CASE WHEN rank = 1 THEN sc END) AS top, list(DISTINCT topic) FILTER (WHERE rank <= 3 AND topic <> '') AS topics, count(DISTINCT CASE WHEN regexp_matches({FAMILY}, '^(?:pmid:[0-9]{{5,9}}|trial:NCT[0-9]{{8}}|doi:10[.].*/.*)$') THEN {FAMILY} END) AS sources,
                 list_sort(list(DISTINCT nullif(level, '')) FILTER (WHERE nullif(level, '') IS NOT NULL)) AS levels, bool_or(rank <= 5 AND {HAS("lower(coalesce(text, ''))", V.CONFLICT_MARKERS)}) AS conflict FROM entries WHERE rank <= 8 GROUP BY q)
-            SELECT s.q, CASE WHEN coalesce(n, 0) = 0 THEN 'NO_EVIDENCE' WHEN top < 0.18 OR (len(domains) > 0 AND NOT list_has_any(domains, topics)) THEN 'LOW_RELEVANCE' WHEN sources < 3 THEN 'INSUFFICIENT_SOURCES'
+            SELECT s.q, CASE WHEN coalesce(n, 0) = 0 THEN 'NO_EVIDENCE' WHEN top < 0.18 OR (len(domains) > 0 AND NOT list_has_any(domains, coalesce(topics, []::VARCHAR[]))) THEN 'LOW_RELEVANCE' WHEN sources < 3 THEN 'INSUFFICIENT_SOURCES'
                 WHEN len(expected) > 0 AND NOT list_has_any(expected, levels) THEN 'MISSING_EVIDENCE_TYPE' WHEN conflict THEN 'UNRESOLVED_CONFLICT' END AS code, coalesce(n, 0) AS n_entries, coalesce(sources, 0) AS n_sources, coalesce(array_to_string(levels, '|'), '') AS levels
             FROM specs s JOIN (SELECT id AS q FROM golden) USING (q) LEFT JOIN p USING (q)""",
-        "claim_overlap": f"""WITH {CLAIMS}, s AS (SELECT DISTINCT claim_id, x.q AS claim, unnest(x.r) AS citation FROM claims), t AS (SELECT claim_id, citation, list_distinct({tokens('claim')}) AS a, list_distinct({tokens("concat_ws(' ', title, text)")}) AS b FROM s JOIN documents d ON d.doc_id = citation)
+        "claim_overlap": f"""WITH {CLAIMS}, s AS (SELECT DISTINCT claim_id, claim, unnest(r) AS citation FROM claims), t AS (SELECT claim_id, citation, list_distinct({tokens('claim')}) AS a, list_distinct({tokens("concat_ws(' ', title, text)")}) AS b FROM s JOIN documents d ON d.doc_id = citation)
             SELECT claim_id, citation, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END, 6) AS overlap FROM t""",
+        "claim_verify": f"WITH {VERIFIED} SELECT claim_id, citation, mapped, existence, support, numbers_agree, usable FROM verified",
+        "sanitize_claims": f"WITH {VERIFIED} SELECT claim_id, claim AS text, array_to_string(list_sort(list(DISTINCT citation)), '|') AS citations FROM verified WHERE usable GROUP BY 1, 2",
+        "answer_failure": f"""WITH {VERIFIED}, k AS (SELECT q, claim_id, count(citation) AS n, count(*) FILTER (WHERE usable) AS u FROM verified GROUP BY 1, 2)
+            SELECT q AS id, count(*) AS n_claims, count(*) FILTER (WHERE u > 0) AS n_kept, round(avg((u = 0)::INT::DOUBLE), 9) AS failure_ratio, sum(n - u)::BIGINT AS n_removed, bool_and(u > 0) AND sum(n - u) = 0 AS valid FROM k GROUP BY 1""",
         "numeric_consistency": f"""WITH c AS (SELECT DISTINCT id, doc_id, text AS claim FROM chunks WHERE text IS NOT NULL), n AS (SELECT id, {NUMBERS('claim')} AS a, {NUMBERS('d.text')} AS b FROM c JOIN documents d USING (doc_id))
             SELECT id, min((len(list_filter(a, lambda v: NOT list_contains(b, v))) = 0)::INT) AS numbers_agree FROM n GROUP BY id""",
         "recall_mrr_ndcg": f"""WITH {BINARY}, hit AS (SELECT q, count(*) FILTER (WHERE rank <= 8) AS hits, min(rank) AS f, sum(CASE WHEN rank <= 8 THEN 3.0::DOUBLE / log2(rank + 1) ELSE 0 END) AS dcg FROM lex JOIN rel USING (q, id) GROUP BY q)
@@ -224,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
         "nation_revenue": """SELECT r_name, n_name, count(*) AS n_items, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
         "large_orders": "SELECT l_orderkey, count(*) AS n_items, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200",
-        "customers_without_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "customers_without_orders": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1998-01-01')",
         "weighted_median_year": """WITH p AS (SELECT source, published_year AS y, sum(n_chars) AS w FROM documents WHERE published_year IS NOT NULL AND n_chars > 0 GROUP BY 1, 2), r AS (SELECT source, y, sum(w) OVER (PARTITION BY source ORDER BY y) AS upto, sum(w) OVER (PARTITION BY source) / 2.0 AS half FROM p)
             SELECT source, min(y) AS median FROM r WHERE upto >= half GROUP BY source""",
         "ledger_reconcile": """WITH a AS (SELECT doc_id, min(nlm_unique_id) AS x FROM documents GROUP BY 1), b AS (SELECT doc_id, min(nlm_unique_id) AS y FROM chunks WHERE content_kind = 'full_text' AND doc_id IS NOT NULL GROUP BY 1)
@@ -240,14 +294,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "blind_aliases": "SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY sha256('blind-7|' || question_id || '|' || item_id), item_id) AS alias FROM (SELECT DISTINCT question_id, item_id FROM review_template WHERE item_id IS NOT NULL)",
         "degraded_profile": f"WITH {RERANK} SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank DESC) AS rank FROM rer WHERE rank <= 40 QUALIFY row_number() OVER (PARTITION BY q ORDER BY rer.rank DESC) <= 8".replace("ORDER BY rank DESC) AS rank", "ORDER BY rer.rank DESC) AS rank").replace("WHERE rank <= 40 QUALIFY", "WHERE rer.rank <= 40 QUALIFY"),
-        "rerank_local": f"""WITH {BASE}, pl AS MATERIALIZED (SELECT l.q, l.id, unnest(i.toks) AS term FROM lex l JOIN items i USING (id)), ix AS MATERIALIZED (SELECT q, id, term, count(*)::DOUBLE AS tf FROM pl GROUP BY q, id, term),
-            sz AS (SELECT l.q, l.id, len(i.toks) AS z FROM lex l JOIN items i USING (id)), sh2 AS (SELECT q, count(*)::DOUBLE AS n, greatest(avg(z), 1.0) AS a FROM sz GROUP BY q), d2 AS (SELECT q, term, count(*)::DOUBLE AS df FROM ix GROUP BY q, term),
-            asked AS MATERIALIZED (SELECT qt.q, qt.term, qtf, n, a, coalesce(df, 0) AS df FROM qt JOIN sh2 USING (q) LEFT JOIN d2 USING (q, term)), hits AS MATERIALIZED (SELECT * FROM asked JOIN ix USING (q, term) JOIN sz USING (q, id)),
-            b AS (SELECT q, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * z / a))), 9) AS s FROM hits GROUP BY q, id), bb AS (SELECT q, id, round(CASE WHEN max(s) OVER (PARTITION BY q) > 0 THEN s / max(s) OVER (PARTITION BY q) ELSE 0 END, 9) AS bm25 FROM b),
-            nm AS (SELECT ix.q, ix.id, sum(pow(tf * (ln((n + 2) / (d2.df + CASE WHEN qt.term IS NULL THEN 0 ELSE 1 END + 1)) + 1), 2)) AS norm FROM ix JOIN sh2 USING (q) JOIN d2 USING (q, term) LEFT JOIN qt USING (q, term) GROUP BY ix.q, ix.id),
-            qn2 AS (SELECT q, sum(pow(qtf * (ln((n + 2) / (df + 2)) + 1), 2)) AS q_norm FROM asked GROUP BY q), dt AS (SELECT q, id, sum(qtf * tf * pow(ln((n + 2) / (df + 2)) + 1, 2)) AS dot FROM hits GROUP BY q, id),
-            c AS (SELECT q, id, round(dot / sqrt(norm * q_norm), 9) AS cosine FROM dt JOIN nm USING (q, id) JOIN qn2 USING (q))
-            SELECT l.q, l.id, coalesce(bb.bm25, 0) AS bm25, coalesce(c.cosine, 0) AS cosine FROM lex l LEFT JOIN bb USING (q, id) LEFT JOIN c USING (q, id)""",
+        "rerank_local": f"WITH {LOCAL} SELECT q, id, bm25, cosine FROM loc",
         "excerpt_positions": f"""WITH c AS (SELECT DISTINCT id, doc_id, text AS excerpt FROM chunks WHERE text IS NOT NULL)
             SELECT id, max(CASE WHEN regexp_replace(excerpt, '{WS}', '', 'g') = '' THEN 0 ELSE coalesce(strpos(regexp_replace(text, '{WS}', '', 'g'), regexp_replace(excerpt, '{WS}', '', 'g')), 0) END) AS position FROM c JOIN documents USING (doc_id) GROUP BY id""",
         "recent_order_exists": "SELECT o_custkey, count(*) AS n_overtaken FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate > o.o_orderdate) GROUP BY o_custkey",
