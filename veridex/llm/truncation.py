@@ -2,8 +2,10 @@
 
 Per source a right-censored log-normal length model is fitted by maximum likelihood on the histogram of lengths: a share
 of the texts is subject to each candidate limit, the rest is free (EM with truncated-normal moments). The censoring
-posterior of a length is the prior that a text of this length is cut; a second EM over counts of (prior, ending) learns
-how cut and whole texts end. Both are combined by Bayes' rule, record by record.
+posterior of a length is the prior that a text of this length is cut. How cut and whole texts end is learned from it: the
+texts that the lengths call cut give the first picture of cut endings, and EM over counts of (posterior, ending) refines
+it together with the share of texts cut in transfer, whose lengths tell nothing. Every text is then judged by Bayes' rule
+from its own censoring posterior and its ending.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ UNITS = r"(?:mg|g|kg|µg|mcg|ml|l|mmol|mmHg|%|IU|h|min|d)"
 WINDOW = 3
 CHANCE = 1e-4
 ENDINGS = ("marked", "broken", "terminal", "digit_dot", "reference", "identifier", "registration", "keywords", "keywords_odd", "signature", "list_item", "list_odd", "title", "title_cut", "open")
-# Starting belief that a text with this ending is cut; EM moves all but the CERTAIN ones, which hold the text against its own sign or title.
+# What each ending is believed to be before any text is seen, worth BELIEF_TEXTS texts; the data outweigh it. CERTAIN ones hold the text against its own sign or title.
 START = {"marked": 0.99, "broken": 0.99, "terminal": 0.005, "digit_dot": 0.03, "reference": 0.02, "identifier": 0.02, "registration": 0.03, "keywords": 0.05, "keywords_odd": 0.9, "signature": 0.02, "list_item": 0.05, "list_odd": 0.9, "title": 0.02, "title_cut": 0.99, "open": 0.97}
+BELIEF_TEXTS = 4.0
+LEVELS = 100  # steps of the censoring posterior in the table of counts; texts are judged by their exact posterior
 CERTAIN = ("marked", "broken", "title_cut")
 
 
@@ -182,28 +186,30 @@ def censoring(ends: DataFrame) -> DataFrame:
     return histogram.groupBy("source").applyInPandas(fit, "source string, measure string, length int, censored double")
 
 
-def ending_evidence(counts: pd.DataFrame, turns: int = 40) -> dict[tuple[int, str], float]:
-    """Posterior that a text is cut, per (tenths of the censoring posterior, ending), by EM over their counts.
+def ending_evidence(counts: pd.DataFrame, turns: int = 60) -> tuple[dict[str, float], float]:
+    """(log likelihood ratio of each ending, share of texts cut in transfer) by EM over counts (level, ending, n).
 
-    Cut texts outside of limits have one unknown share of their own; ENDINGS bound the table, not the rows.
+    A level is the censoring posterior in LEVELS steps. The first picture of cut endings comes from the lengths alone: texts
+    count as cut by their censoring posterior. ENDINGS and LEVELS bound the table, not the rows.
     """
-    grid = np.zeros((11, len(ENDINGS)))
+    grid = np.zeros((LEVELS + 1, len(ENDINGS)))
     for r in counts.itertuples():
         grid[r.level, ENDINGS.index(r.ending)] += r.n
-    belief = np.tile([START[e] for e in ENDINGS], (11, 1))
-    moving, whole_marks = 0.05, ENDINGS.index("terminal")
-    certain = np.array([e in CERTAIN for e in ENDINGS])
+    level = np.clip(np.arange(LEVELS + 1) / LEVELS, 0, 0.98)[:, None]
+    start = np.array([START[e] for e in ENDINGS])
+    certain, terminal = np.array([e in CERTAIN for e in ENDINGS]), ENDINGS.index("terminal")
+    belief, moving = np.where(certain, 0.999, np.broadcast_to(level, grid.shape)), 0.05
+    ratio = np.zeros(len(ENDINGS))
     for _ in range(turns):
-        cut, whole = (grid * belief).sum(0) + 0.02, (grid * (1 - belief)).sum(0) + 0.02
-        cut[whole_marks] = 0.02  # a text that ends with a whole sentence is complete by definition
-        cut, whole = cut / cut.sum(), whole / whole.sum()
-        level = np.arange(11) / 10
-        prior = 1 - (1 - np.clip(level, 0, 0.98)) * (1 - moving)
-        odds = (prior[:, None] * cut) / ((1 - prior[:, None]) * whole)
+        cut, whole = (grid * belief).sum(0) + BELIEF_TEXTS * start, (grid * (1 - belief)).sum(0) + BELIEF_TEXTS * (1 - start)
+        cut[terminal] = BELIEF_TEXTS * start[terminal]  # a text that ends with a whole sentence is complete by definition
+        ratio = np.log(cut / cut.sum()) - np.log(whole / whole.sum())
+        prior = 1 - (1 - level) * (1 - moving)
+        odds = prior / (1 - prior) * np.exp(ratio)
         belief = np.where(certain, 0.999, odds / (1 + odds))
-        free = grid[:2].sum()
-        moving = float(np.clip((grid[:2] * belief[:2]).sum() / max(free, 1), 0.001, 0.5))
-    return {(i, e): float(belief[i, j]) for i in range(11) for j, e in enumerate(ENDINGS)}
+        free = grid[level[:, 0] < 0.2]
+        moving = float(np.clip((free * belief[level[:, 0] < 0.2]).sum() / max(free.sum(), 1), 0.001, 0.5))
+    return dict(zip(ENDINGS, ratio.tolist(), strict=True)), moving
 
 
 def detect(documents: DataFrame) -> DataFrame:
@@ -215,11 +221,14 @@ def detect(documents: DataFrame) -> DataFrame:
     measures = fitted.groupBy("source").agg(F.first("measure").alias("measure"))
     sized = ends.join(measures, "source", "left").withColumn("length", F.when(F.col("measure") == "bytes", F.col("bytes")).otherwise(F.col("chars")))
     scored = sized.join(fitted.select("source", "length", "censored"), ["source", "length"], "left").fillna({"censored": 0.0})
-    scored = stage.write(scored.withColumn("level", F.round(F.col("censored") * 10).cast("int")))
-    counts = scored.groupBy("level", "ending").agg(F.count("*").alias("n")).toPandas()
-    belief = ending_evidence(counts) if len(counts) else {}
-    table = spark.createDataFrame(pd.DataFrame([(i, e, p) for (i, e), p in belief.items()], columns=["level", "ending", "p_truncated"]), "level int, ending string, p_truncated double")
-    return scored.join(F.broadcast(table), ["level", "ending"]).select("doc_id", "source", "length", "ending", F.round("censored", 6).alias("censored"), F.round("p_truncated", 6).alias("p_truncated"))
+    scored = stage.write(scored)
+    counts = scored.groupBy(F.round(F.col("censored") * LEVELS).cast("int").alias("level"), "ending").agg(F.count("*").alias("n")).toPandas()
+    ratios, moving = ending_evidence(counts) if len(counts) else ({e: 0.0 for e in ENDINGS}, 0.05)
+    ratio = F.create_map(*[F.lit(x) for kv in ratios.items() for x in kv])[F.col("ending")]
+    prior = 1 - (1 - F.least(F.col("censored"), F.lit(0.98))) * (1 - F.lit(moving))
+    odds = prior / (1 - prior) * F.exp(ratio)
+    p = F.when(F.col("ending").isin(*CERTAIN), 0.999).otherwise(odds / (1 + odds))
+    return scored.select("doc_id", "source", "length", "ending", F.round("censored", 6).alias("censored"), F.round(p, 6).alias("p_truncated"))
 
 
 def rates(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
