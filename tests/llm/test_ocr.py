@@ -71,6 +71,42 @@ def test_empty(spark):
 
 
 def test_perceptron_separates():
-    rows = [{"a": 1.0, "bias": 1.0}, {"b": 1.0, "bias": 1.0}] * 10
-    w = ocr.averaged_perceptron(rows, [True, False] * 10)
-    assert w["a"] + w["bias"] > 0 > w["b"] + w["bias"]
+    rows = [({"a": 1.0, "bias": 1.0}, ["x", "y", "z"], "x"), ({"b": 1.0, "bias": 1.0}, ["x", "y", "z"], "y"), ({"a": 1.0, "b": 1.0, "bias": 1.0}, ["x", "y", "z"], "z")] * 10
+    w = ocr.averaged_perceptron(rows)
+    for features, labels, right in rows[:3]:
+        found = ocr.scores_of(features, labels, w)
+        assert max(labels, key=found.get) == right
+
+
+def spelt(word, ops):
+    out = ""
+    for ch, op in zip("^" + word, ops, strict=True):
+        kind, _, x = op.partition(":")
+        out += {"keep": ch, "delete": "", "replace": x, "insert": ch + x}[kind]
+    return out[1:]
+
+
+def test_operations_make_the_other_word():
+    rng = random.Random(1)
+    for wrong, right in [("rnan", "man"), ("man", "rnan"), ("abc", "abc"), ("", "a"), ("a", ""), ("clcar", "clear"), ("vvith", "with")]:
+        assert spelt(wrong, ocr.operations(wrong, right)) == right
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcr") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert spelt(a, ocr.operations(a, b)) == b
+    assert ocr.operations("rnan", "man") == ["keep", "replace:m", "delete", "keep", "keep"]
+    assert ocr.operations("ab", "acb") == ["keep", "insert:c", "keep"]
+
+
+def test_editor_on_held_out_words():
+    """Taught on some words with confused letters and some real pairs; judged on others."""
+    rng = random.Random(6)
+    letters = "abcdefghiklmnoprstuvw"
+    words = ["".join(rng.choice(letters) for _ in range(8)) for _ in range(600)]
+    rare, common = ocr.word_features("x", 1, 0, 500), ocr.word_features("x", 40, 40, 900)
+    edits = [(w.replace("e", "c", 1), w, w, rare) for w in words if "e" in w]
+    kept = [(w, w, w[:-1] + "s", common) for w in words if not w.endswith("s")]
+    editor = ocr.Editor.taught(edits[::2] + kept[::2])
+    gain = lambda w, other, about: editor.gain(w, ocr.operations(w, other), about)
+    assert sum(gain(w, o, a) > 0 for w, _, o, a in edits[1::2]) >= 0.95 * len(edits[1::2])
+    assert sum(gain(w, o, a) <= 0 for w, _, o, a in kept[1::2]) >= 0.95 * len(kept[1::2])
+    assert gain("word", "word", rare) == 0
