@@ -65,3 +65,16 @@ def issues(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(code, n, first_key): rows that break each rule; a rule is a condition that holds for bad rows, null is fine."""
     flags = rows.select(F.col(key).cast("string").alias("k"), F.explode(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in rules.items()])).alias("code"))
     return flags.where("code is not null").groupBy("code").agg(F.count("*").alias("n"), F.min("k").alias("first_key"))
+
+
+def conflicting_groups(rows: DataFrame, key: Column, split: Column, group: Column) -> DataFrame:
+    """(key, split, n_groups): equal content in one split under several groups; nulls take no part."""
+    named = rows.select(key.alias("key"), split.alias("split"), group.alias("g")).where("key is not null and split is not null and g is not null").distinct()
+    return named.groupBy("key", "split").agg(F.count("*").alias("n_groups")).where("n_groups > 1")
+
+
+def derived_leakage(closure: DataFrame, splits: DataFrame) -> DataFrame:
+    """(id, ancestor, split, ancestor_split) of (id, ancestor) pairs whose records stand in different splits of (id, split)."""
+    own = splits.where("id is not null and split is not null").groupBy("id").agg(F.min("split").alias("split"))
+    far = own.select(F.col("id").alias("ancestor"), F.col("split").alias("ancestor_split"))
+    return closure.select("id", "ancestor").distinct().join(own, "id").join(far, "ancestor").where("split <> ancestor_split")

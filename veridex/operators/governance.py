@@ -30,17 +30,21 @@ def reconcile(a: DataFrame, b: DataFrame, key: str, field: str) -> DataFrame:
 
 
 def void_repeated(rows: DataFrame, keys: list[str], content: Column) -> DataFrame:
-    """Adds copies and void: a key that stands on several rows voids all of them unless they are exact copies."""
+    """Adds copies, differs and void: a key that stands on several rows voids all of them, exact copies too."""
     group = Window.partitionBy(*keys)
-    return rows.withColumn("copies", F.count("*").over(group)).withColumn("void", F.min(content).over(group) != F.max(content).over(group))
+    copies = F.count("*").over(group)
+    return rows.withColumn("copies", copies).withColumn("differs", F.min(content).over(group) != F.max(content).over(group)).withColumn("void", copies > 1)
 
 
 def bind_labels(labels: DataFrame, runs: DataFrame, keys: list[str], digest: str) -> DataFrame:
-    """(keys, status): final labels against run rows: bound, hash_mismatch, label_missing or run_missing."""
-    a = labels.groupBy(*keys).agg(F.min(digest).alias("l"))
-    b = runs.groupBy(*keys).agg(F.min(digest).alias("r"))
-    status = F.when(F.col("r").isNull(), "run_missing").when(F.col("l").isNull(), "label_missing").when(F.col("l") == F.col("r"), "bound").otherwise("hash_mismatch")
-    return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
+    """(keys, status): final labels against run rows: bound, hash_mismatch, label_missing or run_missing.
+
+    Several labels or runs of one key are bound only if all their digests are one; a null digest binds nothing.
+    """
+    own = lambda df, end: df.groupBy(*keys).agg(F.min(digest).alias(f"low_{end}"), F.max(digest).alias(f"high_{end}"), F.lit(True).alias(f"has_{end}"))
+    one = (F.col("low_l") == F.col("high_l")) & (F.col("low_r") == F.col("high_r")) & (F.col("low_l") == F.col("low_r"))
+    status = F.when(F.col("has_r").isNull(), "run_missing").when(F.col("has_l").isNull(), "label_missing").when(F.coalesce(one, F.lit(False)), "bound").otherwise("hash_mismatch")
+    return own(labels, "l").join(own(runs, "r"), keys, "full_outer").select(*keys, status.alias("status"))
 
 
 def repeat_consistency(runs: DataFrame, key: str, digest: str) -> DataFrame:
@@ -130,3 +134,64 @@ def page_issues(claims: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.where("n > 0")
+
+
+def locator_issue(text: Column, quote: Column, start: Column, stop: Column) -> Column:
+    """missing_locator, locator_mismatch or null: a quote must stand in the text, and at its offsets where these are given."""
+    some = quote.isNotNull() | start.isNotNull() | stop.isNotNull()
+    bad_quote = quote.isNotNull() & ((quote == "") | (F.call_function("instr", text, quote) == 0))
+    spans = start.isNotNull() | stop.isNotNull()
+    valid = F.coalesce((start >= 0) & (start < stop) & (stop <= F.length(text)), F.lit(False))
+    same = F.coalesce(quote.isNull() | (F.substring(text, start + 1, stop - start) == quote), F.lit(False))
+    return F.when(~some, "missing_locator").when(bad_quote | (spans & ~(valid & same)), "locator_mismatch")
+
+
+def output_issue(behavior: Column, answer: Column, refusal_code: Column) -> Column:
+    """The first broken rule of an output: behavior_invalid, answer_missing, refusal_code_missing, or null."""
+    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return F.when(~F.coalesce(behavior.isin("answer", "qualified_answer", "refuse"), F.lit(False)), "behavior_invalid").when(~filled(answer), "answer_missing").when((behavior == "refuse") & ~filled(refusal_code), "refusal_code_missing")
+
+
+def ledger_issues(records: DataFrame, corpus_version: str, parser_version: str) -> DataFrame:
+    """(code, n): broken rules of a corpus ledger's records, each record and rule counted.
+
+    ``records`` has canonical_source_id, content_status, classification_basis, review_status, file_sha256, metadata_sha256,
+    source_url, index_version, parser_version.
+    """
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    digest = lambda c: F.coalesce(F.col(c), F.lit("")).rlike("^[0-9a-f]{64}$") | (F.coalesce(F.col(c), F.lit("")) == "unknown")
+    basis = F.coalesce("classification_basis", F.array().cast("array<string>"))
+    rules = {
+        "id_missing": ~filled("canonical_source_id"),
+        "status_missing": ~filled("content_status"),
+        "basis_missing": (F.size(basis) == 0) & ~F.coalesce(F.col("review_status").isin("metadata_missing", "unknown"), F.lit(False)),
+        "basis_blank": F.exists(basis, lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""),
+        "file_digest_invalid": ~digest("file_sha256"),
+        "metadata_digest_invalid": ~digest("metadata_sha256"),
+        "full_text_without_digest": (F.col("content_status") == "full_text") & (F.col("file_sha256") == "unknown"),
+        "address_invalid": ~(F.coalesce(F.col("source_url"), F.lit("")).rlike(r"^https?://[^/\s]+") | (F.coalesce(F.col("source_url"), F.lit("")) == "unknown")),
+        "index_version_differs": ~F.col("index_version").eqNullSafe(F.lit(corpus_version)),
+        "parser_version_differs": ~F.col("parser_version").eqNullSafe(F.lit(parser_version)),
+    }
+    flags = records.select(F.explode(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules.items()])).alias("code"))
+    return flags.where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
+
+
+def header_identity(evidence: Column) -> Column:
+    """Whether a title was found as the complete, prominent header of the first page: struct of method, page, bbox,
+    body_font_size, minimum_title_font_size, before_section_boundary_y."""
+    box = evidence["bbox"]
+    at = lambda i: F.get(box, F.lit(i))
+    placed = (F.size(box) == 4) & (at(0) >= 0) & (at(0) < at(2)) & (at(1) >= 0) & (at(1) < at(3)) & (at(3) < evidence["before_section_boundary_y"])
+    sized = (evidence["minimum_title_font_size"] > evidence["body_font_size"]) & (evidence["body_font_size"] > 0)
+    return F.coalesce((evidence["method"] == "exact_complete_prominent_header_title") & (evidence["page"] == 1) & placed & sized, F.lit(False))
+
+
+def allowed_notes(notes: Column, allowed: list[str]) -> Column:
+    """The notes of a generated answer that are among the application's own sentences, in order."""
+    return F.filter(F.coalesce(notes, F.array().cast("array<string>")), lambda x: x.isin(*allowed))
+
+
+def digest(*columns: str) -> Column:
+    """SHA-256 of the columns as one JSON object with its keys in order; the same content gives the same digest."""
+    return F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns)])), 256)

@@ -237,12 +237,9 @@ def numeric_consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def polarity_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that deny what a clause of their own document says, or the other way round."""
-    chunks = read_table(spark, d, "chunks").where("text is not null").select("id", "doc_id", F.col("text").alias("claim")).distinct()
-    docs = read_table(spark, d, "documents").select("doc_id", "text")
-    spread = lambda df, key, c: df.select(*key, F.explode(text.clauses(F.col(c))).alias("x")).where(F.length("x.predicate") >= 4).select(*key, "x.predicate", "x.negated").distinct()
-    a, b = spread(chunks, ["id", "doc_id"], "claim"), spread(docs, ["doc_id"], "text").withColumnRenamed("negated", "other")
-    return a.join(b, ["doc_id", "predicate"]).where("negated <> other").groupBy("id").agg(F.countDistinct("predicate").alias("n_conflicts"))
+    """Denials of titles held against their documents: a text that states its title contradicts the denial."""
+    docs = read_table(spark, d, "documents").select("source", F.concat(F.lit("not "), F.coalesce("title", F.lit(""))).alias("claim"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.count(F.when(text.polarity_conflict(F.col("claim"), F.col("text")), 1)).alias("n_conflicts"))
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
@@ -490,7 +487,7 @@ def ledger_reconcile(spark: SparkSession, d: str) -> DataFrame:
 def run_row_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "review_template").select("item_id", "reviewer_id", "rubric_version", "output_hash", F.coalesce("labels.behavior", F.lit("")).alias("behavior"))
     checked = governance.void_repeated(rows, ["item_id", "reviewer_id"], F.concat_ws("|", "output_hash", "behavior"))
-    return checked.groupBy("rubric_version").agg(F.count("*").alias("n"), F.sum((F.col("copies") > 1).cast("long")).alias("n_repeated"), F.sum(F.col("void").cast("long")).alias("n_void"))
+    return checked.groupBy("rubric_version").agg(F.count("*").alias("n"), F.sum(F.col("void").cast("long")).alias("n_void"), F.sum(F.col("differs").cast("long")).alias("n_differs"))
 
 
 def label_binding(spark: SparkSession, d: str) -> DataFrame:

@@ -238,8 +238,9 @@ def oracle_sql() -> dict[str, str]:
         "question_macro": """WITH p AS (SELECT rubric_version, question_id, count(labels.support_rate) AS valid, avg(labels.support_rate) AS m FROM review_template GROUP BY 1, 2)
             SELECT rubric_version, count(*) AS n_questions, count(*) FILTER (WHERE valid < 1) AS n_excluded, CASE WHEN count(*) FILTER (WHERE valid < 1) = 0 THEN round(avg(CASE WHEN valid >= 1 THEN m END), 6) END AS macro_support FROM p GROUP BY 1""",
         "review_adjudication": """WITH l AS (SELECT item_id AS item, lower(trim(reviewer_id)) AS reviewer, max(lower(trim(labels.behavior))) AS label FROM review_template WHERE lower(trim(labels.behavior)) <> '' GROUP BY 1, 2),
-            t AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY reviewer) AS turn FROM l), p AS (SELECT item, max(CASE WHEN turn = 1 THEN label END) AS a, max(CASE WHEN turn = 2 THEN label END) AS b, max(CASE WHEN turn = 3 THEN label END) AS c FROM t WHERE turn <= 3 GROUP BY item)
-            SELECT item, a AS first, b AS second, CASE WHEN a = b THEN a WHEN b IS NOT NULL THEN c END AS final, CASE WHEN b IS NULL THEN 'single' WHEN a = b THEN 'agreed' WHEN c IS NOT NULL THEN 'adjudicated' ELSE 'open' END AS status FROM p""",
+            t AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY reviewer) AS turn FROM l), p AS (SELECT item, max(CASE WHEN turn = 1 THEN label END) AS a, max(CASE WHEN turn = 2 THEN label END) AS b, count(*) AS n_reviewers FROM t GROUP BY item),
+            v AS (SELECT item, label, count(*) AS v FROM t WHERE turn > 2 GROUP BY 1, 2), w AS (SELECT item, max(label) AS c, count(*) AS tied FROM (SELECT * FROM v QUALIFY v = max(v) OVER (PARTITION BY item)) GROUP BY 1)
+            SELECT item, a AS first, b AS second, CASE WHEN a = b THEN a WHEN b IS NOT NULL AND tied = 1 THEN c END AS final, CASE WHEN b IS NULL THEN 'single' WHEN a = b THEN 'agreed' WHEN tied = 1 THEN 'adjudicated' ELSE 'open' END AS status, n_reviewers FROM p LEFT JOIN w USING (item)""",
         "corpus_distribution": " UNION ALL ".join(DISTRIBUTION(c) for c in ("topic", "evidence_level", "extraction_status")),
         "corpus_gates": """SELECT source, count(*) AS n, round(avg(CASE WHEN extraction_status = 'full_text' THEN 1.0::DOUBLE ELSE 0 END), 6) AS full_text_share, round(avg(CASE WHEN n_chars >= 300 THEN 1.0::DOUBLE ELSE 0 END), 6) AS long_share,
             round(avg(CASE WHEN n_chars = length(text) THEN 1.0::DOUBLE ELSE 0 END), 6) AS length_agrees, min(published_year) AS first_year, max(published_year) AS last_year, count(DISTINCT topic) AS n_topics FROM documents GROUP BY source""",
@@ -283,10 +284,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT source, min(y) AS median FROM r WHERE upto >= half GROUP BY source""",
         "ledger_reconcile": """WITH a AS (SELECT doc_id, min(nlm_unique_id) AS x FROM documents GROUP BY 1), b AS (SELECT doc_id, min(nlm_unique_id) AS y FROM chunks WHERE content_kind = 'full_text' AND doc_id IS NOT NULL GROUP BY 1)
             SELECT CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' WHEN x IS NOT DISTINCT FROM y THEN 'equal' ELSE 'differs' END AS status, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1""",
-        "run_row_checks": """WITH r AS (SELECT rubric_version, count(*) OVER w AS copies, min(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w <> max(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w AS void FROM review_template WINDOW w AS (PARTITION BY item_id, reviewer_id))
-            SELECT rubric_version, count(*) AS n, count(*) FILTER (WHERE copies > 1) AS n_repeated, count(*) FILTER (WHERE void) AS n_void FROM r GROUP BY 1""",
-        "label_binding": """WITH l AS (SELECT id, min(expected_behavior) AS l FROM independent_synthetic_v1 GROUP BY 1), r AS (SELECT question_id AS id, min(lower(labels.behavior)) AS r FROM review_template WHERE labels.behavior IS NOT NULL GROUP BY 1)
-            SELECT CASE WHEN r IS NULL THEN 'run_missing' WHEN l IS NULL THEN 'label_missing' WHEN l = r THEN 'bound' ELSE 'hash_mismatch' END AS status, count(*) AS n FROM l FULL JOIN r USING (id) GROUP BY 1""",
+        "run_row_checks": """WITH r AS (SELECT rubric_version, count(*) OVER w AS copies, min(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w <> max(concat_ws('|', output_hash, coalesce(labels.behavior, ''))) OVER w AS differs FROM review_template WINDOW w AS (PARTITION BY item_id, reviewer_id))
+            SELECT rubric_version, count(*) AS n, count(*) FILTER (WHERE copies > 1) AS n_void, count(*) FILTER (WHERE differs) AS n_differs FROM r GROUP BY 1""",
+        "label_binding": """WITH l AS (SELECT id, min(expected_behavior) AS a, max(expected_behavior) AS b FROM independent_synthetic_v1 GROUP BY 1), r AS (SELECT question_id AS id, min(lower(labels.behavior)) AS c, max(lower(labels.behavior)) AS d FROM review_template WHERE labels.behavior IS NOT NULL GROUP BY 1)
+            SELECT CASE WHEN r.id IS NULL THEN 'run_missing' WHEN l.id IS NULL THEN 'label_missing' WHEN a = b AND c = d AND a = c THEN 'bound' ELSE 'hash_mismatch' END AS status, count(*) AS n FROM l FULL JOIN r ON l.id = r.id GROUP BY 1""",
+        "paired_bootstrap": """WITH g AS (SELECT l_suppkey AS g, sum(l_tax - l_discount) AS d, count(*) AS n FROM lineitem GROUP BY 1), u AS (SELECT draw, d, n, (('0x' || substring(md5(g || '|' || draw || '|7'), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE AS u FROM g, range(1, 2001) AS t(draw)),
+            p AS (SELECT list_transform(range(0, 8), lambda i: list_sum(list_transform(range(0, i + 1), lambda k: 0.36787944117144233::DOUBLE / factorial(k::INT)))) AS b), t AS (SELECT draw, d, n, len(list_filter(b, lambda x: u > x)) AS t FROM u, p), m AS (SELECT draw, sum(t * d) / sum(t * n) AS m FROM t GROUP BY draw)
+            SELECT (SELECT count(*) FROM g) AS n_groups, (SELECT sum(n) FROM g)::BIGINT AS n_questions, (SELECT round(sum(d) / sum(n), 6) FROM g) AS mean_difference, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m""",
+        "topk_document_diverse": f"""WITH RECURSIVE {ENTRIES}, e AS MATERIALIZED (SELECT q, id::VARCHAR AS id, sc, coalesce(CASE WHEN regexp_matches({FAMILY}, '^(?:pmid:[0-9]{{5,9}}|trial:NCT[0-9]{{8}}|doi:10[.].*/.*)$') THEN {FAMILY} END, '') AS family, {OWN} AS doc FROM (SELECT en.*, d.source FROM entries en JOIN documents d ON d.doc_id = en.id WHERE rank <= 40)),
+            o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sc DESC, doc, id) AS r FROM e),
+            wk(q, r, ids, docs, fams) AS (SELECT DISTINCT q, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[] FROM o
+                UNION ALL SELECT q, r, CASE WHEN ok THEN list_append(ids, id) ELSE ids END, CASE WHEN ok THEN list_append(docs, doc) ELSE docs END, CASE WHEN ok THEN list_append(fams, family) ELSE fams END
+                FROM (SELECT wk.q, o.r, ids, docs, fams, o.id, o.doc, o.family, len(ids) < 8 AND NOT list_contains(docs, o.doc) AND (o.family = '' OR len(list_filter(fams, lambda f: f = o.family)) < 2) AS ok FROM wk JOIN o ON o.q = wk.q AND o.r = wk.r + 1) x),
+            l AS (SELECT q, arg_max(ids, r) AS ids FROM wk GROUP BY q) SELECT q, ids[i] AS id, i AS citation_number FROM l, unnest(range(1, len(ids) + 1)) AS u(i)""",
+        "polarity_conflicts": f"""WITH t AS (SELECT source, {clause_list("'not ' || coalesce(title, '')")} AS ca, {clause_list("coalesce(text, '')")} AS cb FROM documents)
+            SELECT source, count(*) AS n, count(*) FILTER (WHERE len(list_filter(ca, lambda x: length(x.p) >= 4 AND list_contains(cb, {{'p': x.p, 'n': NOT x.n}}))) > 0) AS n_conflicts FROM t GROUP BY 1""",
         "repeat_consistency": "SELECT question_id, count(*) AS n, CASE WHEN count(*) > 1 THEN min(output_hash) = max(output_hash) END AS consistent FROM review_template WHERE output_hash IS NOT NULL GROUP BY 1",
         "metric_gates": " UNION ALL ".join(
             f"SELECT '{m}' AS metric, b AS baseline, c AS candidate, c >= b AS passed FROM (SELECT round(avg(labels.{m}) FILTER (WHERE rubric_version = 'dual-review-v1'), 6) AS b, round(avg(labels.{m}) FILTER (WHERE rubric_version = 'dual-review-v2'), 6) AS c FROM review_template)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridex.functions.identity import classification
@@ -106,8 +106,6 @@ def order_blocks(blocks: DataFrame) -> DataFrame:
     Blocks wider than 62 % of the page are anchors that part it into regions; in a two-column region the left column comes
     before the right one, else blocks run from top to bottom. A page is two-column if both sides hold 120 signs or more.
     """
-    from pyspark.sql import Window
-
     page = Window.partitionBy("doc_id", "page")
     wide = (F.col("x1") - F.col("x0")) > 0.62 * F.col("width")
     left, right = ~wide & (F.col("x1") <= F.col("width") * 0.55), ~wide & (F.col("x0") >= F.col("width") * 0.45)
@@ -118,12 +116,89 @@ def order_blocks(blocks: DataFrame) -> DataFrame:
     return placed.withColumn("position", F.row_number().over(page.orderBy("region", "column", F.round("y0", 1), "x0"))).drop("wide", "two", "region", "column")
 
 
-def first_wins(frames: list[DataFrame], key: str, text: str, target: int | None = None) -> DataFrame:
-    """Union of sources in order; a key keeps its first row with a text; ``target`` is the collector's wanted count."""
-    from pyspark.sql import Window
+def first_wins(frames: list[DataFrame], key: str, text: str, target: int | None = None, position: str | None = None) -> DataFrame:
+    """Union of sources in order; a key keeps its first row with a text; ``target`` is the collector's wanted count.
 
+    Rows of one key inside a source go by ``position``, then by the hash of the whole row, so the choice never depends on
+    the order in which files are read.
+    """
     every = frames[0].withColumn("arrival", F.lit(0))
     for i, frame in enumerate(frames[1:], 1):
         every = every.unionByName(frame.withColumn("arrival", F.lit(i)), allowMissingColumns=True)
-    kept = every.where(F.coalesce(F.trim(F.col(text)), F.lit("")) != "").withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("arrival"))).where("turn = 1").drop("turn")
+    whole = F.xxhash64(*[c for c in every.columns if c != "arrival"])
+    order = [F.asc("arrival"), *([F.asc_nulls_last(position)] if position else []), F.asc(whole)]
+    kept = every.where(F.coalesce(F.trim(F.col(text)), F.lit("")) != "").withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("turn = 1").drop("turn")
     return kept.orderBy("arrival", key).limit(target) if target is not None else kept
+
+
+def longest_wins(frames: list[DataFrame], key: str, text: str) -> DataFrame:
+    """Union of corpora; a key keeps its longest text, the earlier corpus on ties, then the smaller hash of the row."""
+    every = frames[0].withColumn("arrival", F.lit(0))
+    for i, frame in enumerate(frames[1:], 1):
+        every = every.unionByName(frame.withColumn("arrival", F.lit(i)), allowMissingColumns=True)
+    order = [F.desc(F.length(F.coalesce(F.col(text), F.lit("")))), F.asc("arrival"), F.asc(F.xxhash64(*[c for c in every.columns if c != "arrival"]))]
+    return every.where(F.col(key).isNotNull()).withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("turn = 1").drop("turn", "arrival")
+
+
+def cached_documents(spark: SparkSession, path: str, ttl_seconds: int, now: str | None = None) -> DataFrame:
+    """Documents of the cached JSON files under a path that are not older than the time to live; stale files give no rows."""
+    rows = spark.read.schema(DOCUMENT).option("multiLine", True).json(path).select("*", "_metadata.file_modification_time")
+    clock = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    return rows.where(F.unix_timestamp(clock) - F.unix_timestamp("file_modification_time") <= ttl_seconds).drop("file_modification_time")
+
+
+def cloud_documents(rows: DataFrame) -> DataFrame:
+    """Documents of stored rows (id, source_id, title, abstract, journal, published_year, authors, study_type, status,
+    evidence_level, url, topic, retrieved_at): renamed, with the defaults of missing values; authors may be JSON text."""
+    text = lambda c, default="": F.coalesce(F.col(c), F.lit(default))
+    authors = F.from_json("authors", "array<string>") if dict(rows.dtypes)["authors"] == "string" else F.col("authors")
+    return rows.select(
+        "id", text("source_id").alias("source"), text("title").alias("title"), text("abstract").alias("abstract"), "journal", F.col("published_year").cast("int").alias("year"), F.coalesce(authors, F.array().cast("array<string>")).alias("authors"),
+        "study_type", "status", text("evidence_level", "Other").alias("evidence_level"), text("url").alias("url"), F.coalesce(F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("offline-snapshot")).alias("retrieved_at"), text("topic").alias("topic"),
+    )
+
+
+TABLES = {
+    "questions": "id string, question_group_id string, split string, question string, topic string, language string, scenario string, risk string, as_of_date string, corpus_profile string, corpus_manifest_hash string, expected_behavior string, allowed_refusal_codes array<string>, annotation_status string",
+    "sources": "id string, text string, locator map<string,string>",
+    "qrels": "question_id string, source_id string, grade int, study_family_id string, evidence_role string, rationale string",
+    "key_points": "id string, question_id string, text string, necessity string, weight double, support_source_ids array<string>",
+}
+
+
+def evaluation_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an evaluation bundle: <table>.jsonl or <table>.json of a folder, one frame per table that is there.
+
+    A table that stands in both forms raises an error, as do lines that are no JSON object of the table's columns.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {f.getPath().getName() for f in fs.listStatus(place)}
+    out = {}
+    for table, schema in TABLES.items():
+        forms = [x for x in (f"{table}.jsonl", f"{table}.json") if x in names]
+        if len(forms) > 1:
+            raise ValueError(f"{table} stands in two forms")
+        if forms:
+            reader = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", forms[0].endswith(".json"))
+            out[table] = reader.json(f"{folder}/{forms[0]}")
+    return out
+
+
+def question_set(spark: SparkSession, path: str, schema: str = "id string, question string, type string, should_answer boolean, relevant_topics array<string>") -> DataFrame:
+    """Questions of a JSON list, or of an object whose field ``questions`` is one; raises unless ids are there and unique."""
+    listed = spark.read.schema(f"{schema}, questions array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(', '))}>>").option("multiLine", True).json(path)
+    inner = listed.where("questions is not null").select(F.explode("questions").alias("x")).select("x.*")
+    rows = listed.where("questions is null").drop("questions").unionByName(inner)
+    n = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.count(F.when(F.coalesce("id", F.lit("")) == "", 1)).alias("b")).first()
+    if n["b"] or n["n"] != n["d"]:
+        raise ValueError("every question needs an id of its own")
+    return rows
+
+
+def cited_pmids(cited: DataFrame, records: DataFrame) -> DataFrame:
+    """(pmid, source, missing) of cited ids (pmid, source, position): each once with its last source, and whether no record
+    (pmid) is there."""
+    last = cited.where("pmid is not null and pmid <> ''").groupBy("pmid").agg(F.max_by("source", "position").alias("source"))
+    known = records.select("pmid").distinct().withColumn("found", F.lit(True))
+    return last.join(known, "pmid", "left").select("pmid", "source", F.col("found").isNull().alias("missing"))
