@@ -1,6 +1,7 @@
 """The whole chain on a small corpus."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridex import engine
 
@@ -20,16 +21,34 @@ def test_answers_and_refusals(spark):
     got = {r.q: r for r in engine.ask(asked, corpus(spark)).collect()}
     assert got["a"].code is None and 1 <= len(got["a"].claims) <= 4
     assert all(len(c.documents) == 1 and f"report number {c.documents[0]}" in c.text for c in got["a"].claims)
-    assert {q: got[q].code for q in "bcde"} == {"b": "PHI_BLOCKED", "c": "OUT_OF_SCOPE", "d": "OUT_OF_SCOPE", "e": "NO_EVIDENCE"}
+    assert {q: got[q].code for q in "bcde"} == {"b": "PHI_BLOCKED", "c": "OUT_OF_SCOPE", "d": "OUT_OF_SCOPE", "e": "QUESTION_NOT_COVERED"}
     assert all(got[q].claims is None for q in "bcde")
     diverse = {r.q: r.code for r in engine.ask(asked, corpus(spark), engine.Settings(selection="document_diverse")).collect()}
     assert diverse["a"] is None
-    with pytest.raises(ValueError):
-        engine.ask(asked, corpus(spark), engine.Settings(selection="other"))
+    for bad in (engine.Settings(selection="other"), engine.Settings(pool_policy="other")):
+        with pytest.raises(ValueError):
+            engine.ask(asked, corpus(spark), bad)
+    legacy = {r.q: r.code for r in engine.ask(asked, corpus(spark), engine.Settings(pool_policy="legacy")).collect()}
+    assert legacy["a"] is None
+
+
+def test_sources_that_are_one_study_or_have_no_address(spark):
+    """Copies of one publication, or records without a reliable identity, are too few sources."""
+    asked = spark.createDataFrame([("a", "他汀 statin 对血脂 cholesterol 的作用")], "id string, question string")
+    same = corpus(spark).where("doc_id < 6").withColumn("record_id", F.concat(F.lit("pmid:10000"), (F.col("doc_id") % 2).cast("string")))
+    assert [r.code for r in engine.ask(asked, same).collect()] == ["INSUFFICIENT_SOURCES"]
+    local = corpus(spark).where("doc_id < 6").withColumn("record_id", F.concat(F.lit("kb_"), F.col("doc_id").cast("string")))
+    assert [r.code for r in engine.ask(asked, local).collect()] == ["INSUFFICIENT_SOURCES"]
+
+
+def test_conflicted_documents_leave_the_pool(spark):
+    rows = engine.described(corpus(spark).where("doc_id < 2").withColumn("url", F.when(F.col("doc_id") == 0, "https://pubmed.ncbi.nlm.nih.gov/555555"))).withColumn("q", F.lit("a")).withColumn("retrieval", F.lit(0.5))
+    assert [r.id for r in engine.candidates(rows).collect()] == [1]
+    assert engine.candidates(rows, "legacy").count() == 2
 
 
 def test_empty_corpus_and_questions(spark):
     asked = spark.createDataFrame([("a", "他汀 statin")], "id string, question string")
     docs = corpus(spark)
-    assert [r.code for r in engine.ask(asked, docs.limit(0)).collect()] == ["NO_EVIDENCE"]
+    assert [r.code for r in engine.ask(asked, docs.limit(0)).collect()] == ["QUESTION_NOT_COVERED"]
     assert engine.ask(asked.limit(0), docs).count() == 0

@@ -30,21 +30,35 @@ def test_bm25_and_cosine_against_plain_code(spark):
     docs = {1: "statin lowers cholesterol statin", 2: "stroke care stroke unit care", 3: "cholesterol stroke", 4: "nothing here"}
     items = spark.createDataFrame(list(docs.items()), "id int, text string")
     asked = spark.createDataFrame([("a", "statin cholesterol cholesterol")], "q string, text string")
-    terms, (index, sizes) = retrieval.query_terms(asked, "q", F.col("text")), retrieval.indexed(items, "id", F.col("text"))
+    found = retrieval.scores(retrieval.query_terms(asked, "q", F.col("text")), retrieval.build_index(items, "id", F.col("text")))
     plain = bm25_plain("statin cholesterol cholesterol".split(), {k: v.split() for k, v in docs.items()})
-    assert {r.id: round(r.bm25, 6) for r in retrieval.bm25(terms, index, sizes).collect()} == plain
+    assert {r.id: round(r.bm25, 6) for r in retrieval.top_bm25(found).collect()} == plain
     words = {k: v.split() for k, v in docs.items()} | {0: "statin cholesterol cholesterol".split()}
     idf = lambda t: math.log((len(words) + 1) / (sum(t in w for w in words.values()) + 1)) + 1
     vec = {k: {t: w.count(t) * idf(t) for t in set(w)} for k, w in words.items()}
     cos = lambda a, b: sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    got = {r.id: r.cosine for r in retrieval.tfidf_cosine(terms, index, sizes).collect()}
+    got = {r.id: r.cosine for r in found.collect()}
     assert got == pytest.approx({k: cos(vec[0], vec[k]) for k in (1, 3)}, abs=1e-8)
 
 
 def test_empty_and_null_items(spark):
-    items = spark.createDataFrame([(1, None), (2, "")], "id int, text string")
+    items = spark.createDataFrame([(1, None), (2, ""), (None, "x y")], "id int, text string")
     asked = spark.createDataFrame([("a", "x y"), ("b", None)], "q string, text string")
-    assert retrieval.lexical_search(asked, "q", F.col("text"), items, "id", F.col("text")).count() == 0
+    assert retrieval.lexical_search(asked, "q", F.col("text"), retrieval.build_index(items, "id", F.col("text"))).count() == 0
+    assert retrieval.lexical_search(asked, "q", F.col("text"), retrieval.build_index(items.limit(0), "id", F.col("text"))).count() == 0
+
+
+def test_index_is_kept_until_a_table_changes(spark, tmp_path):
+    path, built = str(tmp_path / "t.parquet"), []
+
+    def kept():
+        return retrieval.kept_index(spark, "t", [path], lambda: built.append(1) or retrieval.build_index(spark.read.parquet(path), "id", F.col("text"), str(tmp_path / f"index{len(built)}")))
+
+    spark.createDataFrame([(1, "statin")], "id int, text string").write.parquet(path)
+    first = kept()
+    assert kept() is first and len(built) == 1 and first.folders >= 8
+    spark.createDataFrame([(2, "statin")], "id int, text string").write.mode("append").parquet(path)
+    assert kept() is not first and kept().terms.first().df == 2 and len(built) == 2
 
 
 def test_cap_keeps_rank_order(spark):
@@ -56,6 +70,20 @@ def test_knn_ignores_bad_vectors(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0])], "id int, vec array<double>")
     asked = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 0.0])], "q string, vec array<double>")
     assert rows(retrieval.dense_knn(asked, items, 5), "q", "id", "rank") == [("a", 1, 1), ("a", 4, 2)]
+    assert retrieval.dense_knn(asked.limit(0), items, 5).count() == 0 == retrieval.dense_knn(asked, items.limit(0), 5).count()
+
+
+def test_knn_in_blocks_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vec array<double>").repartition(5)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 9)
+    want = [(q, int(i), r) for q in range(90) for r, i in enumerate(sorted(range(90), key=lambda i, q=q: (-s[q, i], i))[:6], 1)]
+    got = retrieval.dense_knn(items.withColumnRenamed("id", "q"), items, 6, block=32)
+    assert rows(got, "q", "id", "rank") == sorted(want)
 
 
 def test_pool_decisions(spark):
@@ -87,20 +115,91 @@ def test_gates(spark):
     assert rows(gates.safety(specs), "q", "code")[:4] == [("a", "PHI_BLOCKED"), ("b", "PERSONALIZED_TREATMENT"), ("c", "OUT_OF_SCOPE"), ("d", "UNVERIFIABLE_INTERVENTION")]
     spec = {r.q: r for r in specs.collect()}["e"]
     assert (spec.time_from, spec.time_to, spec.expected_types) == (2015, 2025, ["Guideline"])
-    entries = spark.createDataFrame([("e", r, 0.5, "高血压", "Guideline" if r == 1 else "RCT", f"f{r}", "t") for r in (1, 2, 3)], "q string, rank int, score double, topic string, level string, family string, text string")
-    code = {r.q: r.code for r in gates.evidence_gate(specs, entries).collect()}
-    assert code["e"] is None and code["a"] == "NO_EVIDENCE"
+    schema = "q string, rank int, score double, topic string, level string, source string, identity string, family string, aliases array<string>, text string"
+    entry = lambda r, family, aliases=(): ("e", r, 0.5, "高血压", "Guideline" if r == 1 else "RCT", "s", f"d{r}", family, list(aliases), "t")
+    code = lambda entries: {r.q: r.code for r in gates.evidence_gate(specs, spark.createDataFrame(entries, schema)).collect()}
+    three = [entry(r, f"pmid:1000{r}") for r in (1, 2, 3)]
+    assert code(three)["e"] is None and code(three)["a"] == "NO_EVIDENCE"
+    # two publications of one trial, or entries without a reliable family, are no independent sources
+    assert code([*three[:2], entry(3, "pmid:99999", ["pmid:10001"])])["e"] == "INSUFFICIENT_SOURCES"
+    assert code([*three[:2], entry(3, "")])["e"] == "INSUFFICIENT_SOURCES"
     checks = spark.createDataFrame([("x", True, 1, 0.0), ("y", False, 0, 1.0), ("z", False, 2, 0.5), ("w", False, 2, 0.6)], "q string, refused boolean, n_claims int, failure_ratio double")
     assert rows(gates.post_gate(checks).fillna("ok"), "q", "code") == [("w", "CITATION_FAILURE"), ("x", "GENERATOR_REFUSAL"), ("y", "NO_SUPPORTED_CLAIMS"), ("z", "ok")]
 
 
+def coverage(spark, question, *entries):
+    specs = gates.specify(spark.createDataFrame([("q", question)], "id string, question string"), "id", "question", 2025)
+    df = spark.createDataFrame([("q", i, text, topic) for i, (text, topic) in enumerate(entries)], "q string, id int, text string, topic string")
+    return [c for _, c in rows(gates.partition_coverage(specs, df), "id", "coverage")]
+
+
+def test_question_focus(spark):
+    """Interventions, unknown codes, named mechanisms, populations and broad diet questions."""
+    bp = "高血压"
+    assert coverage(spark, "阿司匹林与氯吡格雷用于卒中", ("阿司匹林和氯吡格雷合用", "脑卒中"), ("只有阿司匹林", "脑卒中"), ("阿司匹林 例外：氯吡格雷", "x")) == ["direct", "background", "none"]
+    assert coverage(spark, "高血压 ABC123 有效吗", ("高血压与abc123试验", bp), ("高血压治疗", bp), (None, bp)) == ["direct", "background", "background"]
+    assert coverage(spark, "关于 瞬时受体 通路的高血压研究", ("瞬时受体与血压", bp), ("血压", bp)) == ["direct", "background"]
+    assert coverage(spark, "高血压用药\n人群：孕妇", ("妊娠期血压", bp), ("非妊娠患者；孕妇除外", bp), ("成人血压", bp)) == ["direct", "background", "background"]
+    assert coverage(spark, "高血压 饮食模式：地中海饮食还是限钠", ("限钠摄入", bp), ("限钠摄入", "其他"), ("散步", bp)) == ["direct", "none", "background"]
+    assert coverage(spark, "高血压怎么办", ("文中提到高血压", "其他"), ("无关", bp), ("无关", "其他")) == ["direct", "direct", "none"]
+
+
+def test_not_covered_questions(spark):
+    specs = gates.specify(spark.createDataFrame([("a", "高血压"), ("b", "血脂")], "id string, question string"), "id", "question", 2025)
+    cover = spark.createDataFrame([("a", 1, "direct"), ("b", 2, "background")], "q string, id int, coverage string")
+    assert rows(gates.coverage_gate(specs, cover), "q", "code") == [("a", None), ("b", "QUESTION_NOT_COVERED")]
+    coded = gates.coverage_gate(specs, cover).withColumn("n_entries", F.lit(2).cast("long")).withColumn("n_sources", F.lit(1).cast("long"))
+    told = {r.q: r for r in gates.refusals(coded).collect()}
+    assert not told["a"].refused and told["a"].found == told["a"].missing == [] and told["b"].refused and len(told["b"].found) == len(told["b"].next_steps) == 1
+
+
+def test_words_of_a_question(spark):
+    df = spark.createDataFrame([(["q", " Statin ", "statin", "", "B"],)], "x array<string>")
+    assert df.select(gates.unique(F.col("x"))).first()[0] == ["q", "Statin", "B"]
+    asked = spark.createDataFrame([("a", "老年人 高血压 阿司匹林 对比 他汀"), ("b", "weather")], "id string, question string")
+    got = {r.q: r for r in gates.specify(asked, "id", "question", 2025).collect()}
+    assert got["a"].pico == {"P": "老年成人", "I": "高血压、血压、他汀、阿司匹林", "C": "问题中指定的对照方案", "O": "临床获益、风险与适用条件"}
+    assert got["b"].api_queries == ["(weather) AND (guideline OR trial OR meta-analysis)", "(weather) AND Guideline[pt]"]
+    df = spark.createDataFrame([(["q", 'a "b"', "A b", "中文", "c"], "o"), (["q"], 'x "y"'), (["q", "z"], "o")], "t array<string>, o string")
+    assert [r[0] for r in df.select(gates.trial_query(F.col("t"), F.col("o"))).collect()] == ['"a b" AND ("c")', '"x y"', '"z"']
+
+
+ENTRY = "citation int, title string, year int, status string, text string, source string, identity string, url string"
+
+
 def test_verification(spark):
-    claims = spark.createDataFrame([("c1", "statin lowers cholesterol by 5%", [1, 1, 9]), ("c2", "statin lowers cholesterol by 6%", [1]), ("c3", "uncited", [])], "claim_id string, text string, citations array<int>")
-    entries = spark.createDataFrame([(1, "Statin study", 2020, None, "statin lowers cholesterol by 5%")], "citation int, title string, year int, status string, text string")
+    claims = spark.createDataFrame([("c1", "statin lowers cholesterol by 5%", [1, 1, 9]), ("c2", "statin lowers cholesterol by 6%", [1]), ("c3", "uncited", []), ("c4", "statin lowers cholesterol by 5%", [2])], "claim_id string, text string, citations array<int>")
+    body = "statin lowers cholesterol by 5%"
+    entries = spark.createDataFrame([(1, "Statin study", 2020, None, body, "pubmed", "pmid:12345", "https://x.org"), (2, "Statin study", 2020, None, body, "pubmed", "pmid:12345", "")], ENTRY)
     seen = verification.verify(claims, entries)
-    assert {(r.claim_id, r.citation, r.support) for r in seen.collect()} == {("c1", 1, "support"), ("c1", 9, "unmapped"), ("c2", 1, "unsupported"), ("c3", None, "unmapped")}
-    assert rows(verification.claim_checks(seen), "claim_id", "kept") == [("c1", True), ("c2", False), ("c3", False)]
+    want = {("c1", 1, "source_record", "support", True), ("c1", 9, "not_checked", "unsupported", False), ("c2", 1, "source_record", "unsupported", False), ("c3", None, "not_checked", "unsupported", False), ("c4", 2, "unverified", "support", False)}
+    assert {(r.claim_id, r.citation, r.existence, r.support, r.usable) for r in seen.collect()} == want
+    assert rows(verification.claim_checks(seen), "claim_id", "kept") == [("c1", True), ("c2", False), ("c3", False), ("c4", False)]
     assert rows(verification.sanitise(claims, seen), "claim_id", "citations") == [("c1", [1])]
+    one = verification.answer_checks(claims.withColumn("a", F.lit("x")), verification.claim_checks(seen), "a").first()
+    assert (one.n_claims, one.n_kept, one.failure_ratio, one.n_removed, one.valid) == (4, 1, 0.75, 3, False)
+
+
+def test_partial_support_is_not_usable(spark):
+    """A claim that shares few words with its source is partial; identical text counts only for extracts."""
+    entries = spark.createDataFrame([(1, "", None, None, "statin therapy", "pubmed", "pmid:12345", "https://x.org")], ENTRY)
+    words = "statin alpha beta gamma delta epsilon zeta eta theta iota"
+    claims = spark.createDataFrame([("p", words, [1]), ("same", "statin therapy", [1])], "claim_id string, text string, citations array<int>")
+    assert rows(verification.verify(claims, entries), "claim_id", "support", "usable") == [("p", "partial", False), ("same", "support", True)]
+    denied = spark.createDataFrame([(1, "", None, None, "no statin therapy. statin therapy", "pubmed", "pmid:12345", "https://x.org")], ENTRY)
+    same = spark.createDataFrame([("same", "no statin therapy. statin therapy", [1])], claims.schema)
+    assert rows(verification.verify(same, denied), "support") == [("support",)] and rows(verification.verify(same, denied, "llm:x"), "support") == [("unsupported",)]
+
+
+def test_existence_of_sources(spark):
+    cite = lambda *c: [(k, None, p, None, None, None, u, v) for k, p, u, v in c]
+    data = [
+        ("knowledge_page", "page", "u", cite(("pmid", "1", "u", "2024"))), ("knowledge_page", "page", "u", cite(("pmid", "1", "u", ""))), ("knowledge_page", "page", "u", cite(("book", None, "u", None))), ("knowledge_page", "page", "u", []),
+        ("pubmed", "pmid:123456", "u", None), ("pubmed", "pmid:12", "u", None), ("ctgov", "nct:NCT00000001", "", None), ("x", "doi:10.1/a", "u", None), ("x", "kb", "u", None), ("x", "", "u", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], f"i int, source string, identity string, url string, citations {verification.CITATIONS}")
+    got = [r[1] for r in sorted(df.select("i", verification.existence(F.col("source"), F.col("identity"), F.col("url"), F.col("citations"))).collect())]
+    assert got == ["verified_snapshot", "unverified", "manual_review", "unverified", "source_record", "unverified", "unverified", "source_record", "source_record", "unverified"]
 
 
 def test_binary_and_graded_metrics(spark):
@@ -137,6 +236,75 @@ def test_macro_needs_all_repeats(spark):
     assert rows(evaluation.macro_means(df, "question", 2, "score", "arm"), "arm", "macro_score") == [("x", 0.5), ("y", None)]
 
 
+def test_quantiles_of_many_values_and_groups(spark):
+    rng = __import__("random").Random(4)
+    data = [(g, round(rng.choice([rng.random(), 5.0, 1e6 * rng.random()]), 3)) for g in "abc" for _ in range(rng.randint(1, 400))] + [("n", None), ("one", 7.0)]
+    got = {r.g: r for r in evaluation.quantiles(spark.createDataFrame(data, "g string, v double"), "g", "v").collect()}
+    for g in "abc":
+        own = sorted(v for k, v in data if k == g)
+        nearest = lambda p, own=own: own[math.ceil(p * len(own)) - 1]
+        n = len(own)
+        assert (got[g].n, got[g].p50, got[g].p95, got[g].p99) == (n, nearest(0.5), nearest(0.95), nearest(0.99))
+        assert got[g].median == pytest.approx((own[(n - 1) // 2] + own[n // 2]) / 2, abs=1e-6)
+    assert got["one"].median == 7.0 and got["n"].n == 0 and got["n"].p50 is None
+
+
+def test_adjudication_counts_every_reviewer(spark):
+    data = [("i", "r1", "a"), ("i", "r2", "b"), ("i", "r3", "b"), ("i", "r4", "b"), ("i", "r5", "a"), ("j", "r1", "a"), ("j", "r2", "b"), ("j", "r3", "a"), ("j", "r4", "b"), ("k", "r1", "a"), ("k", "r2", "a"), ("l", "r1", "a"), ("m", "r1", None)]
+    got = rows(evaluation.adjudicate(spark.createDataFrame(data, "item string, reviewer string, label string")), "item", "final", "status", "n_reviewers")
+    assert got == [("i", "b", "adjudicated", 5), ("j", None, "open", 4), ("k", "a", "agreed", 2), ("l", None, "single", 1)]
+
+
+def test_quality_report(spark):
+    questions = spark.createDataFrame([("a", "answer", True, True, False, "t"), ("b", "refuse", True, True, True, "t"), ("c", "answer", None, None, None, None)], "q string, behavior string, retrieval boolean, answer boolean, refusal boolean, topic string")
+    values = spark.createDataFrame([("a", 1.0, 1.0), ("a", 0.0, None), ("b", 0.5, 1.0), ("zz", 0.0, 0.0)], "q string, support_rate double, behavior_accuracy double")
+    got = {(r.metric, r.dimension, r.value): r for r in evaluation.quality_report(questions, values, ["support_rate", "behavior_accuracy"], ["topic"]).collect()}
+    assert got["support_rate", "all", ""][3:] == (1, 1, "scored", 0.5, 0.5)  # refusals and questions that don't say are out
+    assert got["behavior_accuracy", "all", ""][3:] == (3, 1, "evidence_insufficient", None, 1.0)
+    assert ("support_rate", "topic", "") not in got and got["behavior_accuracy", "topic", ""].expected_questions == 1
+
+
+def test_summary_and_rules(spark):
+    from veridex.operators import governance
+
+    runs = spark.createDataFrame([("success", 1.0, True), ("success", None, True), ("error", 1.0, True), ("skipped", 1.0, True), ("success", 0.0, False)], "run_status string, m double, should boolean")
+    assert evaluation.result_summary(runs, {"m": F.col("m")}, F.col("should")).first()[:] == ("m", 1.0, 2, 0.5, 1.0, 3, 0.333333)
+    with pytest.raises(Exception):
+        evaluation.result_summary(spark.createDataFrame([("odd", 1.0, True)], runs.schema), {"m": F.col("m")}, F.col("should")).collect()
+    spots = spark.createDataFrame([("abcdef", "cd", 2, 4), ("abcdef", "cd", 1, 3), ("abcdef", "xx", None, None), ("abcdef", None, 0, 9), ("abcdef", None, None, None), ("abcdef", "cd", None, None), ("abcdef", None, 0, 6)], "t string, q string, a int, b int")
+    assert [r[0] for r in spots.select(governance.locator_issue(F.col("t"), F.col("q"), F.col("a"), F.col("b"))).collect()] == [None, "locator_mismatch", "locator_mismatch", "locator_mismatch", "missing_locator", None, None]
+    rows_ = spark.createDataFrame([("k", "x"), ("k", "x"), ("m", "y")], "key string, c string")
+    assert rows(governance.void_repeated(rows_, ["key"], F.col("c")), "key", "void", "differs") == [("k", True, False), ("k", True, False), ("m", False, False)]
+    labels = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2"), ("c", "1"), ("e", None)], "id string, d string")
+    have = spark.createDataFrame([("a", "1"), ("b", "1"), ("d", "1"), ("e", None)], "id string, d string")
+    assert rows(governance.bind_labels(labels, have, ["id"], "d"), "id", "status") == [("a", "bound"), ("b", "hash_mismatch"), ("c", "run_missing"), ("d", "label_missing"), ("e", "hash_mismatch")]
+
+
+def test_given_cross_encoder_scores(spark):
+    entries = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.1), ("b", 1, 0.9), ("b", 2, 0.1)], "q string, id int, score double")
+    logits = spark.createDataFrame([("a", 1, -500.0), ("a", 2, 500.0), ("b", 1, 1.0)], "q string, id int, logit double")
+    assert rows(retrieval.cross_rerank(entries, logits), "q", "id", "rank", "degraded") == [("a", 1, 2, False), ("a", 2, 1, False), ("b", 1, 1, True), ("b", 2, 2, True)]
+    assert retrieval.cross_rerank(entries, logits).where("q = 'a' and id = 2").first().score == 0.82
+
+
+def test_backends_and_modes(spark):
+    lexical = spark.createDataFrame([("q", i, i, 1 - i / 10) for i in (1, 2, 3)], "q string, id int, rank int, score double")
+    dense = spark.createDataFrame([("q", 3, 1, 0.9), ("q", 4, 2, 0.8)], "q string, id int, rank int, score double")
+    got, status = retrieval.select_static("dense", lexical, dense, lexical)
+    assert rows(got, "rank", "id") == [(1, 3), (2, 4), (3, 1), (4, 2)] and not status["degraded"]
+    assert retrieval.select_static("odd", lexical, dense)[1] == {"requested": "invalid", "actual": "legacy", "degraded": True, "reason": "retrieval_backend_invalid"}
+    assert retrieval.select_static("hybrid", lexical)[1]["reason"] == "retrieval_backend_unavailable"
+    assert rows(retrieval.select_static("hybrid", lexical, dense)[0], "rank", "id")[0] == (1, 3)
+    branches = {"knowledge": lexical, "snapshot": dense}
+    assert {r.branch for r in retrieval.routed(branches, "rag").collect()} == {"snapshot"} and retrieval.routed(branches, "nonsense").count() == 5
+    assert retrieval.allowed(lexical.withColumn("source", F.lit("s")), []).count() == 3
+
+
+def test_independent_count(spark):
+    df = spark.createDataFrame([([["a", "b"], ["c"], ["b", "d"], [], ["d", "c"], ["e"]],), ([],)], "k array<array<string>>")
+    assert [r[0] for r in df.select(components.independent_count(F.col("k"))).collect()] == [2, 0]
+
+
 def test_components_and_sources(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "z"), (None, "a")] + [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)], "a string, b string")
     got = dict(rows(components.connected_components(edges), "node", "root"))
@@ -161,8 +329,21 @@ def test_publish(spark, tmp_path):
     publish.write_version(spark, nxt, root, "r1")
     publish.write_version(spark, nxt.where("is_active"), root, "r2")
     assert publish.read_current(spark, root).count() == 3
-    with pytest.raises(Exception):
-        publish.write_version(spark, nxt, root, "r2")
+    publish.write_version(spark, nxt, root, "r2")  # a complete version is not written again
+    assert publish.read_current(spark, root).count() == 3
+    with pytest.raises(publish.NoSnapshot):
+        publish.read_current(spark, str(tmp_path / "none"))
+
+
+def test_publish_runs(spark):
+    runs = spark.createDataFrame([("r1", "s", "01", "running"), ("r2", "s", "02", "succeeded"), ("r3", "s", "03", "running"), ("r4", "t", "01", "running"), ("r5", "t", "02", "failed"), ("r6", "u", "01", "running")], "run string, source string, started string, status string")
+    docs = spark.createDataFrame([("r3", "d1", "s"), ("r4", "d2", "s"), ("r4", "d3", None), ("r1", "d1", "s")], "run string, id string, source string")
+    chunks = spark.createDataFrame([("r3", "c1", "d1"), ("r4", "c2", "d1"), ("r5", "c3", "d9")], "run string, id string, document_id string")
+    assert rows(publish.rejections(runs, docs, chunks), "run", "code", "n") == [("r1", "superseded", 1), ("r4", "dangling_chunk", 1), ("r4", "source_mismatch", 2), ("r5", "not_running", 1)]
+    got = {r.run: (r.status, r.records_seen, r.chunks_seen) for r in publish.publish_runs(runs, docs, chunks).collect()}
+    assert got["r3"] == ("succeeded", 1, 1) and got["r6"] == ("succeeded", 0, 0) and got["r4"] == ("failed", 0, 0) and "r2" not in got
+    ended = {r.run: (r.status, r.error_message) for r in publish.aborted(runs, "r1", "x" * 900).collect()}
+    assert ended["r1"] == ("failed", "x" * 500) and ended["r3"] == ("running", None)
 
 
 def test_governance(spark):

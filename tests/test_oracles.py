@@ -3,9 +3,9 @@
 import compare
 import pytest
 
-from veridex.plans import catalogue
+from veridex.plans import assessment, catalogue
 
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL = catalogue.queries() | assessment.queries(), catalogue.oracle_sql() | assessment.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,6 +1,8 @@
 """Readers, writers and streams on small files."""
 
 import json
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,68 @@ def test_first_wins(spark):
     assert sorted((r.id, r.text) for r in readers.first_wins([a, b], "id", "text").collect()) == [("1", "a"), ("2", "b"), ("3", "c")]
 
 
+def test_choice_does_not_depend_on_row_order(spark):
+    data = [("1", "late", 2), ("1", "early", 1), ("2", "x", None)]
+    for order in (data, data[::-1]):
+        df = spark.createDataFrame(order, "id string, text string, at int")
+        assert sorted((r.id, r.text) for r in readers.first_wins([df], "id", "text", position="at").collect()) == [("1", "early"), ("2", "x")]
+    one = {r.text for order in (data, data[::-1]) for r in readers.first_wins([spark.createDataFrame(order, "id string, text string, at int")], "id", "text").where("id = '1'").collect()}
+    assert len(one) == 1
+    a, b = (spark.createDataFrame(x, "id string, text string") for x in ([("1", "ab"), ("2", "a"), (None, "z")], [("1", "cd"), ("2", "abc"), ("3", None)]))
+    assert sorted((r.id, r.text) for r in readers.longest_wins([a, b], "id", "text").collect()) == [("1", "ab"), ("2", "abc"), ("3", None)]
+
+
+def test_cache_lives_for_a_time(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "pubmed", "T")], "id string, source string, title string")
+    path = sinks.write_cache(docs, str(tmp_path / "cache"), "k1")
+    assert sinks.write_cache(docs, str(tmp_path / "cache"), "k1") == path  # an entry is replaced as a whole
+    assert readers.cached_documents(spark, path, 3600).first().title == "T"
+    assert readers.cached_documents(spark, path, 3600, "2999-01-01 00:00:00").count() == 0
+
+
+def test_stored_rows_have_defaults(spark):
+    row = [("r", "s", None, None, None, 2001, '["A", "B"]', None, None, None, None, None, None), ("t", None, "x", "y", "j", None, None, "z", "w", "RCT", "u", "top", None)]
+    schema = "id string, source_id string, title string, abstract string, journal string, published_year int, authors string, study_type string, status string, evidence_level string, url string, topic string, retrieved_at timestamp"
+    got = {r.id: r for r in readers.cloud_documents(spark.createDataFrame(row, schema)).collect()}
+    assert (got["r"].title, got["r"].authors, got["r"].evidence_level, got["r"].retrieved_at, got["t"].source, got["t"].authors) == ("", ["A", "B"], "Other", "offline-snapshot", "", [])
+
+
+def test_bundles_and_question_sets(spark, tmp_path):
+    (tmp_path / "questions.jsonl").write_text('{"id": "a", "split": "dev"}\n{"id": "b"}\n')
+    (tmp_path / "qrels.json").write_text('[{"question_id": "a", "source_id": "s", "grade": 2}]')
+    bundle = readers.evaluation_bundle(spark, str(tmp_path))
+    assert set(bundle) == {"questions", "qrels"} and bundle["questions"].count() == 2 and bundle["qrels"].first().grade == 2
+    (tmp_path / "qrels.jsonl").write_text("")
+    with pytest.raises(ValueError):
+        readers.evaluation_bundle(spark, str(tmp_path))
+    for text in ('[{"id": "a", "question": "x"}, {"id": "b"}]', '{"questions": [{"id": "a", "question": "x"}, {"id": "b"}]}'):
+        (tmp_path / "set.json").write_text(text)
+        assert sorted(r.id for r in readers.question_set(spark, str(tmp_path / "set.json")).collect()) == ["a", "b"]
+    (tmp_path / "set.json").write_text('[{"id": "a"}, {"id": "a"}]')
+    with pytest.raises(ValueError):
+        readers.question_set(spark, str(tmp_path / "set.json"))
+
+
+def test_reports_packages_and_staging(spark, tmp_path):
+    df = spark.createDataFrame([("i1", 1, "x", ["a"]), ("i2", 2, "y", None)], "item string, alias int, rubric string, parts array<string>")
+    sinks.write_report(df, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report/csv")).count() == 2 == spark.read.json(str(tmp_path / "report/json")).count()
+    with pytest.raises(Exception):
+        sinks.write_report(df, str(tmp_path / "report"))
+    sinks.write_blind(df, ["rubric"], "item", "alias", str(tmp_path / "open"), str(tmp_path / "private"))
+    assert spark.read.json(str(tmp_path / "open")).columns == ["alias", "rubric"]
+    for public, key, roots in ((["item"], "item", ("o2", "p2")), (["rubric"], "item", ("o3", "o3/inside"))):
+        with pytest.raises(ValueError):
+            sinks.write_blind(df, public, key, "alias", *[str(tmp_path / x) for x in roots])
+    path = sinks.stage_rows(df, str(tmp_path), "r1", "items", "item")
+    assert sorted(tuple(r) for r in sinks.staged(spark, path, "item string, alias long").collect()) == [("i1", 1), ("i2", 2)]
+    docs, chunks = spark.createDataFrame([(1, "t")], "doc_id int, text string"), spark.createDataFrame([("c", 1), ("lost", 9)], "id string, doc_id int")
+    out = sinks.write_candidate(docs, chunks, str(tmp_path / "corpus"), "v1", "p1")
+    assert {r.table: r.n for r in spark.read.json(f"{out}/manifest").collect()} == {"documents": 1, "chunks": 1}
+    with pytest.raises(Exception):
+        sinks.write_candidate(docs, chunks, str(tmp_path / "corpus"), "v1", "p1")
+
+
 def test_vector_index(spark, tmp_path):
     items = spark.createDataFrame([("a", "s", [3.0, 4.0])], "id string, source string, vec array<double>")
     path = sinks.write_vector_index(items, str(tmp_path), "v1", "m")
@@ -94,3 +158,65 @@ def test_streams(spark, tmp_path):
     from veridex.operators.publish import read_current
 
     assert sorted((r.id, r.v, r.is_active) for r in read_current(spark, root).collect()) == [(1, "a", False), (2, "B", True)]
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """The last file's old event is behind the watermark of the first; its new one, and one late within bounds, count."""
+    path = str(tmp_path / "events.parquet")
+
+    def add(*events):
+        rows = spark.createDataFrame(list(events), "event_id int, ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in order of their times
+
+    add((1, "2024-05-01 00:10:00", "a", 1.0), (2, "2024-05-01 00:50:00", "a", 2.0))
+    add((6, "2024-05-01 00:30:00", "b", 1.0))  # a watermark holds from the second batch after its event on
+    add((3, "2024-01-01 00:10:00", "a", 9.0), (4, "2024-04-20 00:10:00", "a", 4.0), (5, "2024-05-01 00:20:00", "a", 8.0))
+    out = telemetry.run_available(spark, telemetry.stage_windows(telemetry.event_stream(spark, path, 1)))
+    assert sorted((r.n, r.total) for r in out.collect()) == [(1, 1.0), (1, 4.0), (3, 11.0)]
+
+
+def publish_all(spark, tmp_path):
+    stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "stage"))
+    telemetry.publish_stream(spark, stream, str(tmp_path / "store"), "id", str(tmp_path / "progress"))
+
+
+def stage_file(spark, tmp_path, *rows):
+    spark.createDataFrame(list(rows), "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "stage"))
+
+
+def test_a_snapshot_that_cannot_be_read_is_not_replaced(spark, tmp_path):
+    from veridex.operators import publish
+
+    root = str(tmp_path / "store")
+    stage_file(spark, tmp_path, (1, "a"), (2, "b"))
+    publish_all(spark, tmp_path)
+    shutil.move(f"{root}/versions/batch-00000000", str(tmp_path / "away"))
+    stage_file(spark, tmp_path, (2, "B"))
+    with pytest.raises(Exception):
+        publish_all(spark, tmp_path)
+    assert publish.current_version(spark, root) == "batch-00000000"
+    shutil.move(str(tmp_path / "away"), f"{root}/versions/batch-00000000")
+    publish_all(spark, tmp_path)
+    assert sorted((r.id, r.v, r.is_active) for r in publish.read_current(spark, root).collect()) == [(1, "a", False), (2, "B", True)]
+
+
+def test_a_crash_between_version_and_pointer_loses_nothing(spark, tmp_path):
+    from veridex.operators import publish
+
+    root = str(tmp_path / "store")
+    stage_file(spark, tmp_path, (1, "a"), (2, "b"))
+    publish_all(spark, tmp_path)
+    # the second version is complete, its pointer is not written; the stream sees the batch again
+    publish.next_snapshot(publish.read_current(spark, root), spark.createDataFrame([(2, "B")], "id int, v string"), "id").write.parquet(f"{root}/versions/batch-00000001")
+    assert publish.current_version(spark, root) == "batch-00000000"
+    stage_file(spark, tmp_path, (2, "B"))
+    publish_all(spark, tmp_path)
+    assert publish.current_version(spark, root) == "batch-00000001"
+    assert sorted((r.id, r.v, r.is_active) for r in publish.read_current(spark, root).collect()) == [(1, "a", False), (2, "B", True)]
+    # parts of a version that a crash left behind are written anew
+    (tmp_path / "store/versions/batch-00000002").mkdir()
+    (tmp_path / "store/versions/batch-00000002/part-x.parquet").write_bytes(b"half")
+    stage_file(spark, tmp_path, (3, "c"))
+    publish_all(spark, tmp_path)
+    assert sorted((r.id, r.is_active) for r in publish.read_current(spark, root).collect()) == [(1, False), (2, False), (3, True)]

@@ -136,4 +136,6 @@ def ask(questions: DataFrame, documents: DataFrame, settings: Settings | None =
     whole = refused.withColumnRenamed("code", "safety_code").join(uncovered, "q", "left").join(evidence, "q", "left").join(second.select("q", F.col("code").alias("second_code")), "q", "left").join(after, "q", "left").join(answers, "q", "left")
     code = F.coalesce("safety_code", "cover_code", "code", "second_code", "post_code")
     out = whole.select("q", code.alias("code"), F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), F.when(code.isNull(), F.col("claims")).alias("claims"))
-    return Stage(spark, "answers").write(out)
+    answered = Stage(spark, "answers").write(out)
+    stage.clear()
+    return answered

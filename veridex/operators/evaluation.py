@@ -176,9 +176,10 @@ def result_summary(rows: DataFrame, metrics: dict[str, Column], answerable: Colu
     Means are over successful runs with a value; as asked (itt), errors count 0 and skipped runs not at all, among the
     answerable. Any other run_status raises an error.
     """
-    bad = F.when(~F.coalesce(F.col("run_status").isin("success", "error", "skipped"), F.lit(False)), F.raise_error(F.lit("every run needs success, error or skipped"))).otherwise(F.lit(1))
+    valid = F.coalesce(F.col("run_status").isin("success", "error", "skipped"), F.lit(False))
+    rows = rows.withColumn("run_status", F.when(valid, F.col("run_status")).otherwise(F.raise_error(F.lit("every run needs success, error or skipped")).cast("string")))
     won, tried = F.col("run_status") == "success", (F.col("run_status") != "skipped") & F.coalesce(answerable, F.lit(False))
-    parts = [F.count(bad).alias("checked")]
+    parts = []
     for name, value in metrics.items():
         own = value.cast("double")
         parts += [F.sum(F.when(won, own)).alias(f"s_{name}"), F.count(F.when(won, own)).alias(f"n_{name}"), F.sum(F.when(tried, F.when(won, F.coalesce(own, F.lit(0.0))).otherwise(0.0))).alias(f"i_{name}"), F.count(F.when(tried, 1)).alias(f"j_{name}")]

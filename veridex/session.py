@@ -64,6 +64,12 @@ class Stage:
         for table in tables:
             path = getattr(table, "_veridex_path", None)
             if path:
-                jvm = self.spark._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes every table of this stage; for jobs whose result has been written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
