@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridex.shipping import ship
+
 
 def build_session(cpus: int | str = "*", app: str = "veridex") -> SparkSession:
     """Local session for tests, bench and examples; clusters bring their own session."""
@@ -44,10 +46,12 @@ class Stage:
     """Cuts lineage by writing a table to the shared folder and reading it back.
 
     Each write gets its own folder, so a lost executor only means that a file is read again.
-    ``drop`` removes tables of earlier rounds of an iterative job.
+    ``drop`` removes tables of earlier rounds of an iterative job. Operators that need a stage also need their code where
+    they run, so the package is sent to the workers once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
