@@ -26,3 +26,13 @@ def test_pairs(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(f"w{i}", t, "x") for i, t in enumerate(TITLES)], "id string, text string, canonical string")
     assert {tuple(r) for r in confusable.look_alikes(df, "f").collect()} == {("f", "1", "2"), ("f", "2", "3")}
     assert confusable.look_alikes(df.limit(0), "f").count() == 0
+
+
+def test_one_title_of_many_rows_meets_its_variant_once(spark):
+    """50,000 copies of a title and one variant give as many pairs, and no pair among the copies is looked at."""
+    from pyspark.sql import functions as F
+
+    copies = spark.range(50_000).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("blood score").alias("text"))
+    rest = spark.createDataFrame([("odd", "blооd score")] + [(f"w{i}", t) for i, t in enumerate(TITLES)], "id string, text string")
+    pairs = confusable.look_alikes(copies.union(rest), "f")
+    assert pairs.count() == 50_000 and pairs.where("id_a <> 'odd' and id_b <> 'odd'").count() == 0

@@ -44,3 +44,13 @@ def test_empty(spark):
 
 def test_found_of_the_sql(spark, small):
     assert compare.difference(spark, queries.queries()["p3_found"], queries.oracle_sql()["p3_found"], small) is None
+
+
+def test_many_labels_are_balanced(spark):
+    """More labels than cells: every record is placed, shares hold, and no round ends worse than the start."""
+    rng = random.Random(2)
+    records = [record(f"r{i:04d}", f"g{i // 2}", "train", f"label{rng.randrange(150)}") for i in range(1200)]
+    targets = spark.createDataFrame([("p", "train", 0.5), ("p", "test", 0.5)], TARGETS)
+    out = grouping.assign(spark.createDataFrame(records, RECORDS), spark.createDataFrame([], QUESTIONS), targets).toPandas()
+    assert len(out) == 1200 and (out.groupby("component")["assigned_split"].nunique() == 1).all()
+    assert abs((out["assigned_split"] == "train").mean() - 0.5) < 0.02
