@@ -32,7 +32,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if (sums["n"], sums["x"]) == state:
             break
         state = (sums["n"], sums["x"])
-    # the last table is read by the caller
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

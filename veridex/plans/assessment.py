@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veridex import engine
 from veridex.functions import identity, text
 from veridex.functions import vocabulary as V
-from veridex.operators import audit, evaluation, gates, governance, pool, publish, retrieval, verification
+from veridex.operators import audit, evaluation, gates, governance, publish, retrieval, verification
 from veridex.plans import catalogue as C
 from veridex.plans import oracle as O
 from veridex.session import Stage, read_table
@@ -117,11 +117,9 @@ def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     status = F.when(F.col("started").endswith("-06"), "running").when(F.col("started").endswith("-07"), "cancelled").when(F.col("started") < "2025-01", "succeeded").otherwise("running")
     runs = docs.select(run.alias("run"), "source", "started", status.alias("status")).distinct()
     staged = docs.select(run.alias("run"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 50 == 0, F.lit("pubmed")).otherwise(F.col("source")).alias("source"))
-    own = docs.select("doc_id", run.alias("run"))
     # chunks stay with the run of the month they were made in, so late ones have no document there
     chunks = read_table(spark, d, "chunks").select("id", "doc_id", F.date_format("created_at", "yyyy-MM").alias("made")).distinct()
     placed = chunks.join(docs.select("doc_id", "source"), "doc_id").select(F.concat_ws("/", "source", "made").alias("run"), "id", F.col("doc_id").alias("document_id"))
-    del own
     return runs, staged, placed
 
 
@@ -306,14 +304,10 @@ def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
     """Independent sources among the documents that each golden question names."""
     named = read_table(spark, d, "test_set").select(F.col("id").alias("q"), F.explode("relevant_doc_ids").alias("id")).distinct()
     rows = named.join(engine.described(read_table(spark, d, "documents")), "id")
-    keys = pool_keys(rows)
+    keys = gates.source_keys(F.col("source"), F.col("identity"), F.col("family"), F.col("aliases"))
     return rows.withColumn("keys", keys).groupBy("q").agg(F.count("*").alias("n_documents"), gates.independent_count(F.collect_list("keys")).alias("n_sources"))
 
 
-def pool_keys(rows: DataFrame) -> Column:
-    return gates.source_keys(F.col("source"), F.col("identity"), F.col("family"), F.col("aliases"))
-
-
 def selection_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Which pool policy keeps how many of each question's candidates."""
     rows = Stage(spark, "decisions").write(C.lexical_search(spark, d).select("q", "id", F.col("score").alias("retrieval")).join(engine.described(read_table(spark, d, "documents")), "id"))
@@ -331,9 +325,6 @@ def queries() -> dict[str, Query]:
     return {query.__name__: query for query in own}
 
 
-del pool
-
-
 # --- the same in SQL ---------------------------------------------------------------------------------------------------
 
 _LOCAL_TERMS = "list_concat(list_concat([safe], flatten([" + ", ".join(f"CASE WHEN contains(safe, {O._q(zh)}) THEN {O._text([zh, en])} ELSE []::VARCHAR[] END" for zh, en in V.TRANSLATIONS.items()) + "])), flatten([" + ", ".join(f"CASE WHEN list_contains(domains, {O._q(n)}) THEN {O._text(t)} ELSE []::VARCHAR[] END" for n, t in V.DOMAINS.items()) + "]))"
