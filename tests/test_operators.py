@@ -59,6 +59,8 @@ def test_index_is_kept_until_a_table_changes(spark, tmp_path):
     assert kept() is first and len(built) == 1 and first.folders >= 8
     spark.createDataFrame([(2, "statin")], "id int, text string").write.mode("append").parquet(path)
     assert kept() is not first and kept().terms.first().df == 2 and len(built) == 2
+    __import__("shutil").rmtree(tmp_path / "index2" / "postings")
+    assert kept().of(spark.createDataFrame([("statin",)], "term string")).count() == 2 and len(built) == 3
 
 
 def test_cap_keeps_rank_order(spark):
