@@ -321,6 +321,27 @@ def test_ancestors(spark):
     assert rows(audit.ancestors(links), "id", "ancestor", "distance") == [("b", "a", 1), ("c", "a", 2), ("c", "b", 1), ("x", "x", 2), ("x", "y", 1), ("y", "x", 1), ("y", "y", 2)]
 
 
+def test_ancestors_of_long_chains(spark, tmp_path):
+    links = spark.createDataFrame([(f"q{i:02}", f"q{i + 1:02}") for i in range(25)], "id string, parent string")
+    assert rows(audit.ancestors(links), "distance") == sorted((d,) for d in range(1, 26) for _ in range(26 - d))
+    assert rows(audit.ancestors(links, 3), "distance") == sorted((d,) for d in (1, 2, 3) for _ in range(26 - d))
+
+
+@pytest.mark.parametrize("name", ["ancestor_closure", "derived_leakage"])
+def test_long_chains_as_in_sql(spark, tmp_path, name):
+    import compare
+
+    from veridex.plans import assessment, catalogue
+
+    spark.createDataFrame([(f"q{i:02}", [f"q{i + 1:02}"]) for i in range(25)], "id string, derived_from array<string>").coalesce(1).write.parquet(str(tmp_path / "made/questions"))
+    spark.createDataFrame([(f"q{i:02}", "train" if i % 3 else "dev") for i in range(26)], "id string, split string").coalesce(1).write.parquet(str(tmp_path / "made/independent_synthetic_v1"))
+    (tmp_path / "d").mkdir()
+    for table in (tmp_path / "made").iterdir():
+        (tmp_path / f"d/{table.name}.parquet").symlink_to(next(table.glob("*.parquet")))
+    queries, sql = catalogue.queries() | assessment.queries(), catalogue.oracle_sql() | assessment.oracle_sql()
+    assert compare.difference(spark, queries[name], sql[name], str(tmp_path / "d")) is None
+
+
 def test_publish(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, v string")
     new = spark.createDataFrame([(2, "b"), (3, "C"), (4, "d"), (4, "d"), (None, "n")], "id int, v string")
