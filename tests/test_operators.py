@@ -63,6 +63,44 @@ def test_index_is_kept_until_a_table_changes(spark, tmp_path):
     assert kept().of(spark.createDataFrame([("statin",)], "term string")).count() == 2 and len(built) == 3
 
 
+def test_first_rows_are_those_of_all_scores(spark):
+    words = "statin cholesterol stroke care unit aspirin diet walking".split()
+    items = spark.createDataFrame([((i * 7919) % 3001, " ".join(words[j] for j in range(8) if (i * (j + 3)) % (j + 2) == 0) + f" w{i % 40}", 2000 + i % 3 if i % 5 else None) for i in range(3000)], "id int, text string, year int")
+    asked = spark.createDataFrame([("a", "statin stroke w3"), ("b", "diet diet walking unheard"), ("c", "statin stroke w3"), ("d", "aspirin"), ("e", "unheard"), (None, "statin")], "q string, text string")
+    terms, index = retrieval.query_terms(asked, "q", F.col("text")), retrieval.build_index(items, "id", F.col("text"), prefer=F.col("year"))
+    every = retrieval.scores(terms, index)
+    for kinds, block in ((("bm25", "cosine"), 16), (("bm25",), 1), (("cosine",), 16)):
+        found = retrieval.best(terms, index, 5, kinds, block=block)
+        assert found.count() <= 4 * 5 * len(kinds) * spark.sparkContext.defaultParallelism < 3000
+        for k in kinds:
+            first = lambda df, k=k: rows(retrieval.ranked(df, 5, F.desc(k), F.asc("id")), "q", "rank", "id", "bm25", "cosine")
+            assert first(found) == first(every) and len(first(found)) == 20
+    later = [F.desc("bm25"), F.desc_nulls_last("year"), F.asc("id")]
+    year = items.select("id", "year")
+    assert rows(retrieval.ranked(retrieval.best(terms, index, 5, ("bm25",), True).join(year, "id"), 5, *later), "q", "rank", "id") == rows(retrieval.ranked(every.join(year, "id"), 5, *later), "q", "rank", "id")
+
+
+def test_repeated_ids_are_one_item(spark):
+    items = spark.createDataFrame([("x", "statin"), ("x", "statin care"), ("y", "care"), ("z", None), (None, "statin")], "id string, text string")
+    index = retrieval.build_index(items, "id", [(F.col("text"), 1.4), (F.col("text"), 1.0)])
+    assert rows(index.postings, "id", "term", "tf", "len") == [("x", "care", 2.4, pytest.approx(7.2)), ("x", "statin", 4.8, pytest.approx(7.2)), ("y", "care", 2.4, pytest.approx(2.4))]
+    assert index.shape.first()["n"] == 3 and rows(index.terms, "term", "df") == [("care", 2), ("statin", 1)]
+    asked = spark.createDataFrame([(7, "statin care")], "q int, text string")
+    assert [r.id for r in retrieval.lexical_search(asked, "q", F.col("text"), index).orderBy("rank").collect()] == ["x", "y"]
+
+
+def test_no_text_is_shuffled_to_search_or_rerank(spark):
+    """Neither postings nor a corpus cross the network: only counts, ids and first rows are exchanged."""
+    items = spark.createDataFrame([(i, "statin care") for i in range(9)], "id int, text string")
+    asked = spark.createDataFrame([("a", "statin")], "q string, text string")
+    found = retrieval.best(retrieval.query_terms(asked, "q", F.col("text")), retrieval.build_index(items, "id", F.col("text")), 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    pool = retrieval.near(retrieval.top_bm25(found, 5).select("q", "id")).join(items, "id")
+    assert "SortMergeJoin" not in pool._jdf.queryExecution().executedPlan().toString()
+    local = retrieval.local_scores(asked, "q", F.col("text"), pool, F.col("text"))
+    assert rows(local, "id", "bm25") == [(i, 1.0) for i in range(5)]
+
+
 def test_cap_keeps_rank_order(spark):
     df = spark.createDataFrame([("q", i, d, i) for i, d in enumerate("AAABBC", 1)], "q string, id int, doc string, rank int")
     assert rows(retrieval.cap_per_document(df, "doc", 2, 4), "rank", "id") == [(1, 1), (2, 2), (3, 4), (4, 5)]
