@@ -129,3 +129,46 @@ def test_rules_do_not_count_rows(spark):
 def test_denials_and_numbers_are_no_misspellings():
     for a, b in (("never", "fever"), ("keine", "keiner"), ("sechs", "sechz")):
         assert crosssplit.differences([a, "x"], [b, "x"], [50, 9], [60, 9]) == ([a], [b])
+
+
+def _close_codes(n, rng, spread):
+    base = rng.integers(0, 256, (40, crosssplit.BITS // 8), dtype=np.uint8)
+    codes = base[rng.integers(0, len(base), n)].copy()
+    for i in range(n):
+        for bit in rng.choice(crosssplit.BITS, rng.integers(0, spread), replace=False):
+            codes[i, bit // 8] ^= np.uint8(1 << (bit % 8))
+    return codes
+
+
+def test_pairs_within_the_radius_are_those_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes = _close_codes(700, rng, 30)
+    a, b = codes[:400], codes[400:]
+    fa, fb = rng.integers(0, 3, 400), rng.integers(0, 4, 300)
+    distance = np.unpackbits(a[:, None, :] ^ b[None, :, :], axis=2).sum(axis=2)
+    right = {(int(i), int(j)) for i, j in zip(*np.nonzero((distance <= crosssplit.RADIUS) & (fa[:, None] == fb[None, :])), strict=True)}
+    assert right
+    for brute, pairs in ((256, 1_000_000), (10, 1_000_000), (10, 50)):
+        monkeypatch.setattr(crosssplit, "BRUTE", brute)
+        monkeypatch.setattr(crosssplit, "PAIRS", pairs)
+        i, j = crosssplit.within(fa, a.view(np.uint64), fb, b.view(np.uint64))
+        got = list(zip(i.tolist(), j.tolist(), strict=True))
+        assert len(got) == len(set(got)) and set(got) == right
+
+
+def test_a_fixed_part_that_many_classes_share_is_cut_into_pieces(spark):
+    codes = _close_codes(60, np.random.default_rng(4), 20)
+    rows = [(i, 7 if i < 50 else i, codes[i].tobytes(), ["heart", "rate", f"w{i % 5}"], [50, 50, 50], part) for i in range(60) for part in ("train", "eval") if i % 3 or part == "train"]
+    sides = spark.createDataFrame(rows, "class long, fixed long, code binary, words array<string>, dfs array<int>, part string")
+    every = lambda large: sorted(tuple(r) for r in crosssplit.near_classes(sides, large).collect())
+    whole = every(1_000)
+    assert len(whole) > 5 and every(7) == whole
+    assert whole == sorted((i, j) for i in range(50) for j in range(50) if j % 3 and i != j and i % 5 == j % 5 and np.unpackbits(codes[i] ^ codes[j]).sum() <= crosssplit.RADIUS)
+
+
+def test_words_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    rows = [(f"t{i}", "train", f"does aspirin lower risk number{i % 7} in group{i % 3}") for i in range(30)] + [(f"e{i}", "dev", f"does asprin lower risk number{i % 5} in group{i % 3} please") for i in range(20)]
+    df = spark.createDataFrame([(i, s, q, "s") for i, s, q in rows], "id string, split string, question string, source string")
+    looked_up = sorted(tuple(r) for r in crosssplit.found(spark, df).collect())
+    monkeypatch.setattr(crosssplit, "BROADCAST_WORDS", 0)
+    assert looked_up and sorted(tuple(r) for r in crosssplit.found(spark, df).collect()) == looked_up

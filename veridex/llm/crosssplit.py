@@ -4,8 +4,9 @@ Questions become canonical tokens; equal token strings are one form, and forms w
 Misspelt words are mapped to their base through shared deletion signatures. Each class gets a weighted 256-bit similarity
 hash of its content words, cut into 16 segments. Training classes meet evaluation classes on equal segments, where the
 evaluation side also shows every segment with one bit turned: two codes at most 31 bits apart have a segment with at most
-one differing bit, so the join finds every pair within the radius. Pairs are then verified word by word: what differs may
-only be function words, courtesies, misspellings, or words of fixed lists that stand for one another.
+one differing bit, so this finds every pair within the radius. Pairs are then verified word by word: what differs may
+only be function words, courtesies, misspellings, or words of fixed lists that stand for one another. Classes are dealt by
+what verification wants equal, and meet and are verified inside the tasks, so that no candidate is ever written.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm.confusable import canonical
@@ -30,6 +32,11 @@ SEGMENTS = 16
 RADIUS = 31
 SEEN = 3  # for codes alone, a word of at most so many forms is read as a near word of twice as many
 EVALUATION = ("dev", "blind")
+BROADCAST_WORDS = 1_000_000  # words that every task may hold with their counts; more are joined
+CELL = 20_000  # classes that are dealt into one cell
+LARGE = 200_000  # classes of one side with the same fixed part that a task takes at a time
+BRUTE = 256  # so many training classes with the same fixed part are compared one by one
+PAIRS = 1_000_000  # pairs of codes that a task holds at a time
 
 # Words that carry no clinical content, and courtesies around a question.
 FUNCTION = frozenset(
@@ -102,7 +109,8 @@ def misspellings(frequency: DataFrame, ratio: int = 10, least: int = 4) -> DataF
     words = frequency.where(F.col("token").rlike(r"^\p{L}+$") & (F.length("token") >= least))
     cuts = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))))
     signed = words.select("token", "df", F.explode(F.array_distinct(F.concat(F.array("token"), cuts))).alias("sign"))
-    a, b = signed.select("sign", "token", "df"), signed.select("sign", F.col("token").alias("base"), F.col("df").alias("base_df"))
+    # a base is at least twice as frequent as another word, so words of one form are none
+    a, b = signed.select("sign", "token", "df"), signed.where("df >= 2").select("sign", F.col("token").alias("base"), F.col("df").alias("base_df"))
     sure = F.col("base_df") >= ratio * F.col("df")
     close = sure | ((F.col("df") <= SEEN) & (F.col("base_df") >= 2 * F.col("df")))
     near = a.join(b, "sign").where((F.col("token") != F.col("base")) & ~F.col("token").isin(*sorted(NEGATION)) & close).select("token", "base", "base_df", sure.alias("sure")).distinct()
@@ -111,27 +119,82 @@ def misspellings(frequency: DataFrame, ratio: int = 10, least: int = 4) -> DataF
     return near.groupBy("token").agg(F.max(F.struct("base_df", "base", "sure")).alias("x")).select("token", F.col("x.base").alias("base"), F.col("x.sure").alias("sure"))
 
 
-def content(forms: DataFrame, frequency: DataFrame, base: DataFrame) -> DataFrame:
-    """(form, words, dfs, coded, weights): content words in their base spelling with their form counts, sorted, and the
-    words of the code with their squared inverse frequency. Forms of function words alone have no row."""
-    total = F.broadcast(forms.agg(F.count("*").cast("double").alias("total")))
-    # a base may itself be read as a more frequent word, once
-    twice = base.join(base.select(F.col("token").alias("base"), F.col("base").alias("further")), "base", "left").select("token", "base", "sure", F.coalesce("further", "base").alias("near"))
-    known = frequency.join(twice, "token", "left").select("token", F.when(F.col("sure"), F.col("base")).otherwise(F.col("token")).alias("word"), F.coalesce("near", "token").alias("near"))
-    text = F.array_join("tokens", "\x1f")
+def _han_alike(tokens: Column) -> Column:
+    text = F.array_join(tokens, "\x1f")
     for word, other in ALIKE_HAN.items():
         text = F.replace(text, F.lit("\x1f".join(word)), F.lit("\x1f".join(other)))
-    spread = forms.select("form", F.explode(F.split(text, "\x1f")).alias("token")).where(~F.col("token").isin(*sorted(FUNCTION)) & ~F.col("token").rlike(TAIL)).join(known, "token", "left")
+    return F.split(text, "\x1f")
+
+
+def _listed(forms: DataFrame, known: DataFrame, stage: Stage) -> DataFrame:
+    """(form, words, nears): content words of each form and what codes read for them, from (token, word, near) of the tokens
+    that are read as another word. A few are looked up where a form is read, many are joined."""
     alike = F.create_map(*[F.lit(x) for pair in ALIKE.items() for x in pair])
     same = lambda c: F.coalesce(alike[c], c)
-    spread = spread.select("form", same(F.coalesce("word", "token")).alias("word"), same(F.coalesce("near", "token")).alias("near")).where(~F.col("word").isin(*sorted(FUNCTION)))
-    spread = Stage(forms.sparkSession, "content").write(spread)
-    df = spread.select("form", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    near_df = spread.select("form", "near").distinct().groupBy("near").agg(F.count("*").alias("near_df"))
-    weight = F.pow(F.log((F.col("total") + 1) / F.col("near_df")), 2)
-    rows = spread.join(df, "word").join(near_df, "near").crossJoin(total).select("form", F.struct("word", "df").alias("w"), F.when(F.col("near_df") > 1, F.struct(F.col("near").alias("word"), weight.alias("weight"))).alias("c"))
-    grouped = rows.groupBy("form").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sort_array(F.collect_list("c")).alias("c"))
-    return grouped.select("form", F.col("w.word").alias("words"), F.col("w.df").alias("dfs"), F.col("c.word").alias("coded"), F.col("c.weight").alias("weights"))
+    mine = F.filter(_han_alike(F.col("tokens")), lambda t: ~t.isin(*sorted(FUNCTION)) & ~t.rlike(TAIL))
+    if known.count() > BROADCAST_WORDS:
+        spread = forms.select("form", F.explode(mine).alias("token")).join(known, "token", "left").select("form", F.coalesce("word", "token").alias("word"), F.coalesce("near", "token").alias("near"))
+        listed = spread.groupBy("form").agg(F.collect_list(F.struct("word", "near")).alias("x")).select("form", F.col("x.word").alias("words"), F.col("x.near").alias("nears"))
+    else:
+        table = known.select("token", "word", "near").toPandas()
+        shared = forms.sparkSession.sparkContext.broadcast({t: (w, n) for t, w, n in table.itertuples(index=False)})
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column("tokens")
+                flat = own.flatten().to_pylist()
+                both = [shared.value.get(t, (t, t)) for t in flat]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array([x[i] for x in both], pa.string())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("form"), *lists], names=["form", "words", "nears"])
+
+        listed = forms.select("form", mine.alias("tokens")).mapInArrow(read, "form long, words array<string>, nears array<string>")
+    each = F.filter(F.transform(F.arrays_zip("words", "nears"), lambda x: F.struct(same(x["words"]).alias("word"), same(x["nears"]).alias("near"))), lambda x: ~x["word"].isin(*sorted(FUNCTION)))
+    return stage.write(listed.select("form", each.alias("x")).select("form", F.col("x.word").alias("words"), F.col("x.near").alias("nears")).where(F.size("words") > 0))
+
+
+def _counted(listed: DataFrame, names: dict[str, str], stage: Stage) -> DataFrame:
+    """Adds, for each column of words, a column with the number of forms that have the word. Words of one form only aren't
+    gathered; the others are looked up where a form is read, or joined if they are many."""
+    for column, out in names.items():
+        several = stage.write(listed.select(F.explode(F.array_distinct(column)).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df > 1"))
+        if several.count() > BROADCAST_WORDS:
+            at = listed.select("form", F.posexplode(column).alias("at", "word")).join(several, "word", "left")
+            lists = at.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("df", F.lit(1)).alias("df")))).alias("x")).select("form", F.col("x.df").alias(out))
+            listed = stage.write(listed.join(lists, "form"))
+            continue
+        table = several.toPandas()
+        shared = listed.sparkSession.sparkContext.broadcast(dict(zip(table["word"], table["df"].tolist(), strict=True)))
+        kinds = ", ".join(f"{c} {k}" for c, k in listed.dtypes)
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared, column=column, out=out) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(column)
+                dfs = pa.array([shared.value.get(w, 1) for w in own.flatten().to_pylist()], pa.int64())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, dfs)], names=[*batch.schema.names, out])
+
+        listed = listed.mapInArrow(look, f"{kinds}, {out} array<long>")
+    return listed
+
+
+def content(forms: DataFrame, base: DataFrame) -> DataFrame:
+    """(form, class, words, dfs, coded, weights), written: content words in their base spelling with their form counts, sorted,
+    and the words of the code with their squared inverse frequency. Forms of function words alone have no row."""
+    stage = Stage(forms.sparkSession, "content")
+    # a base may itself be read as a more frequent word, once
+    twice = base.join(base.select(F.col("token").alias("base"), F.col("base").alias("further")), "base", "left").select("token", "base", "sure", F.coalesce("further", "base").alias("near"))
+    known = stage.write(twice.select("token", F.when(F.col("sure"), F.col("base")).otherwise(F.col("token")).alias("word"), "near"))
+    listed = _listed(forms, known, stage)
+    counted = _counted(listed, {"words": "dfs", "nears": "near_dfs"}, stage)
+    total = F.lit(float(forms.count()))
+    w = F.sort_array(F.transform(F.arrays_zip("words", "dfs"), lambda x: F.struct(x["words"].alias("word"), x["dfs"].alias("df"))))
+    several = F.filter(F.arrays_zip("nears", "near_dfs"), lambda x: x["near_dfs"] > 1)
+    c = F.sort_array(F.transform(several, lambda x: F.struct(x["nears"].alias("word"), F.pow(F.log((total + 1) / x["near_dfs"]), 2).alias("weight"))))
+    rows = counted.select("form", w.alias("w"), c.alias("c")).select("form", F.col("w.word").alias("words"), F.col("w.df").alias("dfs"), F.col("c.word").alias("coded"), F.col("c.weight").alias("weights"))
+    contents = Stage(forms.sparkSession, "contents").write(rows.withColumn("class", F.xxhash64("words", F.size("words"))))
+    stage.clear()
+    return contents
 
 
 def _bits(words: list[str]) -> np.ndarray:
@@ -260,31 +323,134 @@ def verified(pairs: DataFrame, codes: DataFrame, classes: DataFrame, radius: int
     return both.mapInPandas(compare, "train_class long, eval_class long")
 
 
+def _bytes_of(codes: pa.ChunkedArray) -> np.ndarray:
+    """Codes as rows of four numbers."""
+    return np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint64).reshape(len(codes), BITS // 64)
+
+
+def within(fixed_a: np.ndarray, codes_a: np.ndarray, fixed_b: np.ndarray, codes_b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of all pairs with the same fixed part whose codes are at most ``radius`` <= RADIUS bits apart, each once.
+
+    Of few rows with one fixed part all pairs are compared; else those that share a segment with at most one bit turned.
+    """
+    order = np.argsort(fixed_a, kind="stable")
+    fixed_a, codes_a = fixed_a[order], codes_a[order]
+    lo, hi = np.searchsorted(fixed_a, fixed_b, "left"), np.searchsorted(fixed_a, fixed_b, "right")
+    found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+    size = max(1, len(fixed_b))
+
+    def compare(starts: np.ndarray, counts: np.ndarray, b: np.ndarray, a: np.ndarray | None = None) -> None:
+        """Rows a[start], a[start + 1], ... of each b, a part at a time."""
+        some = np.flatnonzero(counts)
+        starts, counts, b = starts[some], counts[some], b[some]
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(b):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            n = counts[at:to]
+            x = np.arange(n.sum()) + np.repeat(starts[at:to] - (np.cumsum(n) - n), n)
+            x = x if a is None else a[x]
+            y = np.repeat(b[at:to], n)
+            near = np.bitwise_count(codes_a[x] ^ codes_b[y]).sum(axis=1) <= radius
+            found.append(x[near] * size + y[near])
+            at = to
+
+    few = hi - lo <= BRUTE
+    compare(lo[few], (hi - lo)[few], np.flatnonzero(few))
+    many = np.flatnonzero(~few)
+    many = many[np.argsort(lo[many], kind="stable")]
+    width = BITS // SEGMENTS
+    parts_a, parts_b = (np.ascontiguousarray(c).view(np.uint16) for c in (codes_a, codes_b))
+    for own in np.split(many, np.flatnonzero(np.diff(lo[many])) + 1) if len(many) else []:
+        first, last = lo[own[0]], hi[own[0]]
+        before = len(found)
+        for s in range(SEGMENTS):
+            value = parts_a[first:last, s]
+            rows = first + np.argsort(value, kind="stable")
+            start = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))])
+            for turned in [0, *[1 << bit for bit in range(width)]]:
+                met = parts_b[own, s] ^ np.uint16(turned)
+                compare(start[met], start[met.astype(np.int64) + 1] - start[met], own, rows)
+            found[before:] = [np.unique(np.concatenate(found[before:]))] if len(found) > before else []
+    keys = np.unique(np.concatenate(found))
+    return order[keys // size], keys % size
+
+
+def meeting(train: pa.Table, held: pa.Table) -> pa.Table:
+    """(train_class, eval_class) with the same content among the rows (class, fixed, code, words, dfs) of a cell."""
+    pairs: list[tuple[int, int]] = []
+    if len(train) and len(held):
+        number = lambda t, c: t.column(c).to_numpy()
+        i, j = within(number(train, "fixed"), _bytes_of(train.column("code")), number(held, "fixed"), _bytes_of(held.column("code")))
+        a, b = number(train, "class")[i], number(held, "class")[j]
+        i, j, a, b = (x[a != b] for x in (i, j, a, b))
+        for at in range(0, len(i), 10_000):
+            own = slice(at, at + 10_000)
+            sides = [t.column(c).take(pa.array(k[own])).to_pylist() for t, k in ((train, i), (held, j)) for c in ("words", "dfs")]
+            pairs += [pair for pair, x, dx, y, dy in zip(zip(a[own].tolist(), b[own].tolist(), strict=True), *sides, strict=True) if same_content(x, y, dx, dy)]
+    return pa.table([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["train_class", "eval_class"])
+
+
+def near_classes(sides: DataFrame, large: int = LARGE) -> DataFrame:
+    """(train_class, eval_class): all different classes within the radius whose content is the same, of written rows
+    (class, fixed, code, words, dfs, part).
+
+    Both sides are dealt once, by their fixed part. A fixed part that more than ``large`` rows of a side have is cut into
+    pieces of about that many, and each piece of one side meets each of the other.
+    """
+    cells = max(24, -(-sides.count() // CELL))
+    count = lambda part: F.count(F.when(F.col("part") == part, 1))
+    sizes = sides.groupBy("fixed").agg(count("train").alias("a"), count("eval").alias("b")).where((F.col("a") > large) | (F.col("b") > large))
+    pieces = sizes.select("fixed", F.ceil(F.greatest("a", F.lit(1)) / large).cast("int").alias("pa"), F.ceil(F.greatest("b", F.lit(1)) / large).cast("int").alias("pb"))
+    dealt = sides.join(F.broadcast(pieces), "fixed", "left")
+
+    def side(part: str, own: str, other: str) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("class"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        rows = dealt.where(F.col("part") == part).select("class", "fixed", "code", "words", "dfs", own, mine.alias("mine"), theirs.alias("theirs"))
+        place = ("mine", "theirs") if part == "train" else ("theirs", "mine")
+        cell = F.when(F.col(own).isNull(), F.pmod(F.xxhash64("fixed"), F.lit(cells))).otherwise(F.xxhash64("fixed", *place))
+        names = ["class", "fixed", "code", "words", "dfs"]
+        return rows.select(*names, cell.alias("cell")).toDF(*names, "cell")  # columns of its own, as both sides come from one table
+
+    return side("train", "pa", "pb").groupBy("cell").cogroup(side("eval", "pb", "pa").groupBy("cell")).applyInArrow(meeting, "train_class long, eval_class long")
+
+
 def overlaps(records: DataFrame) -> DataFrame:
     """(train_id, eval_id, eval_split, eval_source, exact): all cross-split pairs that ask the same question.
 
     Distinct ids each count once per pair; empty questions match nothing. Copies share one form and forms of the same
-    words one class, so their pairs are joined out only here, where the result asks for them.
+    words one class, so their pairs are joined out only here, where the result asks for them. Each table goes as soon as
+    the next one is written, and so do the files of the shuffles between them.
     """
     spark = records.sparkSession
     stage = Stage(spark, "crosssplit")
-    rows = stage.write(with_forms(questions(records)).where(F.size("tokens") > 0))
-    forms = stage.write(rows.groupBy("form").agg(F.first("tokens").alias("tokens")))
+    texts = stage.write(with_forms(questions(records)).where(F.size("tokens") > 0))
+    forms = stage.write(texts.groupBy("form").agg(F.first("tokens").alias("tokens")))
+    rows = stage.write(texts.drop("tokens"))
+    stage.drop(texts)
     frequency = stage.write(document_frequency(forms))
-    contents = content(forms, frequency, stage.write(misspellings(frequency))).withColumn("class", F.xxhash64("words", F.size("words")))
-    contents = stage.write(contents)
-    classes = stage.write(contents.groupBy("class").agg(*[F.first(c).alias(c) for c in ("words", "dfs", "coded", "weights")]))
+    base = stage.write(misspellings(frequency))
+    stage.drop(frequency)
+    contents = content(forms, base)
+    stage.drop(forms, base)
     # forms of function words alone are classes of their own
-    rows = stage.write(rows.drop("tokens").join(contents.select("form", "class"), "form", "left").withColumn("class", F.coalesce("class", "form")))
-    parts = stage.write(rows.select("class", "part").distinct())
-    codes = stage.write(fingerprints(classes))
-    near = verified(stage.write(candidates(codes, parts)), codes, classes)
+    named = stage.write(rows.join(contents.select("form", "class"), "form", "left").withColumn("class", F.coalesce("class", "form")))
+    stage.drop(rows)
+    parts = stage.write(named.select("class", "part").distinct())
+    # forms of one class have the same words, but may read rare ones differently for the code
+    codes = stage.write(fingerprints(contents.select("class", "words", "coded", "weights")).groupBy("class").agg(F.min("code").alias("code"), F.first("fixed").alias("fixed")))
+    words = contents.groupBy("class").agg(F.first("words").alias("words"), F.first(F.col("dfs").cast("array<int>")).alias("dfs"))
+    sides = stage.write(codes.join(words, "class").join(parts, "class").select("class", "fixed", "code", "words", "dfs", "part"))
+    stage.drop(contents, codes)
+    near = near_classes(sides)
     equal = parts.where("part = 'train'").join(parts.where("part = 'eval'").select("class"), "class").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"))
-    side = lambda part, name: rows.where(f"part = '{part}'").select(F.col("class").alias(f"{name}_class"), F.col("form").alias(f"{name}_form"), F.col("id").alias(f"{name}_id"), F.col("split").alias(f"{name}_split"), F.col("source").alias(f"{name}_source"))
-    linked = stage.write(near.union(equal))
+    side = lambda part, name: named.where(f"part = '{part}'").select(F.col("class").alias(f"{name}_class"), F.col("form").alias(f"{name}_form"), F.col("id").alias(f"{name}_id"), F.col("split").alias(f"{name}_split"), F.col("source").alias(f"{name}_source"))
+    linked = stage.write(near.union(equal).distinct())
+    stage.drop(sides, parts)
     every = linked.join(side("train", "train"), "train_class").join(side("eval", "eval"), "eval_class").where("train_id <> eval_id")
     found = stage.write(every.select("train_id", "eval_id", "eval_split", "eval_source", (F.col("train_form") == F.col("eval_form")).alias("exact")).distinct())
-    stage.drop(rows, forms, frequency, contents, classes, parts, codes, linked)
+    stage.drop(named, linked)
     return found
 
 
