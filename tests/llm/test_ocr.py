@@ -1,6 +1,8 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from veridex.llm import ocr
 
 CHUNKS = "id string, doc_id long, page_number int, ordinal int, text string, updated_at timestamp, wrapped string"
@@ -110,3 +112,14 @@ def test_editor_on_held_out_words():
     assert sum(gain(w, o, a) > 0 for w, _, o, a in edits[1::2]) >= 0.95 * len(edits[1::2])
     assert sum(gain(w, o, a) <= 0 for w, _, o, a in kept[1::2]) >= 0.95 * len(kept[1::2])
     assert gain("word", "word", rare) == 0
+
+
+def test_words_and_parts_of_compounds_with_every_hyphen_and_of_chinese_texts(spark):
+    texts = ["beta-blocker plain", "beta‐blocker", "beta¬blocker", "beta­blocker", "hyper-\ntension risk", "高血压 risk-free", "no compound é"]
+    rows = spark.createDataFrame([(str(i), False, t) for i, t in enumerate(texts)], "id string, wrapped boolean, text string")
+    got = {r.id: r.words for r in ocr.tokenised(rows).collect()}
+    assert got["0"] == ["beta-blocker", "plain"] and got["4"] == ["hyper\u0001-\u0001tension", "risk"] and got["6"] == ["no", "compound", "é"]
+    assert [w for w in got["5"] if w] == ["risk-free"]
+    words = spark.createDataFrame([(i, w) for i, ws in got.items() for w in ws], "id string, w string").where(ocr._hyphened(F.col("w")))
+    parts = {r.id: list(r.parts) for r in words.select("id", ocr._parts(F.col("w")).alias("parts")).collect()}
+    assert parts == {"0": ["beta", "blocker"], "1": ["beta", "blocker"], "2": ["beta", "blocker"], "3": ["beta", "blocker"], "4": ["hypertension"], "5": ["risk", "free"]}

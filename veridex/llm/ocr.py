@@ -91,9 +91,12 @@ def tokenised(rows: DataFrame) -> DataFrame:
     whole and words cut over two lines with their mark between CUT signs; the cut words as written; decimal numbers with a
     letter in them."""
     apart = rf"[^\p{{L}}\p{{N}}{CUT}{HYPHENS}]"
-    split = lambda c: F.when(c.rlike(r"\p{IsHan}"), F.split(c, rf"(?:{apart}|\p{{IsHan}})+")).otherwise(F.split(c, f"{apart}+"))
-    marked = rows.select("id", "wrapped", "text", F.regexp_replace("text", BREAK, f"{CUT}$1{CUT}").alias("marked"))
-    listed = marked.select("id", "wrapped", "text", "marked", F.array_distinct(split(F.lower("marked"))).alias("words"))
+    # signs of one byte alone are no Chinese, which is known without a look at them
+    han = (F.octet_length("text") > F.length("text")) & F.col("text").rlike(r"\p{IsHan}")
+    split = lambda c: F.when(F.col("han"), F.split(c, rf"(?:{apart}|\p{{IsHan}})+")).otherwise(F.split(c, f"{apart}+"))
+    broken = F.col("text").contains("\n")
+    marked = rows.select("id", "wrapped", "text", han.alias("han"), F.when(broken, F.regexp_replace("text", BREAK, f"{CUT}$1{CUT}")).otherwise(F.col("text")).alias("marked"))
+    listed = marked.select("id", "wrapped", "text", "han", "marked", F.array_distinct(split(F.lower("marked"))).alias("words"))
     cut = F.when(F.col("marked").contains(CUT), F.filter(split(F.col("marked")), lambda w: w.contains(CUT)))
     # a letter in a decimal number leaves a lone letter behind, so few texts need the closer look
     lone = F.arrays_overlap("words", F.array(*map(F.lit, "liosbg")))
@@ -101,10 +104,13 @@ def tokenised(rows: DataFrame) -> DataFrame:
     return listed.select("id", "wrapped", "words", cut.alias("cuts"), decimal.alias("decimals"))
 
 
+def _hyphened(text: Column) -> Column:
+    return text.contains("-") | text.contains("‐") | text.contains("¬") | text.contains("\u00ad")
+
+
 def _parts(word: Column) -> Column:
-    """Words that a listed word stands for: a cut word as one, a compound as its parts."""
-    whole = F.regexp_replace(word, f"{CUT}[{HYPHENS}]{CUT}", "")
-    return F.when(word.rlike(f"[{HYPHENS}]"), F.split(whole, f"[{HYPHENS}]")).otherwise(F.array(word))
+    """Words that a compound stands for: a cut word as one, others as their parts."""
+    return F.split(F.regexp_replace(word, f"{CUT}[{HYPHENS}]{CUT}", ""), f"[{HYPHENS}]")
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -518,9 +524,12 @@ class Noise:
 
     def misread(self) -> DataFrame:
         """(id, word, fix) of misread words and numbers of all chunks, outside of running lines and page numbers."""
-        listed = self.tokens.select("id", F.explode("words").alias("w")).select("id", F.explode(_parts(F.col("w"))).alias("word"))
         fixes = F.broadcast(self.fixes) if self.small_fixes else self.fixes
-        hits = listed.join(fixes, "word").select("id", "word", "fix")
+        # no compound has a fix of its own, so only its parts are looked up beside the words
+        listed = self.tokens.select("id", F.explode("words").alias("w"))
+        single = listed.withColumnRenamed("w", "word").join(fixes, "word")
+        parts = listed.where(_hyphened(F.col("w"))).select("id", F.explode(_parts(F.col("w"))).alias("word")).join(fixes, "word")
+        hits = single.select("id", "word", "fix").union(parts.select("id", "word", "fix"))
         # decimals are looked at as a whole: the operations that make them plain numbers must beat keeping them
         editor = self.editor
 
