@@ -101,6 +101,19 @@ def test_no_text_is_shuffled_to_search_or_rerank(spark):
     assert rows(local, "id", "bm25") == [(i, 1.0) for i in range(5)]
 
 
+def test_full_text_search_in_blocks(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i // 3, f"statin care {'trial ' * (i % 4)}number {i}") for i in range(30)], "id string, doc_id int, text string")
+    titles = spark.createDataFrame([(i, f"title {i} statin", None) for i in range(0, 10, 2)], "doc_id int, title string, topic string")
+    named = chunks.join(titles, "doc_id", "left")
+    index = retrieval.build_index(named, "id", [(F.col("title"), 1.4), (F.col("text"), 1.0)])
+    asked = spark.createDataFrame([(f"q{i}", ["statin", word]) for i, word in enumerate(["trial", "care", "number", "title"])], "q string, local_terms array<string>")
+    searchable = F.concat_ws(" ", "title", "topic", "text")
+    whole = retrieval.full_text_search(asked, index, chunks, titles, searchable)
+    cut = retrieval.full_text_search(asked, index, chunks, titles, searchable, bound=60)
+    columns = ("q", "id", "doc_id", "rank", "score")
+    assert rows(cut, *columns) == rows(whole, *columns) and whole.count() == 4 * 14
+
+
 def test_cap_keeps_rank_order(spark):
     df = spark.createDataFrame([("q", i, d, i) for i, d in enumerate("AAABBC", 1)], "q string, id int, doc string, rank int")
     assert rows(retrieval.cap_per_document(df, "doc", 2, 4), "rank", "id") == [(1, 1), (2, 2), (3, 4), (4, 5)]
