@@ -101,6 +101,21 @@ def test_no_text_is_shuffled_to_search_or_rerank(spark):
     assert rows(local, "id", "bm25") == [(i, 1.0) for i in range(5)]
 
 
+def test_texts_of_pools_stay_with_their_documents(spark, small):
+    """Rankings are written without texts, and their blocks give the rows of one whole."""
+    from veridex.plans import catalogue
+
+    ranking = catalogue._reranked(spark, small)
+    assert ranking.columns == ["q", "id", "rank", "score", "role"]
+    texts = catalogue._described(spark, small, ranking, "text", then=lambda x: x.where("text is not null").select("q", "id"))
+    assert not hasattr(texts, "text") and texts.count() > 0
+    short = spark.createDataFrame([(f"q{i}", i % 7) for i in range(50)], "q string, id int")
+    seen = []
+    got = retrieval.in_blocks(short, "q", lambda own: (seen.append(own.count()), own)[1], 10)
+    assert len(seen) == 5 and sum(seen) == 50 and rows(got, "q", "id") == rows(short, "q", "id")
+    assert retrieval.in_blocks(short.limit(0), "q", lambda own: own, 10).count() == 0
+
+
 def test_full_text_search_in_blocks(spark):
     chunks = spark.createDataFrame([(f"c{i}", i // 3, f"statin care {'trial ' * (i % 4)}number {i}") for i in range(30)], "id string, doc_id int, text string")
     titles = spark.createDataFrame([(i, f"title {i} statin", None) for i in range(0, 10, 2)], "doc_id int, title string, topic string")
