@@ -52,3 +52,10 @@ def test_empty_corpus_and_questions(spark):
     docs = corpus(spark)
     assert [r.code for r in engine.ask(asked, docs.limit(0)).collect()] == ["QUESTION_NOT_COVERED"]
     assert engine.ask(asked.limit(0), docs).count() == 0
+
+
+def test_questions_in_blocks_are_answered_alike(spark):
+    """Conflicts are those of the whole batch, however few questions go through the chain at a time."""
+    asked = spark.createDataFrame([(f"q{i}", f"他汀 statin 对血脂 cholesterol 的作用 {i}") for i in range(6)] + [("x", "weather tomorrow"), ("y", None)], "id string, question string")
+    whole, cut = (sorted(map(str, engine.ask(asked, corpus(spark), bound=n).collect())) for n in (250_000, 160))
+    assert whole == cut and len(whole) == 8
